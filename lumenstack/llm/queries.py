@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, quality, records
+from lumenstack.llm import bpe, quality, records, simhash
 from lumenstack.llm.common import shared_dir, table
 
 
@@ -23,11 +23,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op9_records)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op7_simhash, op9_records)}
 ORACLE_SQL: dict[str, str] = {}
