@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, quality, records, simhash
+from lumenstack.llm import bpe, quality, records, sharding, simhash
 from lumenstack.llm.common import shared_dir, table
 
 
@@ -18,6 +18,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    keyed = docs.select("doc_id", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), "lang", "source", F.col("doc_id").alias("age"), size.alias("bytes"))
+    placed = sharding.hilbert_shards(keyed, ["lang", "source", "bytes", "age"], 40, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -34,5 +42,5 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op7_simhash, op9_records)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op5_quality, op7_simhash, op9_records)}
 ORACLE_SQL: dict[str, str] = {}
