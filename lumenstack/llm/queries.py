@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, quality, records, sharding, simhash
+from lumenstack.llm import bpe, decontam, langid, quality, records, sharding, simhash
 from lumenstack.llm.common import shared_dir, table
 
 
@@ -26,6 +26,13 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train_text_model(docs, "doc_id", "text", "lang")
+    judged = langid.identify_language(docs.select("doc_id", "text", "lang", "source"), model, declared=F.col("lang"), host=F.col("source"))
+    return judged.select("doc_id", "language.lang", F.col("lang").alias("declared"), F.round("language.confidence", 6).alias("confidence"), F.col("language.accepted").alias("kept"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -36,11 +43,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "benchmark"), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("leak"))
+    shared, of = F.col("leak.shared"), F.col("leak.item_shingles")
+    return rows.select("doc_id", F.col("leak.item").cast("long").alias("item_id"), shared.alias("shared"), of.alias("item_shingles"), (shared / of).alias("containment"))
+
+
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op5_quality, op7_simhash, op9_records)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op4_langid, op5_quality, op7_simhash, op8_decontam, op9_records)}
 ORACLE_SQL: dict[str, str] = {}
