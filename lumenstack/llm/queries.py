@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, decontam, langid, quality, records, sharding, simhash
+from lumenstack.llm import bpe, decontam, langid, quality, records, secrets, sharding, simhash, urls
 from lumenstack.llm.common import shared_dir, table
 
 
@@ -26,6 +26,14 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = secrets.train_markov(secrets.labelled_samples(docs))
+    found = secrets.with_secrets(docs.select("doc_id", "text"), ratios)
+    counts = (secrets.count_kind(F.col("base_spans"), kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE)
+    return found.select("doc_id", *counts, F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train_text_model(docs, "doc_id", "text", "lang")
@@ -38,6 +46,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train_url_model(urls.labelled_urls(spark))
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model)
+    return judged.select("page_id", *(f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -56,5 +70,5 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op4_langid, op5_quality, op7_simhash, op8_decontam, op9_records)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records)}
 ORACLE_SQL: dict[str, str] = {}
