@@ -17,15 +17,15 @@ import heapq
 import itertools
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenstack.llm.common import in_slices
+
 LONG_WORD = 256
 NONE = 1 << 62
 
@@ -260,16 +260,6 @@ def load(path: str, cache_words: int) -> Bpe:
     return Bpe(path, cache_words)
 
 
-def in_slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[list[str | None]]:
-    """The texts in lists of about `size` bytes or one text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-        yield texts[at:upto].to_pylist()
-        at = upto
-
-
 def encode_bpe(text: Column | str, path: str, cache_words: int = 400_000) -> Column:
     """The ids of each text, an array<int>. path: a tokenizer file that every executor can open."""
 

@@ -16,6 +16,8 @@ attempt and then renamed, so a task that is run again replaces its own output an
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenstack.llm.common import in_slices
+
 #: Fixed values of the checksum mask.
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
 HEAD = struct.Struct("<qB")
@@ -59,42 +63,55 @@ def unframe(data: memoryview) -> bytes:
     return payload
 
 
-@functools.lru_cache(4)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Encodes with the tokenizers library under a byte-level tokenizer, whose tokens start at most one space
+    early: chunks that each begin at a space stand alone, and the ids of those seen before are kept. Texts with
+    runs of spaces or special tokens go to the library whole."""
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str, limit: int):
+        from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit, self.known = limit, {}
 
-@functools.lru_cache(4)
-def word_cache(path: str, limit: int):
-    """Ids of chunks between spaces, as bytes, looked up in the tokenizers library when new."""
-    from lumenstack.llm.bpe import WordIds
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(text: str) -> bytes:
-        return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = [t or "" for t in texts]
+        whole = [i for i, t in enumerate(texts) if "  " in t or "\0" in t or any(s in t for s in self.special)]
+        split = [t.replace(" ", "\0 ").split("\0") for t in texts]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
+        self.known.update(zip(new, self.encode(new)))
+        of = self.known.__getitem__
+        out = [b"".join(map(of, chunks)) for chunks in split]
+        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
+            out[i] = ids
+        return [np.frombuffer(ids, "<u4") for ids in out]
 
-    return WordIds(ids, limit), WordIds(lambda chunk: ids(" " + chunk), limit)
 
-
-def encode_whole(text: str | None, path: str, special: tuple[str, ...], limit: int) -> np.ndarray:
-    """The ids of a text under a byte-level tokenizer, in which tokens start at most one space early."""
-    if not text:
-        return np.empty(0, "<u4")
-    if "  " in text or any(s in text for s in special):
-        return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
-    first, rest = word_cache(path, limit)
-    head, *tail = text.split(" ")
-    return np.frombuffer(first[head] + b"".join(map(rest.__getitem__, tail)), "<u4")
+@functools.lru_cache(4)
+def encoder(path: str, limit: int) -> ChunkEncoder:
+    return ChunkEncoder(path, limit)
 
 
-def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_per_record_width: int = 2, partitions: int | None = None, cache_words: int = 150_000) -> DataFrame:
+def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_per_record_width: int = 2, partitions: int | None = None, cache_chunks: int = 400_000) -> DataFrame:
     """Encodes the texts, adds end_id to each and writes shards to folder; returns the manifest, a row a shard.
 
     folder: a URI that all executors share. ids_per_record_width: bytes an id, 2 or 4.
     """
     kind = {2: "<u2", 4: "<u4"}[ids_per_record_width]
-    special = tuple(t for t in _special(path))
+
+    def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+        docs, at = batch.column(0).to_pylist(), 0
+        for texts in in_slices(batch.column(1)):
+            yield from zip(docs[at : at + len(texts)], encoder(path, cache_chunks).encode_batch(texts))
+            at += len(texts)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -106,11 +123,10 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col
         at = before = records = 0
         with fs.open_output_stream(tries["rec"]) as data, fs.open_output_stream(tries["idx"]) as index:
             for batch in batches:
-                for doc, text in zip(batch.column(0), batch.column(1)):
-                    ids = np.append(encode_whole(text.as_py(), path, special, cache_words), np.uint32(end_id))
+                for doc, ids in encoded(batch):
+                    ids = np.append(ids, np.uint32(end_id))
                     if ids.max() >> 8 * ids_per_record_width:
                         raise ValueError(f"id {ids.max()} needs more than {ids_per_record_width} bytes")
-                    doc = doc.as_py()
                     out = frame(payload_of(doc, ids.astype(kind)))
                     data.write(out)
                     index.write(struct.pack("<4Q", at, len(out), before, len(ids)))
@@ -127,13 +143,6 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def _special(path: str) -> list[str]:
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        return [t["content"] for t in json.load(f).get("added_tokens", [])]
-
-
 def read_records(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """The records of all shards in folder, checksums verified: doc_id, start (ids of all records before),
     n_tokens, ids (null unless with_ids) and ids_crc32 (of the ids as unsigned 32-bit numbers)."""
