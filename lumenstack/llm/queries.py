@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, decontam, langid, quality, records, secrets, sharding, simhash, urls
+from lumenstack.llm import bpe, decontam, langid, lm, quality, records, secrets, sharding, simhash, urls
 from lumenstack.llm.common import shared_dir, table
 
 
@@ -70,5 +70,13 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % 7 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model, made = lm.fit_lm(docs.where(~F.col("held_out")), shared_dir(spark))
+    scored = docs.withColumn("s", lm.score_texts(F.col("text"), model, made))
+    return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm)}
 ORACLE_SQL: dict[str, str] = {}
