@@ -101,12 +101,12 @@ def find_secrets(df: DataFrame, table: list[float], text_col: str = "text", shor
     return base, markov_spans(text, table, shortest, least)
 
 
-def with_secrets(df: DataFrame, table: list[float], text_col: str = "text", shortest: int = 20, least: float = 8.0) -> DataFrame:
-    """df with the columns base_spans and spans (SPAN), which it must not have before."""
+def with_secrets(df: DataFrame, table: list[float], text_col: str = "text", shortest: int = 20, least: float = 8.0, base_name: str = "base_spans", name: str = "spans") -> DataFrame:
+    """df with the columns base_name and name (SPAN), which it must not have before; see common.free_name()."""
     base, more = find_secrets(df, table, text_col, shortest, least)
-    df = df.withColumns({"base_spans": base, "spans": more})
-    apart = F.filter("spans", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.withColumn("spans", F.array_sort(F.concat("base_spans", apart)))
+    df = df.withColumns({base_name: base, name: more})
+    apart = F.filter(name, lambda m: ~F.exists(base_name, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return df.withColumn(name, F.array_sort(F.concat(base_name, apart)))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
