@@ -15,9 +15,12 @@ def pack(values: np.ndarray, bits: int) -> np.ndarray:
     """The low `bits` bits of each value, one after another in 64-bit words, with a spare word."""
     if not bits or not len(values):
         return np.zeros(2, U64)
-    each = (values[:, None] >> np.arange(bits, dtype=U64) & U64(1)).astype(np.uint8)
-    data = np.packbits(each.ravel(), bitorder="little").tobytes()
-    return np.frombuffer(data + bytes(16 - len(data) % 8 if len(data) % 8 else 8), U64)
+    parts, step = [], 1 << 14  # 64 values fill `bits` words, so slices end at words
+    for i in range(0, len(values), step):
+        each = np.unpackbits(np.ascontiguousarray(values[i : i + step]).view(np.uint8).reshape(-1, 8), axis=1, count=bits, bitorder="little")
+        parts.append(np.packbits(each.ravel(), bitorder="little").tobytes())
+    data = b"".join(parts)
+    return np.frombuffer(data + bytes(8 + -len(data) % 8), U64)
 
 
 def unpack(words: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import math
+import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,12 +181,13 @@ def put(folder: str, name: str, arrays: tuple[np.ndarray, ...]) -> None:
     fs.move(tried, f"{root}/{name}")
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(20_000)
 def get(folder: str, name: str) -> tuple[np.ndarray, ...]:
     """The arrays of a file, memory-mapped where the shared folder is mounted, else read."""
     fs, root = pafs.FileSystem.from_uri(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        words = np.memmap(f"{root}/{name}", U64, "r")
+        with open(f"{root}/{name}", "rb") as f:
+            words = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), U64)
     else:
         with fs.open_input_stream(f"{root}/{name}") as f:
             words = np.frombuffer(f.read(), U64)
@@ -262,7 +264,7 @@ def write_trie(lm: Lm, shard: int, keys: np.ndarray, counts: np.ndarray) -> int:
     return len(keys)
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(20_000)
 def trie(folder: str, shard: int):
     parts = get(folder, f"trie-{shard}")
     return *(EliasFano(parts[i : i + 4]) for i in (0, 4, 8)), parts[12].view(np.float64), parts[13].view(np.uint8)
