@@ -1,8 +1,7 @@
-"""What the text operators share: table paths, the shared work folder, and word rules."""
+"""What the text operators share: table paths, names, slices of batches, and word rules."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenstack.work import materialise, shared_dir  # noqa: F401
+
 #: The ASCII white space that separates words, as a Java pattern and as bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -21,27 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir.
-
-    Only a local session may go without that setting; it then uses a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file:///tmp/checkpoints/lumenstack"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: later uses neither repeat its work nor
-    depend on one executor's disk."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or wish with underscores before it if df has such a column."""
     taken = {c.lower() for c in df.columns}
