@@ -326,9 +326,9 @@ def _turbo(spark, d):
     return project.drizzle_turbo(frames(spark, d), ["batch_id"], 2 * F.col("x") + 1.3, 2 * F.col("y") + 0.6, 16, 16, 0.8, 2.0)
 
 
-@query(f"WITH {PX}, {_TURBO} SELECT batch_id, y, x, {rs('sum(v * w) / sum(w)')} AS sci, {rs('sum(w)', 4)} AS wht FROM c WHERE w > 1e-12 GROUP BY 1, 2, 3")
+@query(f"WITH {PX}, {_TURBO} SELECT batch_id, y, x, {rs('sum(v * w) / sum(w)')} AS sci, {rs('sum(w)', 9)} AS wht FROM c WHERE w > 1e-12 GROUP BY 1, 2, 3")
 def drizzle_turbo(spark, d):
-    return _turbo(spark, d).where("wht > 1e-12").select(*PIXEL, r("sci").alias("sci"), r("wht", 4).alias("wht"))
+    return _turbo(spark, d).where("wht > 1e-12").select(*PIXEL, r("sci").alias("sci"), r("wht", 9).alias("wht"))
 
 
 @query(f"WITH {PX}, {_TURBO}, s AS (SELECT batch_id, y, x, sum(v * w) AS s, sum(w) AS w FROM c WHERE w > 1e-12 GROUP BY 1, 2, 3), f AS (SELECT batch_id, max(w) AS top, avg(w) AS mean FROM s GROUP BY 1) SELECT batch_id, y, x, {rs('s / w')} AS divide, {rs('s / w * top')} AS \"max\", {rs('s / w * mean')} AS n_images, {rs('s')} AS \"none\" FROM s JOIN f USING (batch_id)")
