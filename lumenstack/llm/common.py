@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands whole texts to Python workers in batches of at most so many rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or wish with underscores before it if df has such a column."""
     taken = {c.lower() for c in df.columns}

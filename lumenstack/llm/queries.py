@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenstack.llm import bpe, decontam, langid, lm, quality, records, secrets, sharding, simhash, urls
-from lumenstack.llm.common import shared_dir, table
+from lumenstack.llm.common import shared_dir, small_batches, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_bpe("text", path).alias("ids"))
     both = ids.withColumn("decoded", bpe.decode_bpe("ids", path))
@@ -35,6 +36,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.train_text_model(docs, "doc_id", "text", "lang")
     judged = langid.identify_language(docs.select("doc_id", "text", "lang", "source"), model, declared=F.col("lang"), host=F.col("source"))
@@ -42,6 +44,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
@@ -53,11 +56,13 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = decontam.leaks(table(spark, sf_dir, "benchmark"), F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("leak"))
     shared, of = F.col("leak.shared"), F.col("leak.item_shingles")
@@ -65,12 +70,14 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     folder = shared_dir(spark)
     records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % 7 == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     model, made = lm.fit_lm(docs.where(~F.col("held_out")), shared_dir(spark))
