@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenstack.llm import bpe, decontam, langid, neardup, secrets
-from lumenstack.llm.common import free_name, materialise, table
+from lumenstack.llm.common import free_name, materialise, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the rejected ones go."""
+    small_batches(spark)
     model = langid.train_text_model(docs, "doc_id", "text", "lang")
     judged = langid.identify_language(docs, model, declared=F.col("lang"), host=F.col("source"))
     verdict = judged.columns[-1]
@@ -24,11 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 or more of their five-word shingles."""
+    small_batches(spark)
     return neardup.keep_one_of_each_group(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    small_batches(spark)
     return docs.where(F.size(decontam.leaks(table(spark, sf_dir, "benchmark"), F.col("text"))) == 0)
 
 
@@ -43,6 +46,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and the digest of what they decode to."""
+    small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = docs.select("doc_id", "lang", "source", bpe.encode_bpe("text", path).alias("ids"))
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode_bpe("ids", path), 256).alias("decoded_sha256"))
