@@ -28,6 +28,8 @@ from lumenstack.llm.common import in_slices
 
 LONG_WORD = 256
 NONE = 1 << 62
+#: A space between other white space, which words may reach over.
+LONE_SPACE = regex.compile(r"\s \s")
 
 
 def byte_chars() -> list[str]:
@@ -219,12 +221,12 @@ class Bpe:
 
     def split(self, text: str) -> list[str]:
         """Chunks that stand alone: no word reaches over a space but as its first character, unless the
-        pattern keeps runs of spaces and the text has one."""
+        pattern keeps white space and the text has a run of it around a space."""
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if "  " in text:
+        if "  " in text or "\0" in text or LONE_SPACE.search(text):
             return [text]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        return text.replace(" ", "\0 ").split("\0")
 
     def pieces(self, text: str | None) -> list[str]:
         """Chunks and special tokens of a text in order."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ from lumenstack.llm.common import in_slices
 #: Fixed values of the checksum mask.
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
 HEAD = struct.Struct("<qB")
+#: A space between other white space, which tokens may reach over.
+LONE_SPACE = re.compile(r"\s \s")
 MANIFEST = "shard int, path string, records long, ids long, width int"
 RECORD = "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long"
 
@@ -65,8 +68,9 @@ def unframe(data: memoryview) -> bytes:
 
 class ChunkEncoder:
     """Encodes with the tokenizers library under a byte-level tokenizer, whose tokens start at most one space
-    early: chunks that each begin at a space stand alone, and the ids of those seen before are kept. Texts with
-    runs of spaces or special tokens go to the library whole."""
+    early: chunks that each begin at a space stand alone, and the ids of those seen before are kept. New chunks go
+    to the library as one text; a chunk's first token is the one that begins with its space. Texts with special
+    tokens, with runs of spaces, or with a space between other white space go to the library whole."""
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
@@ -74,25 +78,33 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         self.limit, self.known = limit, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        plain = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) == len(plain):
+            data, bounds = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.known.update(zip(plain, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
+        self.known.update((c, self.encode(c)) for c in chunks.difference(self.known))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if "  " in t or "\0" in t or any(s in t for s in self.special)]
-        split = [t.replace(" ", "\0 ").split("\0") for t in texts]
+        whole = [not t or "  " in t or "\0" in t or any(s in t for s in self.special) or LONE_SPACE.search(t) for t in texts]
+        split = [None if w else t.replace(" ", "\0 ").split("\0") for t, w in zip(texts, whole)]
         if len(self.known) > self.limit:
             self.known.clear()
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(new, self.encode(new)))
+        new = set(itertools.chain.from_iterable(x for x in split if x)).difference(self.known)
+        if new:
+            self.learn(new)
         of = self.known.__getitem__
-        out = [b"".join(map(of, chunks)) for chunks in split]
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-            out[i] = ids
-        return [np.frombuffer(ids, "<u4") for ids in out]
+        return [np.frombuffer(b"".join(map(of, x)) if x else self.encode(t or ""), "<u4") for t, x in zip(texts, split)]
 
 
 @functools.lru_cache(4)
