@@ -112,7 +112,7 @@ def encoder(path: str, limit: int) -> ChunkEncoder:
     return ChunkEncoder(path, limit)
 
 
-def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_per_record_width: int = 2, partitions: int | None = None, cache_chunks: int = 400_000) -> DataFrame:
+def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_per_record_width: int = 2, partitions: int | None = None, cache_chunks: int = 800_000) -> DataFrame:
     """Encodes the texts, adds end_id to each and writes shards to folder; returns the manifest, a row a shard.
 
     folder: a URI that all executors share. ids_per_record_width: bytes an id, 2 or 4.
