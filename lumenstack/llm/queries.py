@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, decontam, langid, lm, quality, records, secrets, sharding, simhash, urls
+from lumenstack.llm import bpe, decontam, langid, lm, quality, records, secrets, sharding, simhash, sql, urls
 from lumenstack.llm.common import shared_dir, small_batches, table
 
 
@@ -86,4 +86,4 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_quality": sql.OP5_QUALITY, "op8_decontam": sql.OP8_DECONTAM}

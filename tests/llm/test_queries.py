@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from lumenstack.llm.queries import QUERIES
+from lumenstack.llm.queries import ORACLE_SQL, QUERIES
 
 
 def rows_of(spark, name, folder):
@@ -160,6 +161,17 @@ def test_op8(spark, tables):
     assert bag(rows_of(spark, "op8_decontam", folder)) == bag(want)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_twins(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [c[0] for c in cursor.description]
+    assert bag(rows_of(spark, name, folder)) == bag([dict(zip(names, r)) for r in cursor.fetchall()])
+
+
 def test_op9(spark, tables):
     folder, docs, _, _ = tables
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
