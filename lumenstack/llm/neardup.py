@@ -8,9 +8,9 @@ bits, which drops nearly all chance meetings inside the join; the rest meet the
 segments, a pair of J = 0.8 is found with a probability of about 0.98, of J = 0.85 with over 0.999 (the chains are a
 filter after an exact segment here, since at this distance the ring's guarantee alone would admit every pair).
 
-Groups are connected components, found in two passes so that large groups never emit all their pairs: first each
-member of a segment's bucket meets the bucket's least member only (on a quarter of the segments), then members
-of different components meet. Texts with equal fingerprints are one node throughout. Null texts are empty
+Groups are connected components, found in two passes so that large groups do not emit all their pairs: first each
+member of a segment's bucket meets the bucket's least member only (on a quarter of the segments), and in crowded
+buckets the member nearest to their majority; then members of different components meet. Texts with equal fingerprints are one node throughout. Null texts are empty
 texts, and all texts without words are one group. Rows with equal ids and texts count as one document.
 """
 
@@ -87,29 +87,68 @@ def chain_holds(a: Column, b: Column) -> Column:
     return holds
 
 
+def similar(a: str, b: str, similarity: float) -> Column:
+    """Whether two structs (fp, shingles) reach the similarity, as estimated from their distance."""
+    distance = F.aggregate(F.zip_with(f"{a}.fp", f"{b}.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    shared = F.cos(distance * (math.pi / (64 * WORDS))) * F.sqrt(F.col(f"{a}.shingles") * F.col(f"{b}.shingles").cast("double"))
+    return shared >= similarity * (F.col(f"{a}.shingles") + F.col(f"{b}.shingles") - shared)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose estimated Jaccard similarity reaches `similarity`."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.struct("fp", "shingles").alias(f"{name}_"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    distance = F.aggregate(F.zip_with("a_.fp", "b_.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    shared = F.cos(distance * (math.pi / (64 * WORDS))) * F.sqrt(F.col("a_.shingles") * F.col("b_.shingles").cast("double"))
-    return both.where(shared >= similarity * (F.col("a_.shingles") + F.col("b_.shingles") - shared)).select("a", "b")
-
-
-def near_duplicate_links(nodes: DataFrame, similarity: float, slack: float = 0.01) -> DataFrame:
+    return both.where(similar("a_", "b_", similarity)).select("a", "b")
+
+
+def consensus_links(nodes: DataFrame, crowded: DataFrame, least: float) -> DataFrame:
+    """Stars of the buckets of crowded nodes around the member that is nearest to the majority of each bit.
+
+    Copies of one text differ from it each in its own way, so the majority of their bits is that text's, and the
+    text, if it is there, is similar to more of them than any copy is.
+    """
+    rows = nodes.join(crowded, "node", "left_semi").select("node", segments_of("fp", range(SEGMENTS)).alias("s")).select("node", "s.*")
+    rows = materialise(rows)
+    ones = [F.sum(F.shiftrightunsigned("next", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), *ones).where("n > 2")
+    bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)).otherwise(F.lit(0)) for b in range(64)]
+    majority = bits[0].cast("long")
+    for bit in bits[1:]:
+        majority = majority.bitwiseOR(bit.cast("long"))
+    near = rows.join(counted.select("key", majority.alias("majority")), "key")
+    away = F.bit_count(F.col("next").bitwiseXOR(F.col("majority")))
+    hubs = near.groupBy("key").agg(F.min(F.struct(away.alias("away"), "node", "next")).alias("hub"))
+    stars = rows.join(hubs, "key").where("node <> hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
+    return verified(stars.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")), nodes, least)
+
+
+def near_duplicate_links(nodes: DataFrame, similarity: float, slack: float = 0.01, crowd: int = 16) -> DataFrame:
     """Links (a, b) between nodes (node, fp, shingles) that connect what is similar; slack: the estimate's error
-    that still counts as similar."""
+    that still counts as similar; crowd: members of a bucket, beyond four times its share by chance, from which on
+    its links are first sought around the majority."""
+    by_chance = 4 * nodes.count() // (1 << 16)
     quarter = nodes.select("node", segments_of("fp", range(0, SEGMENTS, 4)).alias("s")).select("node", "s.*")
     hubs = quarter.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "next")).alias("hub")).where("n > 1")
-    stars = quarter.join(hubs, "key").where("node > hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
-    first = materialise(verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), nodes, similarity - slack))
+    met = quarter.join(hubs, "key")
+    stars = met.where("node > hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
+    first = verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), nodes, similarity - slack)
+    crowded = materialise(met.where(F.col("n") > crowd + by_chance).select("node").distinct())
+    first = materialise(first.unionAll(consensus_links(nodes, crowded, similarity - slack)))
     roots = connected_components(first, "a", "b")
-    labelled = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-    rows = labelled.select("node", "root", segments_of("fp", range(SEGMENTS)).alias("s")).select("node", "root", "s.*")
-    left, right = (rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "next"))) for side in "ab")
-    apart = left.join(right, "key").where("a_node < b_node and a_root != b_root").where(chain_holds(F.col("a_next"), F.col("b_next")))
-    second = verified(apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), nodes, similarity - slack)
-    return first.unionAll(second)
+    labelled = nodes.join(roots, "node", "left").join(crowded.withColumn("crowded", F.lit(True)), "node", "left").withColumns({"root": F.coalesce("root", "node"), "crowded": F.coalesce("crowded", F.lit(False))})
+    labelled = materialise(labelled)
+    apart = F.expr("a_node < b_node and a_root <> b_root") & chain_holds(F.col("a_next"), F.col("b_next"))
+
+    def pairs(rows: DataFrame, more: Column, *kept: str) -> DataFrame:
+        rows = rows.select("node", "root", "crowded", *kept, segments_of("fp", range(SEGMENTS)).alias("s")).select("node", "root", "crowded", *kept, "s.*")
+        left, right = (rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "key")) for side in "ab")
+        return left.join(right, "key").where(apart & more).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+    second = verified(pairs(labelled, ~(F.col("a_crowded") & F.col("b_crowded"))), nodes, similarity - slack)
+    # Members of crowded buckets carry their whole fingerprints, so that the join itself drops what is not similar.
+    whole = labelled.where("crowded").withColumn("whole", F.struct("fp", "shingles"))
+    third = pairs(whole, similar("a_whole", "b_whole", similarity - slack), "whole").distinct()
+    return first.unionAll(second).unionAll(third)
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
