@@ -37,11 +37,16 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def in_slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[list[str | None]]:
-    """The texts in lists of about `size` bytes or one text."""
+def slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[pa.Array]:
+    """The texts in arrays of about `size` bytes or one text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-        yield texts[at:upto].to_pylist()
+        yield texts[at:upto]
         at = upto
+
+
+def in_slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[list[str | None]]:
+    """As slices(), in lists."""
+    return (some.to_pylist() for some in slices(texts, size))

@@ -70,7 +70,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 2000)
     folder = shared_dir(spark)
     records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return records.read_records(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -25,18 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenstack.llm.common import in_slices
+from lumenstack.llm.common import slices
 
 #: Fixed values of the checksum mask.
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
 HEAD = struct.Struct("<qB")
-#: A space between other white space, which tokens may reach over.
-LONE_SPACE = re.compile(r"\s \s")
+#: White space, as RE2 writes it. A space between other white space is one that tokens may reach over.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+#: Where tokens always part: a line's end between words or marks, and marks after a letter.
+CUTS = ((r"([A-Za-z.,;:!?])\n([A-Za-z])", "\\1\0\n\0\\2"), (r"([A-Za-z])([.,;:!?])", "\\1\0\\2"))
+#: Chunks of more characters are not kept.
+LONG_CHUNK = 64
 MANIFEST = "shard int, path string, records long, ids long, width int"
 RECORD = "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long"
 
@@ -68,43 +73,80 @@ def unframe(data: memoryview) -> bytes:
 
 class ChunkEncoder:
     """Encodes with the tokenizers library under a byte-level tokenizer, whose tokens start at most one space
-    early: chunks that each begin at a space stand alone, and the ids of those seen before are kept. New chunks go
-    to the library as one text; a chunk's first token is the one that begins with its space. Texts with special
-    tokens, with runs of spaces, or with a space between other white space go to the library whole."""
+    early: chunks that each begin at a space stand alone. A batch's chunks are told apart by Arrow, and the ids of
+    those of up to LONG_CHUNK characters are kept in two generations of `limit` chunks each. New chunks go to the
+    library as one text: a chunk's first token is the one that begins with its space; words without a space stand on
+    lines. Chunks are cut further where the tokenizer always parts (CUTS). Texts with special tokens,
+    with runs of spaces, or with a space between other white space go to the library whole."""
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join(["  ", r"\x00", f"{SPACE} {SPACE}", *map(re.escape, special)])
         self.starts = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         self.starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
-        self.limit, self.known = limit, {}
+        self.ends_line = np.zeros_like(self.starts)
+        self.ends_line[self.tokenizer.get_vocab()["Ċ"]] = True
+        self.limit, self.young, self.old = limit, {}, {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        plain = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace()]
-        ids = np.array(self.tokenizer.encode("".join(plain), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.starts[ids])
-        if len(at) == len(plain):
-            data, bounds = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            self.known.update(zip(plain, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
-        self.known.update((c, self.encode(c)) for c in chunks.difference(self.known))
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks."""
+        spaced = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        bare, found = [c for c in chunks if c.isalpha()], {}
+        for own, between, opens in ((spaced, "", self.starts), (bare, "\n", self.ends_line)):
+            data = self.encode(between.join([*own, ""]))
+            at = 4 * (np.flatnonzero(opens[np.frombuffer(data, "<u4")]) + len(between))
+            starts = at.tolist() if not between else [0, *at[:-1].tolist()]
+            ends = [*at[1:].tolist(), len(data)] if not between else (at - 4).tolist()
+            if len(at) == len(own):
+                found.update(zip(own, [data[a:b] for a, b in zip(starts, ends)]))
+        if len(found) < len(chunks):
+            found.update((c, self.encode(c)) for c in chunks if c not in found)
+        return found
+
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        out = list(map(self.young.get, chunks))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if len(self.young) + len(missing) > self.limit:
+            self.young, self.old = {}, self.young
+        wanted = [chunks[i] for i in missing]
+        known = list(map(self.old.get, wanted))
+        new = self.learn([c for c, x in zip(wanted, known) if x is None])
+        for i, c, x in zip(missing, wanted, known):
+            out[i] = x = new[c] if x is None else x
+            if len(c) <= LONG_CHUNK:
+                self.young[c] = x
+        return out
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        whole = [not t or "  " in t or "\0" in t or any(s in t for s in self.special) or LONE_SPACE.search(t) for t in texts]
-        split = [None if w else t.replace(" ", "\0 ").split("\0") for t, w in zip(texts, whole)]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = set(itertools.chain.from_iterable(x for x in split if x)).difference(self.known)
-        if new:
-            self.learn(new)
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, x)) if x else self.encode(t or ""), "<u4") for t, x in zip(texts, split)]
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.whole)
+        marked = pc.replace_substring(texts.filter(pc.invert(whole)), " ", "\0 ")
+        for pattern, apart in CUTS:
+            marked = pc.replace_substring_regex(marked, pattern, apart)
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\0")[0].as_py()
+        parts = self.of_chunks(joined.split("\0") if len(coded.dictionary) else [])
+        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        chunk = coded.indices.to_numpy()
+        own, first = sizes[chunk], (np.cumsum(sizes) - sizes)[chunk]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(first - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(split.value_lengths().to_numpy()))]
+        rest = iter(np.split(ids, bounds[1:-1]))
+        alone = iter(texts.filter(whole).to_pylist())
+        return [np.frombuffer(self.encode(next(alone)), "<u4") if w else next(rest) for w in whole.to_pylist()]
 
 
 @functools.lru_cache(4)
@@ -112,7 +154,7 @@ def encoder(path: str, limit: int) -> ChunkEncoder:
     return ChunkEncoder(path, limit)
 
 
-def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_per_record_width: int = 2, partitions: int | None = None, cache_chunks: int = 800_000) -> DataFrame:
+def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_per_record_width: int = 2, partitions: int | None = None, cache_chunks: int = 600_000) -> DataFrame:
     """Encodes the texts, adds end_id to each and writes shards to folder; returns the manifest, a row a shard.
 
     folder: a URI that all executors share. ids_per_record_width: bytes an id, 2 or 4.
@@ -121,7 +163,7 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col
 
     def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
         docs, at = batch.column(0).to_pylist(), 0
-        for texts in in_slices(batch.column(1)):
+        for texts in slices(batch.column(1), 4_000_000):
             yield from zip(docs[at : at + len(texts)], encoder(path, cache_chunks).encode_batch(texts))
             at += len(texts)
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,8 +32,10 @@ def test_bpe(name):
 def test_chunk_encoder():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), ChunkEncoder(path, 1000)
-    for t, ids in zip(texts(), own.encode_batch(texts())):
+    for t, ids in zip(texts(), own.encode_batch(pa.array(texts()))):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert [x.tolist() for x in own.encode_batch(pa.array([None, "", None]))] == [[], [], []]
+    assert own.encode_batch(pa.array([], pa.string())) == []
 
 
 def test_long_words_merge_alike():
