@@ -258,16 +258,18 @@ class Bpe:
 
 
 @functools.lru_cache(4)
-def load(path: str, cache_words: int) -> Bpe:
-    return Bpe(path, cache_words)
+def load(path: str) -> Bpe:
+    """One for a worker's encoding and decoding."""
+    return Bpe(path, 0)
 
 
 def encode_bpe(text: Column | str, path: str, cache_words: int = 200_000) -> Column:
     """The ids of each text, an array<int>. path: a tokenizer file that every executor can open."""
 
     def run(texts: pa.Array) -> pa.Array:
-        bpe = load(path, cache_words)
-        parts = [p for some in in_slices(texts) for p in bpe.encode_batch(some)]
+        bpe = load(path)
+        bpe.limit = cache_words
+        parts = [p for some in in_slices(texts, 1_000_000) for p in bpe.encode_batch(some)]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
         values = np.frombuffer(b"".join(parts), "<i4")
         if ends[-1] < 1 << 31:
@@ -281,7 +283,7 @@ def decode_bpe(ids: Column | str, path: str) -> Column:
     """The text of each array of ids, special tokens included."""
 
     def run(lists: pa.Array) -> pa.Array:
-        bpe = load(path, 1)
+        bpe = load(path)
         values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
         return pa.array((bpe.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])), pa.string())
 

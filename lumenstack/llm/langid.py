@@ -53,9 +53,9 @@ class TextModel:
         """(texts, languages): log-likelihood over the flat model's, tempered."""
         out = np.zeros((len(texts), len(self.languages)))
         at = 0
-        while at < len(texts):  # about a million bytes at once
+        while at < len(texts):  # about 250,000 bytes at once
             size, upto = 0, at
-            while upto < len(texts) and (size < 1_000_000 or upto == at):
+            while upto < len(texts) and (size < 250_000 or upto == at):
                 size, upto = size + len(texts[upto] or ""), upto + 1
             grams, bounds = trigrams(texts[at:upto])
             for k in range(len(self.languages)):
