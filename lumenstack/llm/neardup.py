@@ -2,36 +2,41 @@
 
 A fingerprint has `WORDS` x 64 bits, in a ring of 16-bit segments; two texts whose shingle sets have a cosine c
 differ in a share acos(c) / pi of the bits, so the Hamming distance, with the numbers of shingles, estimates
-their Jaccard similarity J within about 0.015. Segments that agree exactly are the keys of an equi-join; from
-such a segment, chains of 2 to 5 consecutive segments must stay within their proportional budgets of differing
-bits, which drops nearly all chance meetings inside the join; the rest meet the full Hamming check. With 64
-segments, a pair of J = 0.8 is found with a probability of about 0.98, of J = 0.85 with over 0.999 (the chains are a
-filter after an exact segment here, since at this distance the ring's guarantee alone would admit every pair).
+their Jaccard similarity J, at J = 0.8 with a standard deviation of 0.026. Segments that agree exactly are the keys
+of an equi-join; from such a segment, chains of 2 to 5 consecutive segments must stay within their proportional
+budgets of differing bits, which drops nearly all chance meetings inside the join. The rest meet the full Hamming
+check, which is a filter only: pairs whose estimate is at least J less `margin` (nearly four deviations) go on, and
+the sets of shingle hashes of the two texts decide by exact similarity. So no pair under J is linked. A lone pair of
+J = 0.8 shares a segment and its chains with a probability of about 0.98, of J = 0.85 with over 0.999; a pair that
+shares none is not found (the chains are a filter after an exact segment here, since at this distance the ring's
+guarantee alone would admit every pair).
 
 Groups are connected components, found in two passes so that large groups do not emit all their pairs: first each
 member of a segment's bucket meets the bucket's least member only (on a quarter of the segments), and in crowded
-buckets the member nearest to their majority; then members of different components meet. Texts with equal fingerprints are one node throughout. Null texts are empty
+buckets the member nearest to their majority; then members of different components meet. Texts with equal sets of shingle hashes are one node throughout. Null texts are empty
 texts, and all texts without words are one group. Rows with equal ids and texts count as one document.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenstack.llm.common import free_name, in_slices, materialise
 from lumenstack.llm.components import connected_components
-from lumenstack.llm.simhash import majority, shingle_hashes
+from lumenstack.llm.simhash import shingle_hashes, signed
 
 WORDS = 16
 SEGMENTS = 4 * WORDS
 #: Differing bits that a chain of consecutive segments may have, at one fifth of its bits.
 CHAIN_SHARE = 0.2
-PRINT = "fp array<long>, shingles long"
+PRINT = "fp array<long>, shingles long, digest long"
 
 
 def spread(hashes: np.ndarray) -> np.ndarray:
@@ -46,14 +51,15 @@ def spread(hashes: np.ndarray) -> np.ndarray:
 
 
 def long_fingerprint(text: Column, shingle: int) -> Column:
-    """The fingerprint of each text's set of shingles and the set's size."""
+    """The fingerprint of each text's set of shingles, the set's size, and a hash of the set."""
 
     def run(texts: pa.Array) -> pa.Array:
-        prints, sizes = [], []
+        prints, sizes, digests = [], [], []
         for some in in_slices(texts):
             for t in some:
                 hashes = np.unique(shingle_hashes(t, shingle))
                 sizes.append(len(hashes))
+                digests.append(signed(xxhash.xxh64_intdigest(hashes.tobytes())))
                 total = np.zeros(64 * WORDS, np.int64)
                 for i in range(0, len(hashes), 255):
                     bits = np.unpackbits(spread(hashes[i : i + 255]).view(np.uint8), axis=1, bitorder="little")
@@ -61,11 +67,22 @@ def long_fingerprint(text: Column, shingle: int) -> Column:
                 prints.append(np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64))
         flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * WORDS), pa.array(flat))
-        return pa.StructArray.from_arrays([lists, pa.array(sizes, pa.int64())], ["fp", "shingles"])
+        return pa.StructArray.from_arrays([lists, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], ["fp", "shingles", "digest"])
 
     return F.arrow_udf(run, PRINT)(text)
 
 
+def hash_set(text: Column, shingle: int) -> Column:
+    """The distinct hashes of each text's shingles."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for some in in_slices(texts) for t in some]
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(flat))
+
+    return F.arrow_udf(run, "array<long>")(text)
+
+
 def segments_of(fp: str, numbers: range) -> Column:
     """Structs (key: number and bits of a segment, next: the 64 bits after it)."""
 
@@ -94,13 +111,23 @@ def similar(a: str, b: str, similarity: float) -> Column:
     return shared >= similarity * (F.col(f"{a}.shingles") + F.col(f"{b}.shingles") - shared)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose estimated Jaccard similarity reaches `similarity`."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.struct("fp", "shingles").alias(f"{name}_"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     return both.where(similar("a_", "b_", similarity)).select("a", "b")
 
 
+def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose Jaccard similarity reaches `similarity`; sets: (node, hashes) of a table's nodes."""
+    pairs = materialise(pairs.distinct())
+    held = materialise(sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()))
+    side = lambda name: held.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("a_", "b_")).alias("shared"), (F.size("a_") + F.size("b_")).alias("sizes"))
+    return materialise(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
+
+
 def consensus_links(nodes: DataFrame, crowded: DataFrame, least: float) -> DataFrame:
     """Stars of the buckets of crowded nodes around the member that is nearest to the majority of each bit.
 
@@ -119,21 +146,23 @@ def consensus_links(nodes: DataFrame, crowded: DataFrame, least: float) -> DataF
     away = F.bit_count(F.col("next").bitwiseXOR(F.col("majority")))
     hubs = near.groupBy("key").agg(F.min(F.struct(away.alias("away"), "node", "next")).alias("hub"))
     stars = rows.join(hubs, "key").where("node <> hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
-    return verified(stars.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")), nodes, least)
+    return likely(stars.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")), nodes, least)
 
 
-def near_duplicate_links(nodes: DataFrame, similarity: float, slack: float = 0.01, crowd: int = 16) -> DataFrame:
-    """Links (a, b) between nodes (node, fp, shingles) that connect what is similar; slack: the estimate's error
-    that still counts as similar; crowd: members of a bucket, beyond four times its share by chance, from which on
-    its links are first sought around the majority."""
+def near_duplicate_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, margin: float = 0.1, crowd: int = 16) -> DataFrame:
+    """Links (a, b) between nodes (node, fp, shingles) that connect what is similar; sets: gives (node, hashes) of
+    the nodes of a table; margin: how far under the similarity an estimate may be for its pair to be compared
+    exactly; crowd: members of a bucket, beyond four times its share by chance, from which on its links are first
+    sought around the majority."""
+    least = similarity - margin
     by_chance = 4 * nodes.count() // (1 << 16)
     quarter = nodes.select("node", segments_of("fp", range(0, SEGMENTS, 4)).alias("s")).select("node", "s.*")
     hubs = quarter.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "next")).alias("hub")).where("n > 1")
     met = quarter.join(hubs, "key")
     stars = met.where("node > hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
-    first = verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), nodes, similarity - slack)
+    first = likely(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), nodes, least)
     crowded = materialise(met.where(F.col("n") > crowd + by_chance).select("node").distinct())
-    first = materialise(first.unionAll(consensus_links(nodes, crowded, similarity - slack)))
+    first = verified(first.unionAll(consensus_links(nodes, crowded, least)), sets, similarity)
     roots = connected_components(first, "a", "b")
     labelled = nodes.join(roots, "node", "left").join(crowded.withColumn("crowded", F.lit(True)), "node", "left").withColumns({"root": F.coalesce("root", "node"), "crowded": F.coalesce("crowded", F.lit(False))})
     labelled = materialise(labelled)
@@ -144,11 +173,11 @@ def near_duplicate_links(nodes: DataFrame, similarity: float, slack: float = 0.0
         left, right = (rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "key")) for side in "ab")
         return left.join(right, "key").where(apart & more).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
-    second = verified(pairs(labelled, ~(F.col("a_crowded") & F.col("b_crowded"))), nodes, similarity - slack)
-    # Members of crowded buckets carry their whole fingerprints, so that the join itself drops what is not similar.
+    second = likely(pairs(labelled, ~(F.col("a_crowded") & F.col("b_crowded"))), nodes, least)
+    # Members of crowded buckets carry their whole fingerprints, so that the join itself drops what is not likely.
     whole = labelled.where("crowded").withColumn("whole", F.struct("fp", "shingles"))
-    third = pairs(whole, similar("a_whole", "b_whole", similarity - slack), "whole").distinct()
-    return first.unionAll(second).unionAll(third)
+    third = pairs(whole, similar("a_whole", "b_whole", least), "whole").distinct()
+    return first.unionAll(verified(second.unionAll(third), sets, similarity))
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -156,9 +185,16 @@ def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1))
     row_key = F.xxhash64(F.col(id_col), text_key)
     made = df.select(F.col(id_col).alias("id"), row_key.alias("row"), text_key.alias("text"), long_fingerprint(F.col(text_col), shingle).alias("p"))
-    rows = materialise(made.select("id", "row", "text", F.xxhash64("p.fp", "p.shingles").alias("node"), "p.fp", "p.shingles"))
+    rows = materialise(made.select("id", "row", "text", F.col("p.digest").alias("node"), "p.fp", "p.shingles"))
     nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
-    roots = connected_components(near_duplicate_links(nodes, similarity), "a", "b")
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """(node, hashes): the set of one text of each wanted node."""
+        one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+        texts = df.select(row_key.alias("row"), F.col(text_col).alias("text")).join(one, "row").dropDuplicates(["node"])
+        return texts.select("node", hash_set(F.col("text"), shingle).alias("hashes"))
+
+    roots = connected_components(near_duplicate_links(nodes, sets, similarity), "a", "b")
     placed = rows.select("id", "row", "text", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "text")).alias("best"))
     row, text = free_name(df, "_row"), free_name(df, "_text")

@@ -64,6 +64,24 @@ def test_near_duplicates(spark, planted):
     assert sorted(r["doc_id"] for r in out.collect()) == roots(planted)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Lone pairs of equal-sized texts around 0.8: none under it goes; over it, one of each goes, but for what shares no segment."""
+    rng, rows, of = random.Random(3), [], {}
+    for percent in (76, 79, 80, 82):
+        for _ in range(20):
+            shared = 4 * percent  # of 400 shingles in both together
+            own = [" ".join(f"w{rng.randrange(10**9)}" for _ in range((400 - shared) // 2)) for _ in "ab"]
+            head = " ".join(f"w{rng.randrange(10**9)}" for _ in range(shared + 4))
+            a, b = (shingles(f"{head} {x}") for x in own)
+            assert len(a & b) * 100 == percent * len(a | b)
+            for x in own:
+                of[len(rows)] = percent
+                rows.append((len(rows), f"{head} {x}", "en", "src0", 1))
+    left = [of[r["doc_id"]] for r in neardup.keep_one_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert left.count(76) == left.count(79) == 40
+    assert 20 <= left.count(80) <= 22 and 20 <= left.count(82) <= 22
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c", None, None, None), (5, "a b c", None, None, None), (5, "a b c", None, None, None), (6, None, None, None, None), (7, None, None, None, None)]
     out = neardup.keep_one_of_each_group(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as _row", "2 as _text"))
