@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +100,34 @@ def background_reference(metrics: DataFrame, coverage: DataFrame, frame: str) ->
     return scored.agg(F.min(F.struct("score", frame)).alias("b")).select(f"b.{frame}", "b.score")
 
 
-def pairwise_offsets(px: DataFrame, frame: str, pixel: list[str], reach: int) -> DataFrame:
-    """Median difference over the common footprint of each frame and the `reach` frames after it in order.
+def pairwise_offsets(px: DataFrame, frame: str, pixel: list[str]) -> DataFrame:
+    """Median difference over the common footprint of each two frames a < b that have one.
 
-    px must have a dense frame rank `_i`; pairs are bounded by reach, so the join grows with frames, not their square.
+    The join makes a row for each pixel of each pair, so px should be tiles (stacks of batches), not raw frames.
     """
-    a = px.select(F.col("_i").alias("i"), F.col(frame).alias("a"), *pixel, F.col("v").alias("va"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step")).withColumn("j", F.col("i") + F.col("step"))
-    b = px.select(F.col("_i").alias("j"), F.col(frame).alias("b"), *pixel, F.col("v").alias("vb"))
-    return a.join(b, ["j", *pixel]).groupBy("a", "b").agg(F.median(F.col("va") - F.col("vb")).alias("offset"), F.count("*").alias("overlap"))
+    a = px.select(F.col(frame).alias("a"), *pixel, F.col("v").alias("va"))
+    b = px.select(F.col(frame).alias("b"), *pixel, F.col("v").alias("vb"))
+    return a.join(b, pixel).where("a < b").groupBy("a", "b").agg(F.median(F.col("va") - F.col("vb")).alias("offset"), F.count("*").alias("overlap"))
+
+
+def solve_offsets(pairs: DataFrame, frames: DataFrame, frame: str) -> DataFrame:
+    """(frame, correction) to subtract from each frame: least squares of the pairs' offsets, of mean 0; 0 for frames
+    without a finite offset. The system, a row a pair of tiles, is solved on the driver."""
+    names = sorted(r[0] for r in frames.select(frame).distinct().collect())
+    known = [p for p in pairs.select("a", "b", "offset").collect() if p["offset"] is not None and np.isfinite(p["offset"])]
+    at = {name: i for i, name in enumerate(names)}
+    laplacian, right = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for p in known:
+        i, j = at[p["a"]], at[p["b"]]
+        laplacian[[i, j], [i, j]] += 1.0
+        laplacian[[i, j], [j, i]] -= 1.0
+        right[[i, j]] += (p["offset"], -p["offset"])
+    solved = np.linalg.lstsq(laplacian, right, rcond=None)[0] if names else right
+    met = np.diag(laplacian) > 0
+    solved[met] -= solved[met].mean() if met.any() else 0.0
+    solved[~met] = 0.0
+    kind = frames.schema[frame].dataType.simpleString()
+    return frames.sparkSession.createDataFrame(list(zip(names, solved.tolist())), f"`{frame}` {kind}, correction double")
 
 
 def noise_variance_weights(px: DataFrame, frame: list[str]) -> DataFrame:

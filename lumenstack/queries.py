@@ -221,11 +221,18 @@ def mosaic_reference(spark, d):
 
 @query(f"WITH {PX}, t AS (SELECT batch_id, y, x, avg(v) AS v FROM px GROUP BY ALL) SELECT a.batch_id AS a, b.batch_id AS b, {rs('median(a.v - b.v)')} AS \"offset\", count(*) AS overlap FROM t a JOIN t b ON a.y = b.y AND a.x = b.x AND a.batch_id < b.batch_id GROUP BY ALL")
 def pairwise_bg_offsets(spark, d):
-    tiles = stack.mean(frames(spark, d), PIXEL).select(*PIXEL, F.col("value").alias("v"), F.col("batch_id").alias("_i"))
-    out = robust.pairwise_offsets(tiles, "batch_id", ["y", "x"], 9)
+    tiles = stack.mean(frames(spark, d), PIXEL).select(*PIXEL, F.col("value").alias("v"))
+    out = robust.pairwise_offsets(tiles, "batch_id", ["y", "x"])
     return out.select("a", "b", r("offset").alias("offset"), "overlap")
 
 
+@query()
+def solved_bg_offsets(spark, d):
+    tiles = stack.mean(frames(spark, d), PIXEL).select(*PIXEL, F.col("value").alias("v"))
+    out = robust.solve_offsets(robust.pairwise_offsets(tiles, "batch_id", ["y", "x"]), tiles, "batch_id")
+    return out.select("batch_id", r("correction").alias("correction"))
+
+
 _RGB = "rgb AS (SELECT batch_id, vec_id // 3 AS picture, CAST(vec_id % 3 AS INTEGER) AS ch, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT *, label AS batch_id FROM embeddings), range(1, 65) AS t(i))"
 
 

@@ -151,3 +151,18 @@ def test_nan_is_masked(spark):
 def test_quantise_truncates(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (0.25,), (-3.0,)], "v double")
     assert [r[0] for r in df.select(stretch.quantise(F.col("v"))).collect()] == [0, 65535, 32767, 16383, 0]
+
+
+def test_pairwise_offsets_of_many_labels_with_gaps(spark):
+    """Each two of 14 tiles whose labels are up to 1,000 apart, and the solution of their levels; one tile meets none."""
+    labels = [0, 1, 2, 30, 31, 50, 90, 91, 92, 93, 94, 95, 400, 1000]
+    level = {k: (7 * i) % 11 - 4.0 for i, k in enumerate(labels)}
+    rows = [(k, 0, x, level[k] + 0.1 * x) for k in labels for x in range(3)] + [(2000, 9, 9, 5.0)]
+    px = spark.createDataFrame(rows, "tile long, y int, x int, v double")
+    pairs = robust.pairwise_offsets(px, "tile", ["y", "x"])
+    got = {(p["a"], p["b"]): (round(p["offset"], 9), p["overlap"]) for p in pairs.collect()}
+    assert got == {(a, b): (level[a] - level[b], 3) for a in labels for b in labels if a < b}
+    mean = sum(level.values()) / len(labels)
+    solved = {p["tile"]: p["correction"] for p in robust.solve_offsets(pairs, px, "tile").collect()}
+    assert solved.pop(2000) == 0.0
+    assert all(abs(solved[k] - (level[k] - mean)) < 1e-9 for k in labels) and len(solved) == len(labels)
