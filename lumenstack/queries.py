@@ -543,6 +543,12 @@ def running_average(spark, d):
     return spatial.running_average(px, ["batch_id"], ["frame_id"], "v").select("batch_id", "frame_id", r("average").alias("average"), "frames")
 
 
+@query(f"WITH {PX} SELECT batch_id, y, x, frame_id, {rs('avg(v) OVER w')} AS average, count(v) OVER w AS frames FROM px WINDOW w AS (PARTITION BY batch_id, y, x ORDER BY frame_id ROWS UNBOUNDED PRECEDING)")
+def running_average_pixels(spark, d):
+    """running_average of every pixel; running_average keeps to the pixel of its SQL."""
+    return spatial.running_average(frames(spark, d), PIXEL, ["frame_id"], "v").select(*PIXEL, "frame_id", r("average").alias("average"), "frames")
+
+
 @query("SELECT event_type, round(sum(value), 4) AS sum, count(*) AS wht, round(sum(value) / count(*), 6) AS value FROM events WHERE value / (1.0 + value) > 0.5 GROUP BY 1")
 def live_stack_stream(spark, d):
     from lumenstack.streaming import live

@@ -1,5 +1,7 @@
 """Operators against NumPy, and properties that must hold whatever the partitioning."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +168,12 @@ def test_pairwise_offsets_of_many_labels_with_gaps(spark):
     solved = {p["tile"]: p["correction"] for p in robust.solve_offsets(pairs, px, "tile").collect()}
     assert solved.pop(2000) == 0.0
     assert all(abs(solved[k] - (level[k] - mean)) < 1e-9 for k in labels) and len(solved) == len(labels)
+
+
+def test_running_average_covers_every_pixel(spark):
+    from lumenstack.queries import QUERIES, frames
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    out = QUERIES["running_average_pixels"](spark, folder)
+    assert out.select("y", "x").distinct().count() == 64
+    assert out.count() == frames(spark, folder).count()
