@@ -12,7 +12,7 @@ def drizzle_point(px: DataFrame, key: list[str], out_x: Column, out_y: Column, w
     """Each sample's flux to the cell that holds its centre: weighted mean and weight by cell."""
     w = F.lit(1.0) if weight is None else weight
     cells = px.where(F.col("v").isNotNull()).select(*key, "v", w.alias("w"), F.floor(out_x + 0.5).cast("int").alias("cx"), F.floor(out_y + 0.5).cast("int").alias("cy"))
-    return _summed(cells.where(f"cx between 0 and {width - 1} and cy between 0 and {height - 1}"), key)
+    return summed(cells.where(f"cx between 0 and {width - 1} and cy between 0 and {height - 1}"), key)
 
 
 def drizzle_turbo(px: DataFrame, key: list[str], out_x: Column, out_y: Column, width: int, height: int, pixfrac: float = 1.0, scale: float = 1.0, weight: Column | None = None) -> DataFrame:
@@ -29,10 +29,11 @@ def drizzle_turbo(px: DataFrame, key: list[str], out_x: Column, out_y: Column, w
     share = F.lit(1.0)
     for axis in "xy":
         share *= F.greatest(F.lit(0.0), F.least(F.col(f"o{axis}") + half, F.col(f"c{axis}") + 0.5) - F.greatest(F.col(f"o{axis}") - half, F.col(f"c{axis}") - 0.5))
-    return _summed(boxes.withColumn("w", F.col("w") * share / (4 * half * half)).where("w > 0"), key)
+    return summed(boxes.withColumn("w", F.col("w") * share / (4 * half * half)).where("w > 0"), key)
 
 
-def _summed(cells: DataFrame, key: list[str]) -> DataFrame:
+def summed(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Weighted sums by cell (cy, cx) of v under w."""
     agg = cells.groupBy(*key, F.col("cy").alias("y"), F.col("cx").alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias("sum"), F.sum("w").alias("wht"))
     return agg.withColumn("sci", F.when(F.col("wht") > 0, F.col("sum") / F.col("wht")).otherwise(0.0))
 
@@ -49,16 +50,15 @@ def finalize(acc: DataFrame, group: list[str], mode: str) -> DataFrame:
     return out.withColumn("value", F.when(F.isnan("value") | (F.abs("value") == float("inf")), 0.0).otherwise(F.col("value")))
 
 
-def reproject_bilinear(px: DataFrame, key: list[str], targets: DataFrame) -> DataFrame:
-    """Values at real positions: targets (key, ty, tx, sx, sy) meet the four samples around (sx, sy).
-
-    Missing neighbours make the result null, as outside a footprint.
+def reproject_bilinear(px: DataFrame, key: list[str], targets: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Values at real positions: targets (key, ty, tx, sx, sy) meet the four samples around (sx, sy), for each value of
+    the columns `also` of px (channels). Where a neighbour is missing there is no row, as outside a footprint.
     """
     x0, y0 = F.floor("sx"), F.floor("sy")
     corners = F.array(*(F.struct((x0 + dx).cast("int").alias("x"), (y0 + dy).cast("int").alias("y"), ((1 - dx + (2 * dx - 1) * (F.col("sx") - x0)) * (1 - dy + (2 * dy - 1) * (F.col("sy") - y0))).alias("f")) for dx in (0, 1) for dy in (0, 1)))
     wanted = targets.select(*key, "ty", "tx", F.explode(corners).alias("c")).select(*key, "ty", "tx", "c.*").where("f > 0")
-    met = wanted.join(px.where(F.col("v").isNotNull()).select(*key, "x", "y", "v"), [*key, "x", "y"])
-    agg = met.groupBy(*key, "ty", "tx").agg(F.sum(F.col("v") * F.col("f")).alias("value"), F.sum("f").alias("_f"))
+    met = wanted.join(px.where(F.col("v").isNotNull()).select(*key, *also, "x", "y", "v"), [*key, "x", "y"])
+    agg = met.groupBy(*key, *also, "ty", "tx").agg(F.sum(F.col("v") * F.col("f")).alias("value"), F.sum("f").alias("_f"))
     return agg.where("_f > 1 - 1e-9").drop("_f")
 
 
@@ -77,9 +77,28 @@ def output_grid(headers: DataFrame, group: list[str]) -> DataFrame:
 
 
 def angular_neighbours(a: DataFrame, b: DataFrame, key: str, limit: float = 0.3) -> DataFrame:
-    """Pairs of distinct keys less than `limit` degrees apart: declination bands of the limit's width meet their
-    neighbours by equi-join, then the great-circle distance decides."""
-    left = a.select(F.col(key).alias("a"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), F.floor(F.col("dec") / limit).alias("band"))
-    right = b.select(F.col(key).alias("b"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.explode(F.array(*(F.floor(F.col("dec") / limit) + d for d in (-1, 0, 1)))).alias("band"))
+    """Pairs of distinct keys less than `limit` degrees apart: cells of the sky meet their neighbours by equi-join, then
+    the great-circle distance decides.
+
+    Cells are declination bands of the limit's width, cut in right ascension into as many cells as fit where the band
+    and its neighbours are nearest to a pole, so that points within the limit are in the same or adjacent cells, around
+    the circle.
+    """
+    band = F.floor(F.col("dec") / limit)
+
+    def cells_in(band: Column) -> Column:
+        """Cells of a band's ring, wide enough for the limit at the far edge of the next band."""
+        pole = F.greatest(F.abs(band), F.abs(band + 1)) * limit + limit
+        room = F.cos(F.radians(F.least(pole, F.lit(90.0))))
+        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(min(limit, 180.0)) / 2)) / F.greatest(room, F.lit(1e-9)))))
+        return F.greatest(F.lit(1), F.floor(360.0 / F.greatest(width, F.lit(1e-9)) - 1e-9)).cast("long")
+
+    def cell(ra: Column, band: Column) -> Column:
+        return F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * cells_in(band)).cast("long")
+
+    left = a.select(F.col(key).alias("a"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), band.alias("band"), cell(F.col("ra"), band).alias("cell"))
+    right = b.select(F.col(key).alias("b"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.explode(F.array(*(band + d for d in (-1, 0, 1)))).alias("band"))
+    around = F.array_distinct(F.array(*(F.pmod(cell(F.col("ra2"), F.col("band")) + d, cells_in(F.col("band"))) for d in (-1, 0, 1))))
+    right = right.withColumn("cell", F.explode(around))
     apart = wcs.separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))
-    return left.join(right, "band").where("a < b").withColumn("separation", apart).where(F.col("separation") < limit).select("a", "b", "separation")
+    return left.join(right, ["band", "cell"]).where("a < b").withColumn("separation", apart).where(F.col("separation") < limit).select("a", "b", "separation")

@@ -9,13 +9,32 @@ from pyspark.sql import functions as F
 LUMINANCE = (0.299, 0.587, 0.114)
 
 
+def free_names(df: DataFrame, wishes: tuple[str, ...]) -> list[str]:
+    """Each wish, with underscores before it as long as df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for wish in wishes:
+        while wish.lower() in taken:
+            wish = "_" + wish
+        out.append(wish)
+    return out
+
+
 def clipped(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int = 5) -> DataFrame:
-    """px without what iterated clipping about the median (population deviation) drops."""
-    px, own = px.where(F.col("v").isNotNull()), Window.partitionBy(*key)  # a frame or zone: one shuffle for all rounds
+    """px without what iterated clipping about the median (population deviation) drops.
+
+    Each round is an aggregation by key of what the rounds before it left; their medians and deviations are joined back,
+    so no frame is buffered whole.
+    """
+    steps, limits = free_names(px, ("_steps", "_limit"))
+    px = px.where(F.col("v").isNotNull())
+    passes = F.forall(steps, lambda l: F.abs(F.col("v") - l["m"]) <= sigma * l["s"])
+    found = None
     for _ in range(rounds):
-        marked = px.withColumn("_m", F.median("v").over(own)).withColumn("_s", F.stddev_pop("v").over(own))
-        px = marked.where(F.abs(F.col("v") - F.col("_m")) <= sigma * F.col("_s")).drop("_m", "_s")
-    return px
+        inside = px if found is None else px.join(found, key).where(passes)
+        before = F.array().cast("array<struct<m:double,s:double>>") if found is None else F.first(steps)
+        own = inside.groupBy(*key).agg(before.alias(steps), F.struct(F.median("v").alias("m"), F.stddev_pop("v").alias("s")).alias(limits))
+        found = own.select(*key, F.concat(F.col(steps), F.array(limits)).alias(steps))
+    return px.join(found, key).where(passes).drop(steps)
 
 
 def clipped_stats(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int = 5) -> DataFrame:
@@ -25,16 +44,18 @@ def clipped_stats(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int
 
 def subtract_sky(px: DataFrame, key: list[str], least: int = 1024) -> DataFrame:
     """px less its clipped median; frames of fewer than `least` samples are left alone."""
-    sizes = px.groupBy(*key).agg(F.count("v").alias("_n"))
-    sky = clipped_stats(px, key).select(*key, F.col("median").alias("_sky"))
-    level = F.when(F.col("_n") >= least, F.coalesce("_sky", F.lit(0.0))).otherwise(0.0)
-    return px.join(sizes, key).join(sky, key, "left").withColumn("v", F.col("v") - level).drop("_n", "_sky")
+    n, level = free_names(px, ("_n", "_sky"))
+    sizes = px.groupBy(*key).agg(F.count("v").alias(n))
+    sky = clipped_stats(px, key).select(*key, F.col("median").alias(level))
+    shift = F.when(F.col(n) >= least, F.coalesce(level, F.lit(0.0))).otherwise(0.0)
+    return px.join(sizes, key).join(sky, key, "left").withColumn("v", F.col("v") - shift).drop(n, level)
 
 
 def deviation(px: DataFrame, key: list[str]) -> DataFrame:
     """(key, med, mad, n): median and raw median absolute deviation."""
+    (m,) = free_names(px, ("_med",))
     med = px.groupBy(*key).agg(F.median("v").alias("med"), F.count("v").alias("n"))
-    mad = px.join(med.select(*key, "med"), key).groupBy(*key).agg(F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"))
+    mad = px.join(med.select(*key, F.col("med").alias(m)), key).groupBy(*key).agg(F.median(F.abs(F.col("v") - F.col(m))).alias("mad"))
     return med.join(mad, key)
 
 
@@ -59,10 +80,11 @@ def low_variance(px: DataFrame, key: list[str], least: float = 0.0005) -> DataFr
     return px.groupBy(*key).agg(F.stddev_pop("v").alias("std")).where(F.col("std") < least)
 
 
-def overlap_ratio(a: DataFrame, b: DataFrame, pixel: list[str], key: list[str], least: int = 1024) -> DataFrame:
-    """Scale and offset of b against a over common positive pixels: medians, the 90th percentile if one is not
-    positive; scale within [0.2, 5]."""
-    both = a.select(*pixel, F.col("v").alias("va")).join(b.select(*key, *pixel, F.col("v").alias("vb")), pixel).where("va > 0 and vb > 0")
+def overlap_ratio(a: DataFrame, b: DataFrame, pixel: list[str], key: list[str], least: int = 1024, weight: str | None = None) -> DataFrame:
+    """Scale and offset of b against a over common positive pixels (of positive weight in both, if one is named):
+    medians, the 90th percentile if one is not positive; scale within [0.2, 5]."""
+    good = (F.col(weight) > 0) if weight else F.lit(True)
+    both = a.where(good).select(*pixel, F.col("v").alias("va")).join(b.where(good).select(*key, *pixel, F.col("v").alias("vb")), pixel).where("va > 0 and vb > 0")
     agg = both.groupBy(*key).agg(F.count("*").alias("overlap"), F.median("va").alias("ma"), F.median("vb").alias("mb"), F.percentile("va", F.lit(0.9)).alias("pa"), F.percentile("vb", F.lit(0.9)).alias("pb"))
     ref, new = F.when(F.col("ma") > 0, F.col("ma")).otherwise(F.col("pa")), F.when(F.col("mb") > 0, F.col("mb")).otherwise(F.col("pb"))
     return agg.where(F.col("overlap") >= least).select(*key, "overlap", F.least(F.greatest(F.abs(ref / new), F.lit(0.2)), F.lit(5.0)).alias("scale"), (ref - new).alias("offset"))
@@ -161,37 +183,61 @@ def _reference(stats: DataFrame, group: list[str], frame: str, columns: list[str
     return stats.join(first, [*group, frame]).drop(frame).withColumnsRenamed({c: f"ref_{c}" for c in columns})
 
 
-def linear_fit_coefficients(px: DataFrame, group: list[str], frame: str, low: float = 0.25, high: float = 0.9) -> DataFrame:
-    """(a, b) that take the two percentiles of each frame to those of its group's first frame, by channel."""
+def linear_fit_coefficients(px: DataFrame, group: list[str], frame: str, low: float = 0.25, high: float = 0.9, ladder: bool = False) -> DataFrame:
+    """(a, b) that take the two percentiles of each frame to those of its group's first frame, by channel.
+
+    A flat frame is shifted. ladder: a flat frame under a reference with range becomes its low level, and a frame with
+    range under a flat reference is shifted.
+    """
     p = F.percentile("v", F.array(F.lit(low), F.lit(high)))
     stats = px.groupBy(*group, frame, "ch").agg(p.alias("p")).select(*group, frame, "ch", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     both = stats.join(_reference(stats, [*group, "ch"], frame, ["lo", "hi"]), [*group, "ch"])
-    a = F.when(F.col("hi") - F.col("lo") > 1e-5, (F.col("ref_hi") - F.col("ref_lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
+    own, ref = F.col("hi") - F.col("lo"), F.col("ref_hi") - F.col("ref_lo")
+    if ladder:
+        own_flat, ref_flat = F.abs(own) <= 1e-5, F.abs(ref) <= 1e-5
+        a = F.when(own_flat & ~ref_flat, 0.0).when(own_flat | ref_flat, 1.0).otherwise(ref / own)
+    else:
+        a = F.when(own > 1e-5, ref / own).otherwise(1.0)
     return both.withColumn("a", a).select(*group, frame, "ch", "a", (F.col("ref_lo") - F.col("a") * F.col("lo")).alias("b"))
 
 
-def normalize_linear(px: DataFrame, group: list[str], frame: str) -> DataFrame:
-    return px.join(linear_fit_coefficients(px, group, frame), [*group, frame, "ch"]).withColumn("v", F.col("a") * F.col("v") + F.col("b")).drop("a", "b")
+def normalize_linear(px: DataFrame, group: list[str], frame: str, ladder: bool = False) -> DataFrame:
+    a, b = free_names(px, ("_a", "_b"))
+    found = linear_fit_coefficients(px, group, frame, ladder=ladder).withColumnsRenamed({"a": a, "b": b})
+    return px.join(found, [*group, frame, "ch"]).withColumn("v", F.col(a) * F.col("v") + F.col(b)).drop(a, b)
+
+
+def normalize(px: DataFrame, method: str, group: list[str], frame: str) -> DataFrame:
+    """By name: astropy (robust z), skimage or basic (to [0, 1]), linear_fit, sky_mean, none."""
+    if method == "none":
+        return px
+    ways = {"astropy": lambda: normalize_robust(px, [*group, frame]), "skimage": lambda: normalize_minmax(px, [*group, frame]), "basic": lambda: normalize_minmax(px, [*group, frame]), "linear_fit": lambda: normalize_linear(px, group, frame), "sky_mean": lambda: normalize_sky(px, group, frame)}
+    if method not in ways:
+        raise ValueError(f"no normalisation {method}")
+    return ways[method]()
 
 
 def normalize_sky(px: DataFrame, group: list[str], frame: str, at: float = 0.25) -> DataFrame:
     """Adds the difference of the reference's and the frame's percentile."""
     stats = px.groupBy(*group, frame).agg(F.percentile("v", F.lit(at)).alias("sky"))
-    both = stats.join(_reference(stats, group, frame, ["sky"]), group).select(*group, frame, (F.col("ref_sky") - F.col("sky")).alias("_d"))
-    return px.join(both, [*group, frame]).withColumn("v", F.col("v") + F.col("_d")).drop("_d")
+    (d,) = free_names(px, ("_d",))
+    both = stats.join(_reference(stats, group, frame, ["sky"]), group).select(*group, frame, (F.col("ref_sky") - F.col("sky")).alias(d))
+    return px.join(both, [*group, frame]).withColumn("v", F.col("v") + F.col(d)).drop(d)
 
 
 def normalize_robust(px: DataFrame, key: list[str]) -> DataFrame:
     """(v - median) / max(1.4826 MAD, 1e-9)."""
-    d = deviation(px, key).select(*key, "med", "mad")
-    return px.join(d, key).withColumn("v", (F.col("v") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), F.lit(1e-9))).drop("med", "mad")
+    med, mad = free_names(px, ("_med", "_mad"))
+    d = deviation(px, key).select(*key, F.col("med").alias(med), F.col("mad").alias(mad))
+    return px.join(d, key).withColumn("v", (F.col("v") - F.col(med)) / F.greatest(1.4826 * F.col(mad), F.lit(1e-9))).drop(med, mad)
 
 
 def normalize_minmax(px: DataFrame, key: list[str]) -> DataFrame:
-    """To [0, 1]; flat frames become 0."""
-    m = px.groupBy(*key).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return px.join(m, key).withColumn("v", scaled).drop("_lo", "_hi")
+    """To [0, 1]; flat frames and missing samples become 0."""
+    lo, hi = free_names(px, ("_lo", "_hi"))
+    m = px.groupBy(*key).agg(F.min("v").alias(lo), F.max("v").alias(hi))
+    scaled = F.when(F.col(hi) > F.col(lo), (F.col("v") - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
+    return px.join(m, key).withColumn("v", F.coalesce(scaled, F.lit(0.0))).drop(lo, hi)
 
 
 def background_offsets(px: DataFrame, group: list[str], frame: str) -> DataFrame:

@@ -2,33 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def neighbourhood(px: DataFrame, key: list[str], size: int) -> DataFrame:
-    """(key, y, x, v, nv): each sample with the samples of the size x size box around it, itself among them.
+def neighbourhood(px: DataFrame, key: list[str], size: int, mirror: bool = False) -> DataFrame:
+    """(key, y, x, v, nv, oy, ox): each sample with the samples of the size x size box around it, itself among them, and
+    how far off they are.
 
-    Each sample is sent to the size^2 boxes that it is in: a bounded explosion and one equi-join. Borders see
-    what is inside the image.
+    Each sample is sent to the size^2 boxes that it is in: a bounded explosion and one equi-join, for small boxes; see
+    hot_pixels() for larger ones. Borders see what is inside the image; mirror: also its mirror image, without the
+    border row itself.
     """
-    reach = [F.lit(d) for d in range(-(size // 2), size // 2 + 1)]
+    half = size // 2
+    reach = [F.lit(d) for d in range(-half, half + 1)]
     sent = px.select(*key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("v").alias("nv"))
+    if mirror:
+        sent = sent.join(px.groupBy(*key).agg(F.max("y").alias("_ty"), F.max("x").alias("_tx")), key)
+        for axis in "yx":
+            p, top = F.col(f"_{axis}"), F.col(f"_t{axis}")
+            sent = sent.withColumn(f"_{axis}", F.explode(F.array_distinct(F.filter(F.array(p, -p, 2 * top - p), lambda q: (q >= -half) & (q <= top + half)))))
     sent = sent.withColumn("_dy", F.explode(F.array(*reach))).withColumn("_dx", F.explode(F.array(*reach)))
-    sent = sent.select(*key, (F.col("_y") + F.col("_dy")).alias("y"), (F.col("_x") + F.col("_dx")).alias("x"), "nv")
+    sent = sent.select(*key, (F.col("_y") + F.col("_dy")).alias("y"), (F.col("_x") + F.col("_dx")).alias("x"), "nv", (-F.col("_dy")).alias("oy"), (-F.col("_dx")).alias("ox"))
     return px.join(sent, [*key, "y", "x"])
 
 
-def hot_pixels(px: DataFrame, key: list[str], threshold: float = 3.0, size: int = 5) -> DataFrame:
-    """A sample over the box mean by `threshold` box deviations (1e-5 at least) becomes the box median.
-
-    The size is made odd and 3 at least.
+def box_statistics(rows: pa.Array, row: pa.Array, height: pa.Array, size: int) -> pa.Array:
+    """For packed rows (y, xs, vs) around a row of each image: of each of its cells the box median, the border samples
+    repeated beyond it, and the box mean and mean square, mirrored beyond it without the border samples."""
+    half, flat = size // 2, rows.flatten()
+    ys, xs, vs = flat.field("y").to_numpy(), flat.field("xs"), flat.field("vs")
+    cuts = np.concatenate([[0], np.cumsum(xs.value_lengths().to_numpy())])
+    x, v = xs.flatten().to_numpy(), vs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    groups = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())])
+    out = []
+    for g, (a, b) in enumerate(zip(groups[:-1], groups[1:])):
+        at, h = row[g].as_py(), height[g].as_py()
+        width = int(x[cuts[a] : cuts[b]].max()) + 1
+        image = {int(ys[r]): r for r in range(a, b)}
+
+        def line(y: int) -> np.ndarray:
+            values = np.full(width, np.nan)
+            if y in image:
+                r = image[y]
+                values[x[cuts[r] : cuts[r + 1]]] = v[cuts[r] : cuts[r + 1]]
+            return values
+
+        places = np.arange(at - half, at + half + 1)
+        repeated = np.pad(np.array([line(y) for y in np.clip(places, 0, h - 1).tolist()]), ((0, 0), (half, half)), "edge")
+        turned = np.where(places < 0, -places, np.where(places > h - 1, 2 * (h - 1) - places, places))
+        mirrored = np.pad(np.array([line(y) for y in turned.tolist()]), ((0, 0), (half, half)), "reflect" if width > half else "edge")
+        boxes = np.lib.stride_tricks.sliding_window_view(repeated, size, axis=1).transpose(1, 0, 2).reshape(width, -1)
+        means = np.lib.stride_tricks.sliding_window_view(mirrored, size, axis=1).transpose(1, 0, 2).reshape(width, -1)
+        r = image[at]
+        own = x[cuts[r] : cuts[r + 1]]
+        out.append((own, v[cuts[r] : cuts[r + 1]], np.nanmedian(boxes, axis=1)[own], np.nanmean(means, axis=1)[own], np.nanmean(means * means, axis=1)[own]))
+    ends = pa.array(np.cumsum([0, *(len(o[0]) for o in out)], dtype=np.int32))
+    join = lambda i, kind: pa.array(np.concatenate([o[i] for o in out]) if out else [], kind, from_pandas=i > 0)
+    cells = pa.StructArray.from_arrays([join(0, pa.int32()), *(join(i, pa.float64()) for i in range(1, 5))], ["x", "v", "med", "m", "m2"])
+    return pa.ListArray.from_arrays(ends, cells)
+
+
+def hot_pixels(px: DataFrame, key: list[str], threshold: float = 3.0, size: int = 5, whole_numbers: bool = False) -> DataFrame:
+    """A sample over the box median by `threshold` box deviations (1e-5 at least, 1 for whole numbers) becomes the median.
+
+    The size is made odd and 3 at least. Image rows are packed and each is sent to the `size` rows around it, not each
+    sample to size^2 boxes; borders are as in box_statistics().
     """
     size = max(3, size | 1)
-    box = neighbourhood(px, key, size).groupBy(*key, "y", "x", "v").agg(F.median("nv").alias("med"), F.avg("nv").alias("m"), F.avg(F.col("nv") * F.col("nv")).alias("m2"))
-    std = F.greatest(F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-10))), F.lit(1e-5))
+    half = size // 2
+    packed = px.groupBy(*key, "y").agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("c"))
+    packed = packed.select(*key, "y", F.struct("y", F.col("c.x").alias("xs"), F.col("c.v").alias("vs")).alias("r"))
+    height = packed.groupBy(*key).agg((F.max("y") + 1).alias("h"))
+    sent = packed.join(height, key).withColumn("d", F.explode(F.array(*map(F.lit, range(-half, half + 1))))).withColumn("t", F.col("y") + F.col("d")).where("t between 0 and h - 1")
+    around = sent.groupBy(*key, "t", "h").agg(F.collect_list("r").alias("rows")).join(packed.select(*key, F.col("y").alias("t")), [*key, "t"], "left_semi")
+
+    def run(rows: pa.Array, row: pa.Array, height: pa.Array) -> pa.Array:
+        return box_statistics(rows, row, height, size)
+
+    made = F.arrow_udf(run, "array<struct<x:int,v:double,med:double,m:double,m2:double>>")("rows", "t", "h")
+    box = around.select(*key, F.col("t").alias("y"), F.explode(made).alias("b")).select(*key, "y", "b.*")
+    std = F.greatest(F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(1e-10))), F.lit(1.0 if whole_numbers else 1e-5))
     hot = F.col("v") > F.col("med") + threshold * std
-    return box.select(*key, "y", "x", F.when(hot, F.col("med")).otherwise(F.col("v")).alias("v"), hot.alias("hot"))
+    return box.select(*key, "y", "x", F.when(hot, F.col("med")).otherwise(F.col("v")).alias("v"), F.coalesce(hot, F.lit(False)).alias("hot"))
 
 
 def downsample(px: DataFrame, key: list[str], factor: int = 2) -> DataFrame:
@@ -89,6 +147,44 @@ def debayer_bilinear(px: DataFrame, key: list[str], pattern: str = "GRBG") -> Da
     return grouped.select(*key, "y", "x", "c", F.when(F.col("own.c") == F.col("c"), F.col("own.v")).otherwise(F.col("around")).alias("v"))
 
 
+#: The 5 x 5 filters of gradient-corrected demosaicing (Malvar, He and Cutler, 2004), in eighths: green at a
+#: red or blue pixel, a colour at a green pixel along its row and along its column, and red at blue or blue at red.
+MALVAR = {
+    "green": ((0, 0, -1, 0, 0), (0, 0, 2, 0, 0), (-1, 2, 4, 2, -1), (0, 0, 2, 0, 0), (0, 0, -1, 0, 0)),
+    "row": ((0, 0, 0.5, 0, 0), (0, -1, 0, -1, 0), (-1, 4, 5, 4, -1), (0, -1, 0, -1, 0), (0, 0, 0.5, 0, 0)),
+    "column": ((0, 0, -1, 0, 0), (0, -1, 4, -1, 0), (0.5, 0, 5, 0, 0.5), (0, -1, 4, -1, 0), (0, 0, -1, 0, 0)),
+    "other": ((0, 0, -1.5, 0, 0), (0, 2, 0, 2, 0), (-1.5, 0, 6, 0, -1.5), (0, 2, 0, 2, 0), (0, 0, -1.5, 0, 0)),
+}
+
+
+def debayer_malvar(px: DataFrame, key: list[str], pattern: str = "GRBG") -> DataFrame:
+    """(key, y, x, r, g, b) of a mosaic by gradient-corrected filters, borders mirrored."""
+    place = (2 * (F.col("y") % 2) + F.col("x") % 2 + 1).cast("int")
+    own = F.element_at(F.array(*map(F.lit, pattern)), place)
+    along = F.element_at(F.array(*(F.lit(pattern[i ^ 1]) for i in range(4))), place)  # the other colour of the pixel's row
+    box = neighbourhood(px, key, 5, mirror=True)
+
+    def filtered(matrix: tuple) -> Column:
+        table = F.array(*(F.array(*(F.lit(float(c) / 8) for c in row)) for row in matrix))
+        return F.sum(F.col("nv") * F.element_at(F.element_at(table, (F.col("oy") + 3).cast("int")), (F.col("ox") + 3).cast("int")))
+
+    sums = box.groupBy(*key, "y", "x").agg(F.first("v").alias("own"), *(filtered(m).alias(name) for name, m in MALVAR.items()))
+    pick = lambda colour: F.when(own == colour, F.col("own")).when(own == "G", F.when(along == colour, F.col("row")).otherwise(F.col("column"))).otherwise(F.col("other"))
+    return sums.select(*key, "y", "x", pick("R").alias("r"), F.when(own == "G", F.col("own")).otherwise(F.col("green")).alias("g"), pick("B").alias("b"))
+
+
+def star_mask(stars: DataFrame, frame: list[str], grow: int = 2) -> DataFrame:
+    """(frame, y, x): cells within `grow` steps of a star's centre, as a cross dilated so often."""
+    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-grow, grow + 1) for b in range(-grow, grow + 1) if abs(a) + abs(b) <= grow]
+    at = stars.select(*frame, F.round("sy").cast("int").alias("cy"), F.round("sx").cast("int").alias("cx"), F.explode(F.array(*steps)).alias("d"))
+    return at.select(*frame, (F.col("cy") + F.col("d.a")).alias("y"), (F.col("cx") + F.col("d.b")).alias("x")).where("y >= 0 and x >= 0").distinct()
+
+
+def moving_average(values: Column, alpha: float = 0.1) -> Column:
+    """Exponential moving average of an ordered array; it starts at the first value."""
+    return F.aggregate(F.slice(values, 2, 1_000_000_000), F.element_at(values, 1).cast("double"), lambda a, x: (1 - alpha) * a + alpha * x)
+
+
 def histogram(df: DataFrame, group: list[str], value: str, bins: int = 256) -> DataFrame:
     """Counts in `bins` equal bins from the least to the greatest value (its edge raised by a thousandth of the
     range), empty bins included; tiny negatives (over -1e-5) count as 0."""

@@ -14,19 +14,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenstack.operators import robust, spatial
+from lumenstack.functions import wcs
+from lumenstack.operators import project, robust, spatial
+from lumenstack.work import materialise
 
 TRANSFORM = "m11 double, m12 double, m13 double, m21 double, m22 double, m23 double, ok boolean, matched int"
 
 
 def detect(px: DataFrame, frame: list[str], sigma: float = 5.0, size: int = 5, brightest: int = 40) -> DataFrame:
-    """(frame, sx, sy, flux, rank): centres, flux over the sky, and rank by flux."""
+    """(frame, sx, sy, flux, fwhm, rank): centres, flux over the sky, full width at half maximum by the second moments of
+    the box, and rank by flux."""
     sky = robust.clipped_stats(px, frame).select(*frame, F.col("median").alias("_m"), F.col("std").alias("_s"))
     good = px.where(F.col("v").isNotNull()).join(sky, frame)
     above = good.withColumn("v", F.struct(F.greatest(F.col("v") - F.col("_m"), F.lit(0.0)).alias("f"), "y", "x", (F.col("v") > F.col("_m") + sigma * F.col("_s")).alias("over")))
     box = spatial.neighbourhood(above, frame, size)
-    sums = box.where("v.over").groupBy(*frame, "y", "x").agg(F.max(F.struct("nv.f", (-F.col("nv.y")).alias("a"), (-F.col("nv.x")).alias("b"))).alias("top"), F.sum("nv.f").alias("flux"), F.sum(F.col("nv.f") * F.col("nv.x")).alias("fx"), F.sum(F.col("nv.f") * F.col("nv.y")).alias("fy"))
-    peaks = sums.where("flux > 0 and top.a = -y and top.b = -x").select(*frame, (F.col("fx") / F.col("flux")).alias("sx"), (F.col("fy") / F.col("flux")).alias("sy"), "flux")
+    sums = box.where("v.over").groupBy(*frame, "y", "x").agg(F.max(F.struct("nv.f", (-F.col("nv.y")).alias("a"), (-F.col("nv.x")).alias("b"))).alias("top"), F.sum("nv.f").alias("flux"), F.sum(F.col("nv.f") * F.col("nv.x")).alias("fx"), F.sum(F.col("nv.f") * F.col("nv.y")).alias("fy"), F.sum(F.col("nv.f") * (F.col("nv.x") * F.col("nv.x") + F.col("nv.y") * F.col("nv.y"))).alias("f2"))
+    peaks = sums.where("flux > 0 and top.a = -y and top.b = -x").select(*frame, (F.col("fx") / F.col("flux")).alias("sx"), (F.col("fy") / F.col("flux")).alias("sy"), "flux", (F.col("f2") / F.col("flux")).alias("f2"))
+    wide = F.sqrt(F.greatest((F.col("f2") - F.col("sx") * F.col("sx") - F.col("sy") * F.col("sy")) / 2, F.lit(0.0)))
+    peaks = peaks.withColumn("fwhm", 2.3548 * wide).drop("f2")
     order = Window.partitionBy(*frame).orderBy(F.desc("flux"), "sy", "sx")
     return peaks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= brightest)
 
@@ -76,9 +81,10 @@ def match(points: np.ndarray, reference: np.ndarray, used: int = 15, tolerance:
     return rigid(points[inside], reference[gap.argmin(1)[inside]]), int(inside.sum())
 
 
-def align(stars: DataFrame, frame: str, reference: DataFrame) -> DataFrame:
+def align(stars: DataFrame, frame: str, reference: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """(frame, m11..m23, ok, matched) of each frame against the stars (sx, sy, rank) of one reference frame, which
-    are few and go to every task. Frames that do not match have ok false and no transform."""
+    are few and go to every task. Frames that do not match have ok false and no transform; so have those of `frames`
+    (a table with the column frame) that have no stars at all."""
     target = reference.orderBy("rank").limit(40).toPandas()[["sx", "sy"]].to_numpy()
     kind = dict(stars.dtypes)[frame]
 
@@ -87,4 +93,34 @@ def align(stars: DataFrame, frame: str, reference: DataFrame) -> DataFrame:
         values = m.ravel().tolist() if m is not None else [None] * 6
         return pd.DataFrame([[own[frame].iloc[0], *values, m is not None, n]], columns=[frame, "m11", "m12", "m13", "m21", "m22", "m23", "ok", "matched"])
 
-    return stars.groupBy(frame).applyInPandas(one, f"{frame} {kind}, {TRANSFORM}")
+    found = stars.groupBy(frame).applyInPandas(one, f"{frame} {kind}, {TRANSFORM}")
+    if frames is None:
+        return found
+    return frames.select(frame).distinct().join(found, frame, "left").withColumns({"ok": F.coalesce("ok", F.lit(False)), "matched": F.coalesce("matched", F.lit(0))})
+
+
+def warp(px: DataFrame, frame: str, transforms: DataFrame) -> DataFrame:
+    """(frame, ch, y, x, v, ok): each frame brought onto the reference by its transform, bilinear, 0 where it has
+    nothing; frames that are not ok, or have no transform, as they are, with ok false."""
+    m = transforms.select(frame, *(f"m{i}{j}" for i in (1, 2) for j in (1, 2, 3)), "ok")
+    held = px.select(frame, "ch", "y", "x", "v").join(m, frame, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    good = held.where("ok")
+    sx, sy = wcs.inverse_affine(F.col("x").cast("double"), F.col("y").cast("double"), tuple(F.col(f"m{i}{j}") for i in (1, 2) for j in (1, 2, 3)))
+    targets = good.select(frame, F.col("y").alias("ty"), F.col("x").alias("tx"), sx.alias("sx"), sy.alias("sy")).distinct()
+    moved = project.reproject_bilinear(good, [frame], targets, ("ch",)).select(frame, "ch", F.col("ty").alias("y"), F.col("tx").alias("x"), "value")
+    back = good.join(moved, [frame, "ch", "y", "x"], "left").select(frame, "ch", "y", "x", F.coalesce("value", F.lit(0.0)).alias("v"), "ok")
+    return back.unionByName(held.where("not ok").select(frame, "ch", "y", "x", "v", "ok"))
+
+
+def align_frames(px: DataFrame, frame: str, reference: int, sigma: float = 5.0) -> DataFrame:
+    """warp() of all frames onto one of them, by the stars of their channels' mean."""
+    grey = px.groupBy(frame, "y", "x").agg(F.avg("v").alias("v")).withColumn("ch", F.lit(0))
+    found = materialise(detect(grey, [frame], sigma))
+    return warp(px, frame, align(found, frame, found.where(F.col(frame) == reference), px))
+
+
+def fwhm_weights(stars: DataFrame, frame: str, frames: DataFrame, least: int = 5) -> DataFrame:
+    """(frame, weight): the frame's least width (0.5 at least) over its median width; 1 for frames of fewer stars."""
+    own = stars.groupBy(frame).agg(F.count("*").alias("n"), F.median("fwhm").alias("med"), F.min("fwhm").alias("low"))
+    value = F.when((F.col("n") >= least) & (F.col("med") > 0), F.greatest(F.col("low"), F.lit(0.5)) / F.col("med")).otherwise(1.0)
+    return frames.select(frame).distinct().join(own, frame, "left").select(frame, F.coalesce(value, F.lit(1.0)).alias("weight"))

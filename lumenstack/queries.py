@@ -386,7 +386,16 @@ def wcs_canonical_scale(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", r(one * 3600).alias("cdelt1"), r(two * 3600).alias("cdelt2"), wcs.is_celestial(w).alias("celestial"))
 
 
-@query()
+_TAN = {"crval1": "10.0", "crval2": "20.0", "crpix1": "4.5", "crpix2": "4.5", "cd11": repr(-2.9 / 250.0 * 206.265 / 3600), "cd12": "0.0", "cd21": "0.0", "cd22": repr(2.9 / 250.0 * 206.265 / 3600)}
+
+
+def _tan_sql() -> str:
+    u, v = f"radians({_TAN['cd11']} * (x - 3.5))", f"radians({_TAN['cd22']} * (y - 3.5))"
+    down = f"(cos(radians(20.0)) - {v} * sin(radians(20.0)))"
+    return f"{rs(f'10.0 + degrees(atan2({u}, {down}))')} AS ra, {rs(f'degrees(atan2(sin(radians(20.0)) + {v} * cos(radians(20.0)), sqrt({u} * {u} + {down} * {down})))')} AS dec, 0.0::DOUBLE AS error"
+
+
+@query(f"WITH {PX} SELECT frame_id, y, x, {_tan_sql()} FROM px")
 def sky_round_trip(spark, d):
     """Pixels to sky and back under a TAN grid; the error column is 0 to a millionth."""
     w = {k: F.lit(float(v)) for k, v in wcs.synthetic(10.0, 20.0, 250.0, 2.9, 8, 8).items()}
@@ -399,7 +408,10 @@ def sky_round_trip(spark, d):
 # Neighbourhoods and display
 
 
-@query(f"WITH {PX}, b AS (SELECT a.frame_id, a.y, a.x, a.v, median(n.v) AS med, sqrt(greatest(avg(n.v * n.v) - avg(n.v) * avg(n.v), 1e-10)) AS sd FROM px a JOIN px n ON a.frame_id = n.frame_id AND abs(a.y - n.y) <= 1 AND abs(a.x - n.x) <= 1 GROUP BY ALL) SELECT frame_id, y, x, {rs('CASE WHEN v > med + 1.5 * greatest(sd, 1e-5) THEN med ELSE v END')} AS v, v > med + 1.5 * greatest(sd, 1e-5) AS hot FROM b")
+_BOX = "o AS (SELECT a.range AS dy, b.range AS dx FROM range(-1, 2) a, range(-1, 2) b), h AS (SELECT t.frame_id, t.y, t.x, t.v, median(c.v) AS med, avg(m.v) AS m, avg(m.v * m.v) AS m2 FROM (SELECT px.*, least(greatest(y + dy, 0), 7) AS cy, least(greatest(x + dx, 0), 7) AS cx, CASE WHEN y + dy < 0 THEN 1 WHEN y + dy > 7 THEN 6 ELSE y + dy END AS my, CASE WHEN x + dx < 0 THEN 1 WHEN x + dx > 7 THEN 6 ELSE x + dx END AS mx FROM px, o) t JOIN px c ON c.frame_id = t.frame_id AND c.y = t.cy AND c.x = t.cx JOIN px m ON m.frame_id = t.frame_id AND m.y = t.my AND m.x = t.mx GROUP BY 1, 2, 3, 4), b AS (SELECT frame_id, y, x, v, med, greatest(sqrt(greatest(m2 - m * m, 1e-10)), 1e-5) AS sd FROM h)"
+
+
+@query(f"WITH {PX}, {_BOX} SELECT frame_id, y, x, {rs('CASE WHEN v > med + 1.5 * sd THEN med ELSE v END')} AS v, v > med + 1.5 * sd AS hot FROM b")
 def hot_pixels(spark, d):
     return spatial.hot_pixels(frames(spark, d), ["frame_id"], 1.5, 3).select("frame_id", "y", "x", r("v").alias("v"), "hot")
 
@@ -498,6 +510,7 @@ def scnr_green(spark, d):
 
 @query(f"WITH {_RGB}, m AS (SELECT ch, picture, median(v) + 3 AS med FROM rgb GROUP BY ALL), g AS (SELECT picture, med AS green FROM m WHERE ch = 1) SELECT picture, ch, {rs('least(greatest(green / med, 0.2), 5.0)')} AS gain FROM m JOIN g USING (picture)")
 def auto_white_balance(spark, d):
+    """By medians; white_balance_modes has the modes of the histogram."""
     med = _pictures(spark, d).groupBy("picture", "ch").agg((F.median("v") + 3).alias("med"))
     green = med.where("ch = 1").select("picture", F.col("med").alias("green"))
     gain = F.least(F.greatest(F.col("green") / F.col("med"), F.lit(0.2)), F.lit(5.0))
@@ -553,4 +566,5 @@ def running_average_pixels(spark, d):
 def live_stack_stream(spark, d):
     from lumenstack.streaming import live
 
-    return live.run_once(spark, f"{d}/events.parquet", "event_type", F.col("value") / (1.0 + F.col("value")) > 0.5)
+    sums = live.run_once(spark, f"{d}/events.parquet", "event_type", F.col("value") / (1.0 + F.col("value")) > 0.5)
+    return live.average(sums).select("event_type", r("sum", 4).alias("sum"), "wht", r("value").alias("value"))

@@ -3,11 +3,13 @@
 Files are read by Spark's binaryFile source, so that any store that Spark reads will do; one file is one row.
 The first image unit is taken, SCI, IMAGE or PRIMARY before others. Layouts CHW and HWC are told apart by the axis
 of 1, 3 or 4 beside two of over 4; data come out row-major with channels last. BSCALE and BZERO are applied, NaN
-and infinities are null. A file that cannot be read gives a row with null data and the reason in `error`.
+and infinities are null. A file that cannot be read gives a row with null data and the reason in `error`, and with its
+header if that could be read.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenstack.functions import wcs
+
 #: Fixed values of the format.
 BLOCK, CARD = 2880, 80
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -71,44 +75,156 @@ def units(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
         at += -(-size // BLOCK) * BLOCK
 
 
-def parse(data: bytes) -> tuple[np.ndarray, dict[str, str]]:
-    """(H, W, C) doubles and the header."""
+def image_unit(data: bytes) -> tuple[dict[str, str], int]:
+    """Header and start of data of the unit to read: SCI, IMAGE or PRIMARY before others."""
     found = [u for u in units(data) if int(u[0].get("NAXIS", 0)) in (2, 3) and u[2] and u[0].get("XTENSION", "IMAGE") == "IMAGE"]
     if not found:
         raise ValueError("no image")
     name = lambda u: u[0].get("EXTNAME", "" if "XTENSION" in u[0] else "PRIMARY").upper()
-    header, at, size = min(found, key=lambda u: PREFERRED.index(name(u)) if name(u) in PREFERRED else len(PREFERRED))
+    header, at, _ = min(found, key=lambda u: PREFERRED.index(name(u)) if name(u) in PREFERRED else len(PREFERRED))
+    return header, at
+
+
+def pixels_of(data: bytes, header: dict[str, str], at: int) -> np.ndarray:
+    """(H, W, C) doubles."""
     shape = tuple(int(header[f"NAXIS{i}"]) for i in range(int(header["NAXIS"]), 0, -1))
     image = np.frombuffer(data, KINDS[int(header["BITPIX"])], int(np.prod(shape)), at).astype(np.float64)
     if "BLANK" in header and int(header["BITPIX"]) > 0:
         image[image == int(header["BLANK"])] = np.nan
     image = (image * float(header.get("BSCALE", 1)) + float(header.get("BZERO", 0))).reshape(shape)
     if image.ndim == 2:
-        image = image[:, :, None]
-    elif image.shape[0] in (1, 3, 4) and min(image.shape[1:]) > 4:
-        image = image.transpose(1, 2, 0)
-    return image, header
+        return image[:, :, None]
+    if image.shape[0] in (1, 3, 4) and min(image.shape[1:]) > 4:
+        return image.transpose(1, 2, 0)
+    if image.shape[2] in (1, 3, 4) and min(image.shape[:2]) > 4:
+        return image
+    raise ValueError(f"no layout of channels in {shape}")
+
 
+def _rows(found: list[tuple[np.ndarray | None, dict[str, str] | None, str | None]]) -> pa.Array:
+    """FRAME structs; samples that are not finite are null."""
+    flat = [np.zeros(0, np.float32) if i is None else i.astype(np.float32).ravel() for i, _, _ in found]
+    values = np.concatenate([*flat, np.zeros(0, np.float32)])
+    missing = np.array([i is None for i, _, _ in found], bool)
+    ends = pa.array(np.cumsum([0, *map(len, flat)], dtype=np.int32), mask=np.append(missing, False))
+    data = pa.ListArray.from_arrays(ends, pa.array(values, mask=~np.isfinite(values)))
+    side = lambda n: pa.array([None if i is None else i.shape[n] for i, _, _ in found], pa.int32())
+    headers = pa.array([None if h is None else list(h.items()) for _, h, _ in found], pa.map_(pa.string(), pa.string()))
+    return pa.StructArray.from_arrays([side(0), side(1), side(2), data, headers, pa.array([e for _, _, e in found], pa.string())], ["h", "w", "c", "data", "header", "error"])
 
-def read_fits(spark: SparkSession, path: str, glob: str = "*.fit*") -> DataFrame:
-    """(path, h, w, c, data, header, error) of each file below path."""
+
+def read_fits(spark: SparkSession, path: str, glob: str = "*.fit*", exclude: str = "stacked") -> DataFrame:
+    """(path, h, w, c, data, header, error) of each file below path, but those in a folder of the excluded name below it."""
 
     def run(contents: pa.Array) -> pa.Array:
-        rows = []
+        found = []
         for content in contents:
+            header = None
             try:
-                image, header = parse(content.as_py())
-                values = [None if not np.isfinite(v) else v for v in image.astype(np.float32).ravel().tolist()]
-                rows.append({"h": image.shape[0], "w": image.shape[1], "c": image.shape[2], "data": values, "header": list(header.items()), "error": None})
+                data = content.as_py()
+                header, at = image_unit(data)
+                found.append((pixels_of(data, header, at), header, None))
             except (ValueError, KeyError) as e:
-                rows.append({"h": None, "w": None, "c": None, "data": None, "header": None, "error": f"{type(e).__name__}: {e}"})
-        kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.list_(pa.float32())), ("header", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
-        return pa.array(rows, kind)
+                found.append((None, header, f"{type(e).__name__}: {e}"))
+        return _rows(found)
+
+    files = _listed(spark, path, glob, exclude)
+    return files.select("path", F.arrow_udf(run, FRAME)("content").alias("f")).select("path", "f.*")
+
+
+def _listed(spark: SparkSession, path: str, glob: str, exclude: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    below = F.substring_index("path", path.rstrip("/").split(":")[-1].lstrip("/") + "/", -1)
+    return files.where(~below.rlike(f"(^|/){exclude}/")) if exclude else files
+
+
+def read_headers(spark: SparkSession, path: str, glob: str = "*.fit*", exclude: str = "stacked", most: int = 200) -> DataFrame:
+    """(path, h, w, header, error) of each file's image unit, of which only header blocks are read (at most so many); a
+    file may lack its SIMPLE card."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                row = {"path": name, "h": None, "w": None, "header": None, "error": None}
+                try:
+                    fs, root = pafs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+                    with fs.open_input_file(root) as f:
+                        header, at = _first_image(f, most)
+                    row |= {"h": int(header["NAXIS2"]), "w": int(header["NAXIS1"]), "header": list(header.items())}
+                except (ValueError, KeyError, OSError) as e:
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            kind = pa.schema([("path", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("header", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return _listed(spark, path, glob, exclude).select("path").mapInArrow(run, "path string, h int, w int, header map<string,string>, error string")
+
+
+def _first_image(f, most: int) -> tuple[dict[str, str], int]:
+    """Header and start of data of the first unit with an image, by reads of whole blocks."""
+    at, end = 0, f.size()
+    while at < end:
+        held = b""
+        while len(held) < most * BLOCK:
+            block = f.read_at(BLOCK, at + len(held))
+            held += block
+            if len(block) < BLOCK or any(block[i : i + 8].rstrip() == b"END" for i in range(0, BLOCK, CARD)):
+                break
+        header, size = cards(held, 0)
+        at += size
+        axes = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header.get("NAXIS", 0)))]
+        if len(axes) in (2, 3) and header.get("XTENSION", "IMAGE") == "IMAGE":
+            return header, at
+        length = (int(np.prod(axes)) * abs(int(header["BITPIX"])) // 8 if axes else 0) + int(header.get("PCOUNT", 0))
+        at += -(-length // BLOCK) * BLOCK
+    raise ValueError("no image")
+
+
+def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
+    """(path, h, w, c, data, header, error) of NumPy array files of two or three dimensions, channels last."""
+
+    def run(contents: pa.Array) -> pa.Array:
+        found = []
+        for content in contents:
+            try:
+                image = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                if image.ndim not in (2, 3):
+                    raise ValueError(f"{image.ndim} dimensions")
+                found.append((image.astype(np.float64).reshape(*image.shape[:2], -1), {}, None))
+            except (ValueError, EOFError) as e:
+                found.append((None, None, f"{type(e).__name__}: {e}"))
+        return _rows(found)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return files.select("path", F.arrow_udf(run, FRAME)("content").alias("f")).select("path", "f.*")
 
 
+def normalised(frames: DataFrame) -> DataFrame:
+    """frames with data in [0, 1] by their own extremes, missing samples being 0 before; a constant image is 0.5, one
+    without any sample 0. Rows without data keep their header and error."""
+    some = F.exists("data", lambda v: v.isNotNull())
+    filled = F.transform("data", lambda v: F.coalesce(v, F.lit(0.0).cast("float")).cast("double"))
+    held = frames.withColumns({"_some": some, "_d": filled}).withColumns({"_lo": F.array_min("_d"), "_hi": F.array_max("_d")})
+    value = F.when(~F.col("_some"), F.transform("_d", lambda v: F.lit(0.0))).when(F.col("_hi") > F.col("_lo"), F.transform("_d", lambda v: (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(F.transform("_d", lambda v: F.lit(0.5)))
+    return held.withColumn("data", value.cast("array<float>")).drop("_some", "_d", "_lo", "_hi")
+
+
+def three_channels(frames: DataFrame) -> DataFrame:
+    """Normalised mono frames as three equal channels in 256 levels; others as they are."""
+    level = lambda v: (F.floor(v * 255) / 255).cast("float")
+    copies = F.flatten(F.transform("data", lambda v: F.array(level(v), level(v), level(v))))
+    return frames.withColumns({"data": F.when(F.col("c") == 1, copies).otherwise(F.col("data")), "c": F.when(F.col("c") == 1, 3).otherwise(F.col("c"))})
+
+
+def drizzle_inputs(frames: DataFrame) -> DataFrame:
+    """Frames of three channels with celestial coordinates in their header; of others data and header are null."""
+    number = lambda k: F.try_element_at("header", F.lit(k)).cast("double")
+    ok = (F.col("c") == 3) & wcs.is_celestial({"cd11": number("CD1_1"), "cd12": F.coalesce(number("CD1_2"), F.lit(0.0)), "cd21": F.coalesce(number("CD2_1"), F.lit(0.0)), "cd22": number("CD2_2")})
+    good = F.coalesce(ok, F.lit(False))
+    return frames.withColumns({"data": F.when(good, F.col("data")), "header": F.when(good, F.col("header"))})
+
+
 def image_bytes(image: np.ndarray, header: dict[str, str], u16: bool) -> bytes:
     """A file with one image unit: 32-bit floats, or clip(v, 0, 1) * 65535 truncated, as 16-bit with BZERO."""
     planes = image.transpose(2, 0, 1) if image.shape[2] > 1 else image[:, :, 0]

@@ -1,29 +1,97 @@
-"""Live stacking: a stream of frames is gated and added into sums that any batching leaves the same."""
+"""Live stacking: a stream of frames is gated, brought onto its first frame, and added into sums that any batching leaves
+the same.
+
+Sums are written by foreachBatch to a table in a shared folder, one version a trigger: version n is version n - 1 and the
+sums of batch n, so a batch that is run again writes the same version again, a query that stops goes on where it was,
+and a version that fails to be written leaves the one before it whole. Nothing of an image comes to the driver.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenstack.operators import robust, stars
 from lumenstack.work import shared_dir
 
 
-def gated_sums(stream: DataFrame, key: str, gate: Column, value: str = "value") -> DataFrame:
-    """Running sums and counts of the samples that pass the gate, by key."""
-    return stream.where(gate).groupBy(key).agg(F.sum(value).alias("sum"), F.count(F.lit(1)).alias("wht"))
+def has_rows(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.parquet(path).limit(1).count() > 0
+    except AnalysisException:
+        return False
+
+
+def version(folder: str, number: int) -> str:
+    return f"{folder}/sums/version={number}"
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The sums after the last trigger."""
+    every = spark.read.parquet(f"{folder}/sums")
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == last).drop("version")
+
+
+def can_resume(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder has sums to go on from."""
+    return has_rows(spark, f"{folder}/sums")
+
 
+def fold(stream: DataFrame, folder: str, key: list[str], partial: Callable[[DataFrame, int], DataFrame], after: Callable[[DataFrame, int], None] | None = None):
+    """Starts a query that adds partial(batch, number), a table (key, sum, wht), into the sums in folder, and returns it.
+    after: called with the sums of every trigger, the last and smaller group included; for display, it changes nothing."""
 
-def run_once(spark: SparkSession, path: str, key: str, gate: Column, files_per_trigger: int = 1) -> DataFrame:
-    """Reads all files under path as a stream, in order, a group of files a trigger, and returns the final sums.
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        sums = partial(batch, number).select(*key, "sum", "wht")
+        if number:
+            sums = sums.unionByName(spark.read.parquet(version(folder, number - 1)))
+        sums.groupBy(*key).agg(F.sum("sum").alias("sum"), F.sum("wht").alias("wht")).write.mode("overwrite").parquet(version(folder, number))
+        if after:
+            after(spark.read.parquet(version(folder, number)), number)
 
-    State and progress are in the shared folder, so that a query that stops goes on where it was.
-    """
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def run_once(spark: SparkSession, path: str, key: str, gate: Column, files_per_trigger: int = 1, value: str = "value") -> DataFrame:
+    """Reads all files under path as a stream, in order, a group of files a trigger, and returns the final (key, sum, wht)
+    of the samples that pass the gate."""
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
-    name = f"live_{uuid.uuid4().hex}"
-    query = gated_sums(stream, key, gate).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    sums = spark.table(name)
-    return sums.select(key, F.round("sum", 4).alias("sum"), "wht", F.round(F.col("sum") / F.col("wht"), 6).alias("value"))
+    folder = shared_dir(spark)
+    fold(stream, folder, [key], lambda batch, _: batch.where(gate).groupBy(key).agg(F.sum(value).alias("sum"), F.count(F.lit(1)).alias("wht"))).awaitTermination()
+    return latest(spark, folder)
+
+
+def frame_sums(folder: str, frame: str = "frame_id", least: int = 100, keep_from: float = 2.5, sigma: float = 5.0) -> Callable[[DataFrame, int], DataFrame]:
+    """A partial() of samples (frame, ch, y, x, v): frames under the signal-to-noise threshold go; the first frame that
+    passes is the reference, kept in the folder; all others are aligned to it by their stars, and those that cannot be
+    go too."""
+
+    def run(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        place = f"{folder}/reference"
+        grey = batch.groupBy(frame, "y", "x").agg(F.avg("v").alias("v"))
+        passed = robust.snr(grey, [frame], least, keep_from).where("kept").select(frame)
+        good = batch.join(passed, frame, "left_semi")
+        found = stars.detect(good.groupBy(frame, "y", "x").agg(F.avg("v").alias("v")).withColumn("ch", F.lit(0)), [frame], sigma)
+        if not has_rows(spark, place):
+            first = passed.agg(F.min(frame).alias(frame))
+            if first.where(F.col(frame).isNotNull()).count():
+                found.join(first, frame).write.mode("overwrite").parquet(place)
+        if not has_rows(spark, place):
+            return good.select("ch", "y", "x", F.col("v").alias("sum"), F.lit(1).cast("long").alias("wht")).limit(0)
+        reference = spark.read.parquet(place)
+        moved = stars.warp(good, frame, stars.align(found, frame, reference, passed)).where("ok")
+        return moved.groupBy("ch", "y", "x").agg(F.sum("v").alias("sum"), F.count("v").alias("wht"))
+
+    return run
+
+
+def average(sums: DataFrame) -> DataFrame:
+    """value: sum / max(wht, 1e-6)."""
+    return sums.withColumn("value", F.col("sum") / F.greatest(F.col("wht").cast("double"), F.lit(1e-6)))

@@ -53,8 +53,8 @@ def test_batches_and_missing(spark, tmp_path):
 
 
 def test_decisions():
-    assert lifecycle.final_combine(None, "winsorized-sigma") == "winsorized_sigma" and lifecycle.final_combine("nonsense", None) == "mean"
-    assert lifecycle.solver_gate("none", True, True) == (False, "disabled") and lifecycle.solver_gate("astap", False, False)[0] is False
+    assert lifecycle.final_combine(None, " Winsorized_Sigma_Clip ") == "winsorized_sigma_clip" and lifecycle.final_combine("nonsense", None) == "nonsense"
+    assert lifecycle.final_combine("reproject and coadd", "median") == "reproject_coadd" and lifecycle.final_combine("", "none") == "none" and lifecycle.final_combine(None, None) == "mean"
     c = lifecycle.StackConfig(kappa=9, winsor_limits=(0.6, 0.1), pixfrac=5).clamped()
     assert (c.kappa, c.winsor_limits, c.pixfrac) == (5.0, (0.05, 0.05), 1.0)
 

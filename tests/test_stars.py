@@ -29,6 +29,8 @@ def test_detect_and_align(spark):
     assert out[1]["ok"] and out[1]["matched"] == 9
     back = np.array([[out[1]["m11"], out[1]["m12"]], [out[1]["m21"], out[1]["m22"]]])
     assert np.allclose(back, turn.T, atol=0.01) and set(out) == {0, 1}
+    every = {r["frame_id"]: (r["ok"], r["matched"]) for r in stars.align(found, "frame_id", found.where("frame_id = 0"), px).collect()}
+    assert set(every) == {0, 1, 2} and every[2] == (False, 0)
 
 
 def test_too_few_stars():
