@@ -7,7 +7,8 @@ parts, for which repeated scans would be quadratic, keep the ranks in a heap; th
 ids of words and of whole chunks between spaces are kept in dictionaries of bounded size in each worker.
 
 Nulls: a null text has no ids (an empty array) and null ids decode to "". Texts of any length are
-handled whole. Rows, their order and their other columns are left alone.
+handled whole. Pairs of equal rank merge from left to right, as their order in the text is. Repeated rows are
+encoded alike, an empty table gives no rows, and rows, their order and other columns are left alone.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def merge_rows(parts: np.ndarray, counts: np.ndarray, ranks_of: PairRanks) -> tu
 
 
 def merge_long(parts: list[int], pairs: dict[int, int]) -> list[int]:
-    """As merge_short, with a heap of (rank, place) over a linked list."""
+    """The ids of one long word, with a heap of (rank, place) over a linked list."""
     n = len(parts)
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
     heap = [(v, i) for i in range(n - 1) if (v := pairs.get(parts[i] << 20 | parts[i + 1], NONE)) != NONE]
@@ -263,13 +264,13 @@ def load(path: str) -> Bpe:
     return Bpe(path, 0)
 
 
-def encode_bpe(text: Column | str, path: str, cache_words: int = 200_000) -> Column:
+def encode_bpe(text: Column | str, path: str, cache_words: int = 50_000) -> Column:
     """The ids of each text, an array<int>. path: a tokenizer file that every executor can open."""
 
     def run(texts: pa.Array) -> pa.Array:
         bpe = load(path)
         bpe.limit = cache_words
-        parts = [p for some in in_slices(texts, 1_000_000) for p in bpe.encode_batch(some)]
+        parts = [p for some in in_slices(texts, 400_000) for p in bpe.encode_batch(some)]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
         values = np.frombuffer(b"".join(parts), "<i4")
         if ends[-1] < 1 << 31:

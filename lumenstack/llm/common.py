@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hands whole texts to Python workers in batches of at most so many rows, unless the session asks for fewer."""
+    """Hands whole texts to Python workers in batches of at most so many rows or 4 MB (one row at least), unless
+    the session asks for fewer rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def free_name(df: DataFrame, wish: str) -> str:

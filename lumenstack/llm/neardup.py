@@ -1,26 +1,31 @@
 """Near-duplicate groups of texts at a shingle similarity, from long SimHash fingerprints with pigeonring filtering.
 
-A fingerprint has `WORDS` x 64 bits, in a ring of 16-bit segments; two texts whose shingle sets have a cosine c
-differ in a share acos(c) / pi of the bits, so the Hamming distance, with the numbers of shingles, estimates
-their Jaccard similarity J, at J = 0.8 with a standard deviation of 0.026. Segments that agree exactly are the keys
-of an equi-join; from such a segment, chains of 2 to 5 consecutive segments must stay within their proportional
-budgets of differing bits, which drops nearly all chance meetings inside the join. The rest meet the full Hamming
-check, which is a filter only: pairs whose estimate is at least J less `margin` (nearly four deviations) go on, and
-the sets of shingle hashes of the two texts decide by exact similarity. So no pair under J is linked. A lone pair of
-J = 0.8 shares a segment and its chains with a probability of about 0.98, of J = 0.85 with over 0.999; a pair that
-shares none is not found (the chains are a filter after an exact segment here, since at this distance the ring's
-guarantee alone would admit every pair).
-
-Groups are connected components, found in two passes so that large groups do not emit all their pairs: first each
-member of a segment's bucket meets the bucket's least member only (on a quarter of the segments), and in crowded
-buckets the member nearest to their majority; then members of different components meet. Texts with equal sets of shingle hashes are one node throughout. Null texts are empty
-texts, and all texts without words are one group. Rows with equal ids and texts count as one document.
+A fingerprint has `WORDS` x 64 bits; two texts whose shingle sets have a cosine c differ in a share acos(c) / pi of
+the bits, so the Hamming distance, with the numbers of shingles, estimates their Jaccard similarity J, at J = 0.8
+with a standard deviation of 0.026. Fingerprints that share no segment are the rule at this distance (a key of exact
+bits would have to be so short that unrelated texts meet on it), so texts meet on keys that do not fill up with the
+table: each of `BANDS` keys is a hash of `ROWS` minimum hashes of the shingle set. Two texts share a key with the
+probability 1 - (1 - J**ROWS)**BANDS: 0.998 at J = 0.8, over 0.9999 at 0.85, 0.03 at 0.33.
+
+What meets passes the pigeonring: the words of a fingerprint stand in a ring, and if two fingerprints differ in at
+most t bits, there is a word from which every chain of l consecutive words differs in at most l * t / WORDS bits.
+Pairs without such a start are dropped inside the join, before the full Hamming check. That check is a filter too:
+pairs whose estimate is at least J less `margin` (nearly four deviations) go on, and the sets of shingle hashes
+of the two texts decide by exact similarity. So no pair under J is linked, and one of J or more is lost with a
+probability of 0.002 if no other text links its group.
+
+Groups are connected components, found in two passes so that large groups do not emit all their pairs. First each
+text is compared with one other: the most similar, by the estimate, of the least members of its keys' buckets and,
+in crowded buckets, of the members nearest to their majority. Then, in buckets that still hold several components,
+all members that are not of the bucket's largest component are compared with all others, block by block. Texts with equal sets of shingle hashes
+are one node throughout. Null texts are empty texts, and all texts without words are one group. Rows with equal ids
+and texts count as one document. An empty table gives an empty table; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +38,11 @@ from lumenstack.llm.components import connected_components
 from lumenstack.llm.simhash import shingle_hashes, signed
 
 WORDS = 16
-SEGMENTS = 4 * WORDS
-#: Differing bits that a chain of consecutive segments may have, at one fifth of its bits.
-CHAIN_SHARE = 0.2
-PRINT = "fp array<long>, shingles long, digest long"
+BANDS, ROWS = 20, 6
+#: Words of the longest chain that the ring is searched for.
+CHAIN = 3
+PRINT = "fp array<long>, bands array<long>, shingles long, digest long"
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def spread(hashes: np.ndarray) -> np.ndarray:
@@ -44,18 +50,38 @@ def spread(hashes: np.ndarray) -> np.ndarray:
     odd = (np.arange(1, 2 * WORDS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     out = hashes[:, None] * odd
     out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
+    out *= MIX
     out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
+    out *= MIX
     return out ^ out >> np.uint64(32)
 
 
+#: Multipliers without a common factor: of x and 3x both would be least together.
+ODD = spread(np.arange(1, 1 + -(-BANDS * ROWS // WORDS), dtype=np.uint64)).ravel()[: BANDS * ROWS] | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of ROWS minimum hashes of the set."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), 255):
+        some = hashes[i : i + 255]
+        least = np.minimum(least, ((some ^ some >> np.uint64(29))[:, None] * ODD).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        out = (out ^ row) * MIX
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
 def long_fingerprint(text: Column, shingle: int) -> Column:
-    """The fingerprint of each text's set of shingles, the set's size, and a hash of the set."""
+    """The fingerprint and the keys of each text's set of shingles, the set's size, and a hash of the set."""
+
+    def lists(values: list[np.ndarray], size: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * size), pa.array(np.concatenate([*values, np.zeros(0, np.int64)])))
 
     def run(texts: pa.Array) -> pa.Array:
-        prints, sizes, digests = [], [], []
-        for some in in_slices(texts):
+        prints, keys, sizes, digests = [], [], [], []
+        for some in in_slices(texts, 500_000):
             for t in some:
                 hashes = np.unique(shingle_hashes(t, shingle))
                 sizes.append(len(hashes))
@@ -65,9 +91,8 @@ def long_fingerprint(text: Column, shingle: int) -> Column:
                     bits = np.unpackbits(spread(hashes[i : i + 255]).view(np.uint8), axis=1, bitorder="little")
                     total += np.add.reduce(bits, axis=0, dtype=np.uint8)
                 prints.append(np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64))
-        flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * WORDS), pa.array(flat))
-        return pa.StructArray.from_arrays([lists, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], ["fp", "shingles", "digest"])
+                keys.append(band_keys(hashes))
+        return pa.StructArray.from_arrays([lists(prints, WORDS), lists(keys, BANDS), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], ["fp", "bands", "shingles", "digest"])
 
     return F.arrow_udf(run, PRINT)(text)
 
@@ -76,51 +101,48 @@ def hash_set(text: Column, shingle: int) -> Column:
     """The distinct hashes of each text's shingles."""
 
     def run(texts: pa.Array) -> pa.Array:
-        sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for some in in_slices(texts) for t in some]
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for some in in_slices(texts, 500_000) for t in some]
+        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32)), pa.array(flat))
 
     return F.arrow_udf(run, "array<long>")(text)
 
 
-def segments_of(fp: str, numbers: range) -> Column:
-    """Structs (key: number and bits of a segment, next: the 64 bits after it)."""
+def bits_at(similarity: float) -> int:
+    """The most bits of a fingerprint in which sets of this similarity are expected to differ."""
+    return math.ceil(64 * WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
-    def one(t: int) -> Column:
-        word, shift = F.col(fp)[t // 4], 16 * (t % 4)
-        after = F.col(fp)[(t // 4 + 1) % WORDS]
-        key = F.shiftrightunsigned(word, shift).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(t << 16))
-        rest = after if shift == 48 else F.shiftrightunsigned(word, shift + 16).bitwiseOR(F.shiftleft(after, 48 - shift))
-        return F.struct(key.cast("int").alias("key"), rest.alias("next"))
 
-    return F.explode(F.array(*map(one, numbers)))
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two structs (fp, shingles) pass the ring at the similarity's distance and then, by their full
+    distance, are estimated to reach the similarity."""
+    most = bits_at(similarity)
 
+    def passes(d: Column) -> Column:
+        """d: differing bits of each word."""
+        starts = F.lit(False)
+        for i in range(WORDS):
+            chain, holds = F.lit(0), F.lit(True)
+            for l in range(1, CHAIN + 1):
+                chain += d[(i + l - 1) % WORDS]
+                holds &= chain <= l * most // WORDS
+            starts |= holds
+        shared = F.cos(F.aggregate(d, F.lit(0), lambda s, n: s + n) * (math.pi / (64 * WORDS))) * F.sqrt(a["shingles"] * b["shingles"].cast("double"))
+        return starts & (shared >= similarity * (a["shingles"] + b["shingles"] - shared))
 
-def chain_holds(a: Column, b: Column) -> Column:
-    differ, holds = a.bitwiseXOR(b), F.lit(True)
-    for l in (2, 3, 4, 5):
-        mask = (1 << 16 * (l - 1)) - 1
-        holds &= F.bit_count(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) <= math.floor(CHAIN_SHARE * 16 * l)
-    return holds
+    differ = F.zip_with(a["fp"], b["fp"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.exists(F.array(differ), passes)
 
 
-def similar(a: str, b: str, similarity: float) -> Column:
-    """Whether two structs (fp, shingles) reach the similarity, as estimated from their distance."""
-    distance = F.aggregate(F.zip_with(f"{a}.fp", f"{b}.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    shared = F.cos(distance * (math.pi / (64 * WORDS))) * F.sqrt(F.col(f"{a}.shingles") * F.col(f"{b}.shingles").cast("double"))
-    return shared >= similarity * (F.col(f"{a}.shingles") + F.col(f"{b}.shingles") - shared)
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose estimated Jaccard similarity reaches `similarity`."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.struct("fp", "shingles").alias(f"{name}_"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.where(similar("a_", "b_", similarity)).select("a", "b")
+def estimate(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of two structs (fp, shingles)."""
+    distance = F.aggregate(F.zip_with(a["fp"], b["fp"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    shared = F.cos(distance * (math.pi / (64 * WORDS))) * F.sqrt(a["shingles"] * b["shingles"].cast("double"))
+    return shared / (a["shingles"] + b["shingles"] - shared)
 
 
 def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose Jaccard similarity reaches `similarity`; sets: (node, hashes) of a table's nodes."""
-    pairs = materialise(pairs.distinct())
     held = materialise(sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()))
     side = lambda name: held.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -128,56 +150,118 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
     return materialise(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
 
 
-def consensus_links(nodes: DataFrame, crowded: DataFrame, least: float) -> DataFrame:
-    """Stars of the buckets of crowded nodes around the member that is nearest to the majority of each bit.
+def central_members(crowded: DataFrame) -> DataFrame:
+    """(key, hub): of each bucket's (key, node, word) the member that is nearest to the majority of each bit.
 
     Copies of one text differ from it each in its own way, so the majority of their bits is that text's, and the
     text, if it is there, is similar to more of them than any copy is.
     """
-    rows = nodes.join(crowded, "node", "left_semi").select("node", segments_of("fp", range(SEGMENTS)).alias("s")).select("node", "s.*")
-    rows = materialise(rows)
-    ones = [F.sum(F.shiftrightunsigned("next", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"), *ones).where("n > 2")
-    bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)).otherwise(F.lit(0)) for b in range(64)]
-    majority = bits[0].cast("long")
+    ones = [F.sum(F.shiftrightunsigned("word", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    counted = crowded.groupBy("key").agg(F.count("*").alias("n"), *ones)
+    bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)).otherwise(F.lit(0)).cast("long") for b in range(64)]
+    majority = bits[0]
     for bit in bits[1:]:
-        majority = majority.bitwiseOR(bit.cast("long"))
-    near = rows.join(counted.select("key", majority.alias("majority")), "key")
-    away = F.bit_count(F.col("next").bitwiseXOR(F.col("majority")))
-    hubs = near.groupBy("key").agg(F.min(F.struct(away.alias("away"), "node", "next")).alias("hub"))
-    stars = rows.join(hubs, "key").where("node <> hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
-    return likely(stars.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")), nodes, least)
-
-
-def near_duplicate_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, margin: float = 0.1, crowd: int = 16) -> DataFrame:
-    """Links (a, b) between nodes (node, fp, shingles) that connect what is similar; sets: gives (node, hashes) of
-    the nodes of a table; margin: how far under the similarity an estimate may be for its pair to be compared
-    exactly; crowd: members of a bucket, beyond four times its share by chance, from which on its links are first
-    sought around the majority."""
-    least = similarity - margin
-    by_chance = 4 * nodes.count() // (1 << 16)
-    quarter = nodes.select("node", segments_of("fp", range(0, SEGMENTS, 4)).alias("s")).select("node", "s.*")
-    hubs = quarter.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "next")).alias("hub")).where("n > 1")
-    met = quarter.join(hubs, "key")
-    stars = met.where("node > hub.node").where(chain_holds(F.col("next"), F.col("hub.next")))
-    first = likely(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), nodes, least)
-    crowded = materialise(met.where(F.col("n") > crowd + by_chance).select("node").distinct())
-    first = verified(first.unionAll(consensus_links(nodes, crowded, least)), sets, similarity)
-    roots = connected_components(first, "a", "b")
-    labelled = nodes.join(roots, "node", "left").join(crowded.withColumn("crowded", F.lit(True)), "node", "left").withColumns({"root": F.coalesce("root", "node"), "crowded": F.coalesce("crowded", F.lit(False))})
-    labelled = materialise(labelled)
-    apart = F.expr("a_node < b_node and a_root <> b_root") & chain_holds(F.col("a_next"), F.col("b_next"))
-
-    def pairs(rows: DataFrame, more: Column, *kept: str) -> DataFrame:
-        rows = rows.select("node", "root", "crowded", *kept, segments_of("fp", range(SEGMENTS)).alias("s")).select("node", "root", "crowded", *kept, "s.*")
-        left, right = (rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "key")) for side in "ab")
-        return left.join(right, "key").where(apart & more).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-
-    second = likely(pairs(labelled, ~(F.col("a_crowded") & F.col("b_crowded"))), nodes, least)
-    # Members of crowded buckets carry their whole fingerprints, so that the join itself drops what is not likely.
-    whole = labelled.where("crowded").withColumn("whole", F.struct("fp", "shingles"))
-    third = pairs(whole, similar("a_whole", "b_whole", least), "whole").distinct()
-    return first.unionAll(verified(second.unionAll(third), sets, similarity))
+        majority = majority.bitwiseOR(bit)
+    majorities = materialise(counted.select("key", majority.alias("majority")))
+    away = F.bit_count(F.col("word").bitwiseXOR(F.col("majority")))
+    nearest = crowded.join(majorities, "key").select("key", F.struct(away.alias("away"), "node").alias("m"))
+    return nearest.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("hub"))
+
+
+class Block:
+    """Some nodes of a bucket as arrays."""
+
+    def __init__(self, rows: pa.StructArray):
+        node, root, fp, bands, hashes = rows.flatten()
+        numbers = lambda lists, width: lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), width)
+        self.node, self.root = node.to_numpy(zero_copy_only=False), root.to_numpy(zero_copy_only=False)
+        self.fp, self.bands = numbers(fp, WORDS), numbers(bands, BANDS)
+        self.hashes = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # ascending as such
+        self.sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+
+def links_between(key: int, left: Block, right: Block, similarity: float, least: float) -> list[tuple[int, int]]:
+    """Pairs of nodes of different roots that reach the similarity, of those whose first common key is this one."""
+    same = left.bands[:, None, :] == right.bands[None, :, :]
+    first = np.take_along_axis(np.broadcast_to(left.bands[:, None, :], same.shape), same.argmax(axis=2)[:, :, None], 2)[:, :, 0]
+    differ = np.bitwise_count(left.fp[:, None, :] ^ right.fp[None, :, :]).astype(np.int16)
+    most, chain, start = bits_at(least), differ.copy(), np.ones(differ.shape, bool)
+    for l in range(1, CHAIN + 1):
+        start &= chain <= l * most // WORDS
+        chain += np.roll(differ, -l, axis=2)
+    sizes = left.sizes[:, None] + right.sizes[None, :]
+    shared = np.cos(differ.sum(axis=2) * (np.pi / (64 * WORDS))) * np.sqrt(left.sizes[:, None] * right.sizes[None, :].astype(np.float64))
+    likely = (first == np.int64(key).view(np.uint64)) & (left.root[:, None] != right.root[None, :]) & start.any(axis=2) & (shared >= least * (sizes - shared))
+    out = []
+    for i in np.flatnonzero(likely.any(axis=1)):
+        own = left.hashes[left.starts[i] : left.starts[i + 1]]
+        others = np.flatnonzero(likely[i])
+        flat = np.concatenate([right.hashes[right.starts[j] : right.starts[j + 1]] for j in others])
+        found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common = np.add.reduceat(found, np.concatenate([[0], np.cumsum(right.sizes[others])[:-1]]), dtype=np.int64)
+        reached = common >= similarity * (sizes[i, others] - common)
+        out += [(min(x, y), max(x, y)) for x, y in ((int(left.node[i]), int(right.node[j])) for j in others[reached])]
+    return out
+
+
+def block_links(split: DataFrame, placed: DataFrame, rooted: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, least: float) -> DataFrame:
+    """Links between components that meet in a bucket, decided by exact similarity: members outside the bucket's
+    largest component against all, both in the numbers of blocks that split gives, so that a bucket of any size is
+    many pairs of small blocks and no pair of texts is a row."""
+    inside = materialise(placed.join(split, "key"))
+    held = rooted.select("node", "fp", "bands").join(sets(inside.select("node").distinct()), "node")
+    whole = materialise(inside.join(held, "node").select("key", "top", "root", *(c for c in inside.columns if c.startswith("blocks_")), F.struct("node", "root", "fp", "bands", "hashes").alias("m")))
+
+    def blocks(some: DataFrame, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("m.node", F.lit(name)), F.col(f"blocks_{name}"))
+        return some.groupBy("key", number.alias(name)).agg(F.collect_list("m").alias(f"rows_{name}"))
+
+    met = blocks(whole.where("root <> top"), "a").join(blocks(whole, "b"), "key").select("key", "rows_a", "rows_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                found += links_between(key, Block(batch.column(1)[i].values), Block(batch.column(2)[i].values), similarity, least)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    spark = split.sparkSession
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 8)  # a row has two blocks
+    try:
+        return materialise(met.mapInArrow(compare, "a long, b long").distinct())
+    finally:
+        spark.conf.set(size, before)
+
+
+def near_duplicate_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, margin: float = 0.1, crowd: int = 16, block: int = 64) -> DataFrame:
+    """Links (a, b) between nodes (node, fp, bands, shingles) that connect what is similar; sets: gives (node, hashes)
+    of the nodes of a table; margin: how far under the similarity an estimate may be for its pair to be compared
+    exactly; crowd: members of a bucket from which on its majority is asked for a second hub, block: members of a
+    block (both change the work, never which pairs can be found)."""
+    least, hashes = similarity - margin, 20_000
+    keyed = nodes.select("node", "shingles", F.col("fp")[0].alias("word"), F.explode("bands").alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    members = materialise(keyed.join(shared, "key"))
+    crowded = members.where(F.col("n") >= crowd).select("key", "node", "word")
+    second_hub = materialise(central_members(crowded))
+    met = members.select("node", "hub").unionAll(crowded.join(second_hub, "key").select("node", "hub")).where("node <> hub").distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.struct("fp", "shingles").alias(f"{name}_"))
+    compared = met.join(side("node"), "node").join(side("hub"), "hub").where(similar(F.col("node_"), F.col("hub_"), least))
+    # A text's most similar hub; of two that choose each other, one pair is left.
+    best = compared.groupBy("node").agg(F.max(F.struct(estimate(F.col("node_"), F.col("hub_")).alias("e"), "hub")).alias("best"))
+    pairs = materialise(best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct())
+    first = verified(pairs, sets, similarity)
+
+    rooted = materialise(nodes.join(connected_components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = materialise(members.select("key", "node", "shingles").join(rooted.select("node", "root"), "node"))
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    by_key = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("roots > 1")
+    number = lambda n, s: F.ceil(F.greatest(n / block, s / hashes))
+    split = materialise(by_key.select("key", F.col("top.root").alias("top"), number(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("blocks_a"), number(F.col("n"), F.col("s")).alias("blocks_b")))
+    return first.unionAll(block_links(split, placed, rooted, sets, similarity, least))
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -185,14 +269,14 @@ def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1))
     row_key = F.xxhash64(F.col(id_col), text_key)
     made = df.select(F.col(id_col).alias("id"), row_key.alias("row"), text_key.alias("text"), long_fingerprint(F.col(text_col), shingle).alias("p"))
-    rows = materialise(made.select("id", "row", "text", F.col("p.digest").alias("node"), "p.fp", "p.shingles"))
-    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
+    rows = materialise(made.select("id", "row", "text", F.col("p.digest").alias("node"), "p.fp", "p.bands", "p.shingles"))
+    nodes = materialise(rows.groupBy("node").agg(F.first(F.struct("fp", "bands", "shingles")).alias("p")).select("node", "p.*"))
 
     def sets(wanted: DataFrame) -> DataFrame:
         """(node, hashes): the set of one text of each wanted node."""
-        one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-        texts = df.select(row_key.alias("row"), F.col(text_col).alias("text")).join(one, "row").dropDuplicates(["node"])
-        return texts.select("node", hash_set(F.col("text"), shingle).alias("hashes"))
+        one = materialise(rows.select("node", "row").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
+        texts = df.select(row_key.alias("row"), F.col(text_col).alias("text")).join(one, "row")
+        return texts.select("node", hash_set(F.col("text"), shingle).alias("hashes")).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
     roots = connected_components(near_duplicate_links(nodes, sets, similarity), "a", "b")
     placed = rows.select("id", "row", "text", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

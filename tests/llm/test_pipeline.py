@@ -111,3 +111,66 @@ def test_run(spark, planted, tables, tmp_path):
 
 def test_names_are_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secret_scan", "tokens"]
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60), "en", "src0", 1) for i in range(30)] + [(90, "12 34 56", "en", "src0", 8), (91, None, None, None, None), (92, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as language", "2 as _scores")
+    out = corpus_pipeline.language(spark, df, "")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(30)) and out.columns == [*COLUMNS, "language", "_scores"]
+    assert corpus_pipeline.language(spark, df.limit(0), "").count() == 0
+
+
+def test_decontamination(spark, tables):
+    folder, rows, items, _ = tables
+    df = spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], SCHEMA).selectExpr("*", "1 as item", "2 as leak")
+    out = corpus_pipeline.decontamination(spark, df, folder)
+    texts = [i["text"] for i in items if (i["text"] or "").strip()]
+    sets = [(len(t.split()), t) for t in texts]
+
+    def leaks(text):
+        for n, t in sets:
+            k = min(5, n)
+            own, there = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in ((x or "").encode().lower().split() for x in (t, text)))
+            if len(own & there) >= 0.8 * len(own):
+                return True
+        return False
+
+    want = sorted(str(r["doc_id"]) for r in rows if not leaks(r["text"]))
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == want and len(want) < len(rows) and out.columns == [*COLUMNS, "item", "leak"]
+
+
+def test_tokens(spark):
+    rows = [(1, "The cat sat.", "en", "s", 12), (2, None, None, None, None), (2, "", "en", "s", 0), (3, "x" * 3000, "en", "s", 1)]
+    out = corpus_pipeline.tokens(spark, spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as ids", "2 as n_tokens"), "").collect()
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted(tuple(r["ids"]) for r in out) == sorted(tuple(t.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
+
+
+def test_recall_and_precision_against_all_pairs(spark):
+    """3,000 texts with copies of every degree: of the true links' groups, what stays differs in under 1 % of documents."""
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randrange(60, 160)) for _ in range(1500)]
+    texts += [edited(rng, texts[rng.randrange(1500)], rng.randrange(0, 8)) for _ in range(1500)]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"] for r in neardup.keep_one_of_each_group(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    sets = [shingles(t) for t in texts]
+    seen, links = {}, []
+    for i, s in enumerate(sets):
+        near = {j for g in s for j in seen.get(g, ())}
+        links += [(i, j) for j in near if len(s & sets[j]) >= 0.8 * len(s | sets[j])]
+        for g in s:
+            seen.setdefault(g, []).append(i)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {find(i) for i in range(len(texts))}
+    assert want <= got and len(got - want) < 0.01 * len(links)
+    print("links", len(links), "kept beyond", len(got - want))
