@@ -4,13 +4,15 @@ Four kinds of evidence are added as log-probabilities: the text under a model of
 each language, the language that the markup declares, the country suffix of the address, and a prior of the
 host. The trigram model is fitted on a bounded sample of labelled rows; all other tables are grouped
 aggregations over all rows: how often each declaration and each suffix comes with each language (as the text
-alone is judged), and how often each host has each language. Host counts are smoothed by those of the domain
-(the last two labels), these by those of all rows, so that a host of few pages follows its domain.
+alone is judged), and how often each host has each language. Host counts are smoothed by those of the other hosts of
+its domain (the last two labels), these by those of all rows, so that a host of few pages follows its domain, and one
+without a domain of several hosts follows all rows; no count is used twice.
 
 A row is rejected if its text has no letter, if a flat model (every trigram alike) explains the text better
 than any language does, or if the posterior of the best language is under `least`. Null texts are empty ones
 and are rejected. Null declarations, suffixes and hosts add nothing. With no labelled rows, all rows are
-rejected. Repeated rows are judged alike.
+rejected. Repeated rows are judged alike; of equal scores the first language in alphabetical order wins. An empty
+table gives no rows, and columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -65,8 +67,8 @@ class TextModel:
         return TEMPER * out
 
 
-def train_text_model(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 4000, max_languages: int = 64) -> TextModel:
-    """Fitted on the sample_rows labelled rows of least hash of the id, for their max_languages commonest labels."""
+def train_text_model(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = 4000) -> TextModel:
+    """Fitted on the sample_rows labelled rows of least hash of the id, for all labels that they have."""
     labelled = df.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [r[0] for r in labelled.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).collect()]
     sample = labelled.where(F.col(id_col).isin(ids)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
@@ -83,10 +85,10 @@ def train_text_model(df: DataFrame, id_col: str, text_col: str, label_col: str,
             yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
 
     counts = sample.mapInArrow(count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas() if ids else None  # at most BUCKETS rows a label
+    rows = counts.toPandas() if ids else None  # at most BUCKETS rows a label of the sample
     if rows is None or not len(rows):
         return TextModel((), np.zeros((BUCKETS, 0), np.float32))
-    languages = tuple(sorted(rows.groupby("label")["n"].sum().nlargest(max_languages).index))
+    languages = tuple(sorted(rows["label"].unique()))
     table = np.full((BUCKETS, len(languages)), 0.1)
     for k, language in enumerate(languages):
         own = rows[rows["label"] == language]
@@ -95,7 +97,7 @@ def train_text_model(df: DataFrame, id_col: str, text_col: str, label_col: str,
 
 
 def text_scores(df: DataFrame, model: TextModel, text: Column) -> Column:
-    held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x max_languages numbers at most
+    held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language of the sample
 
     def run(texts: pa.Array) -> pa.Array:
         scores = held.value.score(texts.to_pylist())
@@ -155,9 +157,10 @@ def identify_language(df: DataFrame, model: TextModel, text_col: str = "text", d
         return F.array(*(F.sum(F.when(F.col("language") == i, F.col("n")).otherwise(0)).cast("double") for i in range(n))).alias(k)
 
     named = seen.where("host is not null")
-    by_domain = named.groupBy(domain(F.col("host")).alias("domain")).agg(counts("own"))
-    by_domain = by_domain.select("domain", smoothed(F.col("own"), F.array(*map(F.lit, overall))).alias("wide"))
-    by_host = named.groupBy("host").agg(counts("own")).withColumn("domain", domain(F.col("host"))).join(by_domain, "domain")
+    by_host = named.groupBy("host").agg(counts("own")).withColumn("domain", domain(F.col("host")))
+    total = by_host.groupBy("domain").agg(F.array(*(F.sum(F.col("own")[i]) for i in range(n))).alias("all"))
+    others = F.zip_with("all", "own", lambda a, o: a - o)
+    by_host = by_host.join(total, "domain").select("host", "own", smoothed(others, F.array(*map(F.lit, overall))).alias("wide"))
     prior = free_name(df, "_prior")
     priors = materialise(by_host.select(F.col("host").alias(hosts), F.transform(smoothed(F.col("own"), F.col("wide")), lambda p: F.log(p)).alias(prior)))
     rows = rows.join(F.broadcast(priors) if priors.count() <= broadcast_hosts else priors, hosts, "left")
@@ -182,11 +185,14 @@ def identify_language(df: DataFrame, model: TextModel, text_col: str = "text", d
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#:]+)", 1))
+    """Null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#:]+)", 1)), F.lit(""))
 
 
 def html_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with the columns text, declared, suffix and host that identify_language() takes."""
+    """pages with the columns text, declared, suffix and host that identify_language() takes; taken names are refused."""
+    if taken := {"text", "declared", "suffix", "host"} & {c.lower() for c in pages.columns}:
+        raise ValueError(f"pages has columns {sorted(taken)} already")
     html = F.col(html_col)
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
     host = url_host(F.col(url_col))

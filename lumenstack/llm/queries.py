@@ -43,6 +43,15 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "language.lang", F.col("lang").alias("declared"), F.round("language.confidence", 6).alias("confidence"), F.col("language.accepted").alias("kept"))
 
 
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by all kinds of evidence; the text model is that of documents."""
+    small_batches(spark)
+    model = langid.train_text_model(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    pages = langid.html_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    judged = langid.identify_language(pages, model, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"))
+    return judged.select("page_id", "host", "declared", "language.lang", F.round("language.confidence", 6).alias("confidence"), F.col("language.accepted").alias("kept"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     judged = quality.quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,5 +94,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, langid_pages, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm)}
 ORACLE_SQL = {"op5_quality": sql.OP5_QUALITY, "op8_decontam": sql.OP8_DECONTAM}

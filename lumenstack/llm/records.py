@@ -8,9 +8,10 @@ file beside it has a row of 4 unsigned 64-bit numbers for each record: offset, f
 it in the shard, ids in it. So a reader can seek to any record of a shuffled order.
 
 Shards are ranges of document ids in ascending order (null first), records ascend within a shard; rows
-with equal ids keep all their records. A null text is an empty one: its record has the closing id alone.
-An empty table writes no records and reads back as no rows. Files are written under a name of the task's
-attempt and then renamed, so a task that is run again replaces its own output and leaves nothing partial.
+with equal ids keep all their records, ordered by a hash of the text and the text. A null text is an empty one: its
+record has the closing id alone. An empty table writes no records and reads back as no rows. The two files of a shard
+have the number of the task's attempt in their name, and the manifest, which Spark commits once a task, tells which
+attempt counts; files of lost attempts are in no manifest and are never read.
 """
 
 from __future__ import annotations
@@ -172,10 +173,9 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col
         shard, attempt = context.partitionId(), context.taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/shard-{shard:06d}"
-        tries = {suffix: f"{root}/.{shard:06d}-{attempt}.{suffix}" for suffix in ("rec", "idx")}
+        name = f"shard-{shard:06d}-{attempt}"
         at = before = records = 0
-        with fs.open_output_stream(tries["rec"]) as data, fs.open_output_stream(tries["idx"]) as index:
+        with fs.open_output_stream(f"{root}/{name}.rec") as data, fs.open_output_stream(f"{root}/{name}.idx") as index:
             for batch in batches:
                 for doc, ids in encoded(batch):
                     ids = np.append(ids, np.uint32(end_id))
@@ -185,14 +185,13 @@ def write_records(df: DataFrame, folder: str, path: str, end_id: int = 0, id_col
                     data.write(out)
                     index.write(struct.pack("<4Q", at, len(out), before, len(ids)))
                     at, before, records = at + len(out), before + len(ids), records + 1
-        for suffix, tried in tries.items():
-            fs.move(tried, f"{name}.{suffix}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/shard-{shard:06d}"], "records": pa.array([records]), "ids": pa.array([before]), "width": pa.array([ids_per_record_width], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "records": pa.array([records]), "ids": pa.array([before]), "width": pa.array([ids_per_record_width], pa.int32())})
 
     doc = F.col(id_col).cast("long").alias("doc_id")
     rows = df.select(doc, F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    manifest = ranged.sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST)
+    order = ["doc_id", F.xxhash64("text"), "text"]  # rows of one id may fill several shards
+    ranged = rows.repartitionByRange(partitions, *order[:2]) if partitions else rows.repartitionByRange(*order[:2])
+    manifest = ranged.sortWithinPartitions(*order).mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

@@ -1,6 +1,6 @@
 """Shards along a Hilbert curve, in DataFrame functions alone.
 
-Each dimension is cut at its quantiles into 2^bits cells (strings by their first bytes; nulls fall in the
+Each dimension is cut at its quantiles into 2^bits cells (strings by the order of whole strings; nulls fall in the
 first cell), the cell's index on the Hilbert curve is computed, rows are ordered by that index and runs of
 the order are the shards, so that each shard covers a small box of every dimension and readers can skip
 files by their minima and maxima. The law is `rows`: counts of any two shards differ by at most one.
@@ -9,7 +9,8 @@ The global rank needs no sort in one task: rows are counted by (curve index, buc
 those counts are summed up along the curve, and only rows of one bucket are ranked together. A cell that
 holds most rows is spread over `buckets` buckets, so no group is ranked in one task.
 
-Empty tables give no rows. Repeated rows each get a place. Fewer rows than shards leave shards empty.
+Empty tables give no rows. Repeated rows each get a place, in no order between them. Fewer rows than shards leave
+shards empty. Columns of any name may be dimensions or keys.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenstack.llm.common import materialise
+from lumenstack.llm.common import free_name, materialise
 
-PREFIX_BYTES = 6
+def string_cells(rows: DataFrame, name: str, bits: int) -> DataFrame:
+    """(name, cell): each distinct string with its quantile cell, by the whole string; equal strings share a cell.
 
-
-def lexical(text: Column) -> Column:
-    """The first bytes of a string as a number in the same order, or null."""
-    return F.conv(F.rpad(F.hex(F.encode(F.substring(text, 1, PREFIX_BYTES), "utf-8")).substr(1, 2 * PREFIX_BYTES), 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
-
-
-def numeric(df: DataFrame, name: str) -> Column:
-    return lexical(F.col(name)) if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
+    Distinct strings are dealt by range, counted by range, and summed up within each range only.
+    """
+    seen = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+    ranged = materialise(seen.repartitionByRange(name).withColumn("part", F.spark_partition_id()))
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(so_far), F.lit(0)).alias("before"))
+    total = max(1, ranged.agg(F.sum("n")).first()[0] or 0)
+    within = Window.partitionBy("part").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(parts), "part").withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return placed.select(name, F.expr(f"cast({1 << bits} * before div {total} as int)").alias("cell"))
 
 
 def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFrame:
@@ -58,19 +62,29 @@ def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFr
     return df.withColumn(out, reduce(Column.bitwiseOR, place))
 
 
-def hilbert_shards(df: DataFrame, dims: list[str], shards: int, keys: list[str], bits: int = 3, buckets: int = 256) -> DataFrame:
-    """(keys, hilbert int, shard int, slot long) for each row of df.
+def hilbert_shards(df: DataFrame, dims: list[str], shards: int, keys: list[str], bits: int = 3, buckets: int | None = None) -> DataFrame:
+    """(keys, hilbert int, shard int, slot long) for each row of df; hilbert, shard and slot get underscores before
+    them if a key is so named.
 
-    dims: columns to order by. keys: columns to keep; they also settle the order within a cell.
+    dims: columns to order by, numbers or strings. keys: columns to keep; they also settle the order within a cell.
+    buckets: parts that a cell is ranked in, by default one for 50,000 rows and 256 at least.
     """
-    rows = df.select(*keys, *(numeric(df, d).alias(f"dim_{i}") for i, d in enumerate(dims)))
-    rows = materialise(rows)
-    names = [f"dim_{i}" for i in range(len(dims))]
+    kept, names = [f"key_{i}" for i in range(len(keys))], [f"dim_{i}" for i in range(len(dims))]
+    text = [n for n, d in zip(names, dims) if dict(df.dtypes)[d] == "string"]
+    value = [F.col(f"`{d}`") if n in text else F.col(f"`{d}`").cast("double") for n, d in zip(names, dims)]
+    rows = materialise(df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, kept)), *(v.alias(n) for v, n in zip(value, names))))
+    total = rows.count()
+    buckets = buckets or max(256, total // 50_000)
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = rows.agg(*(F.percentile_approx(c, steps, 10_000).alias(c) for c in names)).first()
-    cells = {c: reduce(Column.__add__, (F.coalesce(F.col(c) > v, F.lit(False)).cast("int") for v in sorted(set(cuts[c] or []))), F.lit(0)) for c in names}
+    numbers = [n for n in names if n not in text]
+    cuts = rows.agg(F.count("*").alias("rows"), *(F.percentile_approx(c, steps, 10_000).alias(c) for c in numbers)).first()
+    cells = {c: reduce(Column.__add__, (F.coalesce(F.col(c) > v, F.lit(False)).cast("int") for v in sorted(set(cuts[c] or []))), F.lit(0)) for c in numbers}
+    for name in text:
+        found = materialise(string_cells(rows, name, bits))
+        rows = rows.join(found, name, "left").drop(name).withColumn(name, F.coalesce("cell", F.lit(0))).drop("cell")
+    rows = materialise(rows) if text else rows
     rows = hilbert_index(rows.withColumns(cells), names, bits, "hilbert").drop(*names)
-    rows = rows.withColumn("hash", F.xxhash64(*keys))
+    rows = rows.withColumn("hash", F.xxhash64(*kept))
     rows = materialise(rows.withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.lit(buckets)).cast("int")))
 
     counts = rows.groupBy("hilbert", "bucket").agg(F.count("*").alias("n"))
@@ -80,10 +94,10 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, keys: list[str],
     within = Window.partitionBy("hilbert").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.join(per_cell, "hilbert").select("hilbert", "bucket", (F.col("cell_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before"))
 
-    total = rows.count()
-    ordered = Window.partitionBy("hilbert", "bucket").orderBy("hash", *keys)
+    ordered = Window.partitionBy("hilbert", "bucket").orderBy("hash", *kept)
     rank = F.col("before") + F.row_number().over(ordered) - 1
     ranked = rows.join(starts, ["hilbert", "bucket"]).withColumn("rank", rank)
     shard = F.expr(f"cast((rank * {shards}L) div {max(1, total)}L as int)")
     first = F.expr(f"({total}L * shard + {shards - 1}L) div {shards}L")
-    return ranked.withColumn("shard", shard).select(*keys, "hilbert", "shard", (F.col("rank") - first).cast("long").alias("slot"))
+    placed = ranked.withColumn("shard", shard).withColumn("slot", (F.col("rank") - first).cast("long"))
+    return placed.select(*(F.col(n).alias(k) for n, k in zip(kept, keys)), *(F.col(c).alias(free_name(df.select(*(f"`{k}`" for k in keys)), c)) for c in ("hilbert", "shard", "slot")))

@@ -8,11 +8,13 @@ Pigeonring: the 64 bits stand in a ring of m segments. If two fingerprints diffe
 is a segment from which every chain of l consecutive segments differs in at most l*t/m bits. Chains with
 l*t/m < 1 must agree exactly, so the longest such chain is the key of an equi-join; the longer chains prune
 what it finds, and the full Hamming distance (l = m) decides. A key that more than `heavy` fingerprints
-share is not paired up: there each fingerprint meets, by equi-join again, those that share a variant of it
-with at most one bit flipped, which for t = 2 is the same relation; links go to the least of each variant.
+share is not paired up: two fingerprints differ in at most t bits if and only if they share a variant with at most
+ceil(t/2) bits of one and floor(t/2) of the other flipped; variants meet by equi-join, and links go to the least
+fingerprint that reaches a variant with the fewer flips. That is linear in the key's fingerprints, at any t.
 
 Groups are connected components. Rows with equal fingerprints are one node; copies are never paired.
-Rows with a null id take part and get their group's id, null if the group has no other id.
+Rows with a null id take part and get their group's id, null if the group has no other id. An empty table gives no
+rows; only the id is kept of df's columns, and fp and component_id get underscores before them if the id is so named.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenstack.llm.common import materialise
+from lumenstack.llm.common import free_name, materialise
 from lumenstack.llm.components import connected_components
 
 SEED = 42
@@ -94,25 +96,29 @@ def hamming_links(fps: DataFrame, distance: int = 2, segments: int = 5, heavy: i
     for l in range(exact + 1, segments):
         chains &= F.bit_count(differ.bitwiseAND(pick(masks[l], F.col("chain")))) <= l * distance // segments
     pairs = left.join(right, ["chain", "key"]).where("a < b").where(chains).where(F.bit_count(differ) <= distance).select("a", "b")
-    if distance != 2:
-        if met.where(F.col("n") > heavy).limit(1).count():
-            raise ValueError("keys with many fingerprints are only handled for a distance of 2; use more segments")
-        return pairs.distinct()
+    near, far = distance // 2, distance - distance // 2
     free = [[signed(1 << b) for b in range(64) if not masks[exact][i] >> b & 1] for i in range(segments)]
-    flips = F.element_at(F.array(*(F.array(*(F.lit(v) for v in [0, *bits])) for bits in free)), F.col("chain") + 1)
-    variants = met.where(F.col("n") > heavy).select("fp", "chain", F.explode(flips).alias("flip"))
-    variants = variants.select("fp", "chain", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    least = variants.groupBy("chain", "variant").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = variants.join(least, ["chain", "variant"]).where("a < fp").select("a", F.col("fp").alias("b"))
+
+    def variants(most: int) -> DataFrame:
+        """Fingerprints of heavy keys with up to `most` free bits flipped."""
+        out = met.where(F.col("n") > heavy).select("fp", "chain", F.col("fp").alias("variant"))
+        flips = F.element_at(F.array(*(F.array(*(F.lit(v) for v in [0, *bits])) for bits in free)), F.col("chain") + 1)
+        for _ in range(most):
+            out = out.select("fp", "chain", F.explode(flips).alias("flip"), "variant").select("fp", "chain", F.col("variant").bitwiseXOR(F.col("flip")).alias("variant"))
+        return out.distinct() if most > 1 else out
+
+    least = variants(near).groupBy("chain", "variant").agg(F.min("fp").alias("hub"))
+    stars = variants(far).join(least, ["chain", "variant"]).where("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     return pairs.unionAll(stars).distinct()
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, segments: int = 5, heavy: int = 128) -> DataFrame:
     """(id_col, fp, component_id) for each row: fingerprint, and the smallest id that links lead to."""
+    fp_name, component = (free_name(df.select(id_col), x) for x in ("fp", "component_id"))
     rows = materialise(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(hamming_links(nodes, distance, segments, heavy), "a", "b")
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialise(linked)
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias(fp_name), F.col("component_id").alias(component))

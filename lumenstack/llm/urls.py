@@ -3,8 +3,9 @@
 All is DataFrame functions and spark.ml's DataFrame API. The host is what stands after the first "://" up to
 "/", "?", "#" or the end, A-Z lower-cased; the path runs on to "?", "#" or the end. A null URL and one without
 "://" have both empty. A rule `host/path` fits its host and all subdomains if the path starts with the rule's;
-the longest that fits decides, else the model does. The model is fitted on a small labelled table; URLs with
-nothing to see are allowed by the intercept alone. Repeated rows are judged alike.
+the longest that fits decides, else the model does. The model is fitted on a small labelled table that holds no
+host of any table judged; URLs with nothing to see are allowed by the intercept alone. Repeated rows are judged alike,
+an empty table gives no rows, and columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -15,27 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small labelled table, stated here: unwanted sites, then ordinary ones.
-UNWANTED = """
-http://spam-farm.example.org/en/17 https://www.cheap-pills.example.com/fr/20?ref=x http://casino-win.example.net/de/5
-https://adult-x.example.com/en/90 http://free-bets.example.net/es/44.html https://ads-track.example.com/en/3#top
-http://cheap-pills-online.test/buy/now https://best-casino-bonus.test/win/jackpot http://m.adult-x.example.com/fr/7
-https://blog.spam-farm.example.org/de/11 http://www.free-bets.example.net/en/8?page=2 https://adult-videos.test/xxx/1
-http://track-ads.test/click?id=5 https://win-big-casino.test/slots/free http://pills-cheap.test/viagra
-https://www.ads-track.example.com/es/123/ http://m.casino-win.example.net/en/77 https://free-spins-bets.test/poker
-http://xxx-adult-cams.test/live/2 https://link-farm-spam.test/seo/9 http://cheap-loans-fast.test/apply
-https://m.cheap-pills.example.com/en/450 http://blog.ads-track.example.com/en/6 https://bets-free.test/odds/1
-""".split()
-ORDINARY = """
-http://ththre.example.com/fr/825?page=2 https://m.ththth.example.net/en/25 https://thther.example.org/en/685
-http://therha.example.com/en/676 https://therin.example.net/en/770#top https://blog.tiontion.example.com/en/853/
-http://blog.ththan.example.net/en/960 https://tionsh.example.net/es/533/ http://tionble.example.com/en/12
-https://www.ththen.example.com/en/148.html http://therly.example.net/de/64 https://thernd.example.net/de/612
-https://library.test/catalogue/item/9 http://news.test/world/2020/report https://docs.test/guide/start
-http://university.test/courses/physics https://museum.test/collection/painting http://weather.test/forecast/week
-https://recipes.test/soup/lentil http://www.gardening.test/roses/pruning https://history.test/articles/rome
-http://ththly.example.org/en/777 https://thering.example.com/en/328/ http://thonth.example.com/es/19
-""".split()
+from lumenstack.llm.common import free_name
+
+#: The labelled table is made of these words: pairs of them are host names, the next is the path.
+UNWANTED = "casino poker slots bets betting jackpot bingo lottery win bonus viagra pills pharma cheap discount loans payday adult porn xxx cams escort dating spam seo links farm track clicks ads adserver popup free download crack keygen warez phish".split()
+ORDINARY = "library museum university school college news weather recipes garden history science travel music theatre sport health hospital city council river forest mountain market bakery bridge station radio journal archive atlas maths physics biology poetry novel painting kitchen village harbour".split()
+PATHS = "en de/12 fr/page-3.html about articles/7?ref=a index.html 2021/05 es/77#top contact item/340/".split()
 #: Rules as (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -70,26 +56,35 @@ def ngrams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Colum
     return F.concat(*(of(mark, text, n) for mark, text in zip("hp", ends) for n in sizes))
 
 
-def features(df: DataFrame, url: Column, dimensions: int) -> DataFrame:
-    """df with the columns _grams and _features."""
-    return HashingTF(inputCol="_grams", outputCol="_features", numFeatures=dimensions, binary=True).transform(df.withColumn("_grams", ngrams(host_of(url), path_of(url))))
+def features(df: DataFrame, url: Column, dimensions: int, grams: str = "grams", out: str = "features") -> DataFrame:
+    """df with the columns grams and out."""
+    return HashingTF(inputCol=grams, outputCol=out, numFeatures=dimensions, binary=True).transform(df.withColumn(grams, ngrams(host_of(url), path_of(url))))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = (spark.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(" ".join(urls)), " ")).alias("url"), F.lit(label).alias("label")) for urls, label in ((UNWANTED, 1.0), (ORDINARY, 0.0)))
-    return next(rows).unionAll(next(rows))
+    """(url, label): a host of each word with each of the next three words of its kind (the next nine of ordinary ones,
+    which are the rule), in turn joined in three ways and under four suffixes; 1: unwanted."""
+    rows = []
+    for words, label, others in ((UNWANTED, 1.0, 3), (ORDINARY, 0.0, 9)):
+        for i, word in enumerate(words):
+            for k in range(1, others + 1):
+                other, n = words[(i + k) % len(words)], others * i + k
+                host = (f"{word}-{other}", f"www.{word}{other}", f"{other}.{word}{n}")[n % 3] + (".test", ".example.com", ".example.net", ".example.org")[n % 4]
+                rows.append((f"http{'s' * (n % 2)}://{host}/{PATHS[n % len(PATHS)]}", label))
+    return spark.createDataFrame(rows, "url string, label double")
 
 
 def train_url_model(labelled: DataFrame, dimensions: int = 1 << 13, strength: float = 0.02) -> LogisticRegressionModel:
     """labelled: url, label (1: unwanted); a small table, for every pass of the fit goes over it."""
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=strength, maxIter=50).fit(features(labelled, F.col("url"), dimensions))
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=strength, maxIter=50).fit(features(labelled.select("url", "label"), F.col("url"), dimensions))
 
 
 def judge_urls(df: DataFrame, model: LogisticRegressionModel, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """df with a struct column url_verdict (host, path, rule, verdict, probability), which it must not have."""
-    columns = df.columns
-    scored = model.setProbabilityCol("_p").setPredictionCol("_verdict").setRawPredictionCol("").transform(features(df, F.col(url_col), model.numFeatures))
+    """df with a struct column url_verdict (host, path, rule, verdict, probability; underscores before a taken name)."""
+    grams, found, chance, guess, out = (free_name(df, x) for x in ("_grams", "_features", "_chance", "_guess", "url_verdict"))
+    seen = features(df, F.col(url_col), model.numFeatures, grams, found)
+    scored = model.copy().setFeaturesCol(found).setProbabilityCol(chance).setPredictionCol(guess).setRawPredictionCol("").transform(seen)
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rule, unwanted = rule_for(host, path, rules), vector_to_array("_p")[1]
+    rule, unwanted = rule_for(host, path, rules), vector_to_array(chance)[1]
     verdict = F.coalesce(rule["verdict"], F.when(unwanted > 0.5, "block").otherwise("allow"))
-    return scored.select(*columns, F.struct(host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), verdict.alias("verdict"), unwanted.alias("probability")).alias("url_verdict"))
+    return scored.select(*(F.col(f"`{c}`") for c in df.columns), F.struct(host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), verdict.alias("verdict"), unwanted.alias("probability")).alias(out))
