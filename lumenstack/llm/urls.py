@@ -64,14 +64,16 @@ def features(df: DataFrame, url: Column, dimensions: int, grams: str = "grams",
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): a host of each word with each of the next three words of its kind (the next nine of ordinary ones,
     which are the rule), in turn joined in three ways and under four suffixes; 1: unwanted."""
-    rows = []
+    kinds = []
     for words, label, others in ((UNWANTED, 1.0, 3), (ORDINARY, 0.0, 9)):
+        made = []
         for i, word in enumerate(words):
             for k in range(1, others + 1):
                 other, n = words[(i + k) % len(words)], others * i + k
                 host = (f"{word}-{other}", f"www.{word}{other}", f"{other}.{word}{n}")[n % 3] + (".test", ".example.com", ".example.net", ".example.org")[n % 4]
-                rows.append((f"http{'s' * (n % 2)}://{host}/{PATHS[n % len(PATHS)]}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+                made.append(f"http{'s' * (n % 2)}://{host}/{PATHS[n % len(PATHS)]}")
+        kinds.append(spark.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(" ".join(made)), " ")).alias("url"), F.lit(label).alias("label")))
+    return kinds[0].unionAll(kinds[1])
 
 
 def train_url_model(labelled: DataFrame, dimensions: int = 1 << 13, strength: float = 0.02) -> LogisticRegressionModel:
