@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import bpe, decontam, langid, lm, quality, records, secrets, sharding, simhash, sql, urls
+from lumenstack.llm import audit, bpe, conversations, decontam, langid, lm, quality, records, secrets, sharding, simhash, sql, urls
 from lumenstack.llm.common import shared_dir, small_batches, table
 
 
@@ -94,5 +94,29 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, langid_pages, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm)}
-ORACLE_SQL = {"op5_quality": sql.OP5_QUALITY, "op8_decontam": sql.OP8_DECONTAM}
+def damaged(rows: DataFrame) -> DataFrame:
+    """The damage that op11 is to repair: each row with how often it stands there, `copies`."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.crc32(F.encode(key, "utf-8")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    return rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    blocks = conversations.repair_conversations(rows, copies=F.col("copies"))
+    return conversations.digests(blocks).withColumnRenamed("conv", "conv_id")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    masks = audit.failure_masks(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels")
+    rows = audit.with_labels(masks, labels, "doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    return audit.audit(rows).drop("filter")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, langid_pages, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm, op11_repair, op13_audit)}
+ORACLE_SQL = {"op5_quality": sql.OP5_QUALITY, "op8_decontam": sql.OP8_DECONTAM, "op11_repair": sql.OP11_REPAIR, "op13_audit": sql.OP13_AUDIT}
