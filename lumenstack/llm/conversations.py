@@ -44,8 +44,8 @@ ROLE = {USER: "user", ASSISTANT: "assistant"}
 #: Over this much more than the least cost, a start can no longer be part of the cheapest edits: 10 would do.
 HOPELESS = 20
 SPACE = " \t\n\x0b\x0c\r"
-#: Bounds of a block.
-BLOCK_TURNS, BLOCK_CHARS = 4096, 2_000_000
+#: Characters after which a block ends.
+BLOCK_CHARS = 2_000_000
 
 Layer = tuple[tuple[int, int] | None, ...]  # (cost, rank) by state
 
@@ -184,7 +184,7 @@ def statistics(turns: list[dict]) -> dict:
     return counts | {"low": min(numbers, default=None), "high": max(numbers, default=None), "first_role": turns[0]["role"][:1] if turns else None, "last_role": turns[-1]["role"][:1] if turns else None}
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+def blocks_of(batches: Iterator[pa.RecordBatch], names: list[str], block_turns: int) -> Iterator[dict]:
     """The blocks of a partition's sorted rows. A block is whole if its conversation begins and ends within."""
     part, seq = TaskContext.get().partitionId(), 0
     turns: list[dict] = []
@@ -206,7 +206,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[d
                 continue
             if not n:
                 continue
-            if len(turns) >= BLOCK_TURNS or chars >= BLOCK_CHARS:
+            if len(turns) >= block_turns or chars >= BLOCK_CHARS:
                 yield block(last=True)
                 turns, chars, seq, cut = [], 0, seq + 1, True
             text = lead[3] if lead and lead[:3] == (t, role, digest) else None
@@ -269,11 +269,12 @@ def reconstructed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *arrays], [*keep, "cost", "audit", "repaired"])
 
 
-def repair_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: Column | None = None) -> DataFrame:
+def repair_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: Column | None = None, block_turns: int = 4096) -> DataFrame:
     """The repaired conversations, in blocks: conv, part, seq (order of blocks), whole (the only block), the conversation's
     gaps, blank, duplicate, truncated, illegal and cost, and the block's audit and repaired turns.
 
     turn: a whole number. copies: how often a row stands there; of a row with 0 only the conversation's id counts.
+    block_turns: turns of a block at most; the result is the same for any.
     """
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(role, F.lit(" ")).alias("role"), F.coalesce(text, F.lit(" ")).alias("text"), (F.lit(1) if copies is None else copies).cast("long").alias("n"))
     rows = rows.withColumn("digest", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
@@ -303,7 +304,7 @@ def repair_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
                 yield b
 
         held, size = [], 0
-        for found in blocks_of(watched(), names):
+        for found in blocks_of(watched(), names, block_turns):
             held.append(found)
             size += 1 + sum(1 + len(t["text"] or "") for t in found["turns"])
             if size > BLOCK_CHARS or len(held) >= 1000:

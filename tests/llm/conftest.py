@@ -42,12 +42,16 @@ def tables(tmp_path_factory):
     urls = ["http://A.Example.ORG/es/1?q", "https://example.org/en/12#f", "https://example.org", "ftp://x.com/fr/", "http://com/de/2", "no scheme", "", None, "http://notorg/x", "http://u@a.org:80/en/1", "://b.org/p", "http://a://b/c", "https://casino-win.example.net/de/5", "https://garden.test/roses"]
     pages = [{"page_id": i, "url": u, "html": f"<html lang='en'><p>the {i}</p></html>"} for i, u in enumerate([*urls, urls[0]])]
     pq.write_table(pa.Table.from_pylist(pages, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])), folder / "pages.parquet")
+    labels = [{"doc_id": i, "quality": i % 2, "toxic": i % 3 % 2} for i in range(0, 60, 3)]
+    pq.write_table(pa.Table.from_pylist(labels, pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())])), folder / "labels.parquet")
+    turns = [{"conv_id": i // 4, "turn": i % 4, "role": ("user", "assistant")[i % 2], "text": prose(rng, 9) + "."} for i in range(40)]
+    pq.write_table(pa.Table.from_pylist(turns, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])), folder / "conversations.parquet")
     return str(folder), rows, items, pages
 
 
 @pytest.fixture(scope="session")
 def empty_tables(tmp_path_factory, tables):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "pages"):
+    for name in ("documents", "benchmark", "pages", "labels", "conversations"):
         pq.write_table(pq.read_table(f"{tables[0]}/{name}.parquet").slice(0, 0), folder / f"{name}.parquet")
     return str(folder)

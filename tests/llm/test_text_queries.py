@@ -165,7 +165,7 @@ def test_op8(spark, tables):
 def test_sql_twins(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     cursor = con.execute(ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
