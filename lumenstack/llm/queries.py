@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenstack.llm import audit, bpe, conversations, decontam, langid, lm, quality, records, secrets, sharding, simhash, sql, urls
+from lumenstack.llm import audit, bpe, conversations, decontam, langid, licenses, lm, quality, records, secrets, sharding, simhash, sql, urls
 from lumenstack.llm.common import shared_dir, small_batches, table
 
 
@@ -110,6 +110,14 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(blocks).withColumnRenamed("conv", "conv_id")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("l", licenses.licenses(F.col("text"), licenses.fit_index(docs)))
+    joined = (F.array_join(f"l.{c}", ",").alias(c) for c in ("base_labels", "labels"))
+    return found.select("doc_id", "l.n_words", "l.n_base", "l.first_word", "l.last_word", *joined, "l.score")
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     masks = audit.failure_masks(table(spark, sf_dir, "documents"))
@@ -118,5 +126,5 @@ def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(rows).drop("filter")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, langid_pages, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm, op11_repair, op13_audit)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_hilbert, op3_secrets, op4_langid, langid_pages, op5_quality, op6_urls, op7_simhash, op8_decontam, op9_records, op10_lm, op11_repair, op12_licenses, op13_audit)}
 ORACLE_SQL = {"op5_quality": sql.OP5_QUALITY, "op8_decontam": sql.OP8_DECONTAM, "op11_repair": sql.OP11_REPAIR, "op13_audit": sql.OP13_AUDIT}
