@@ -99,15 +99,100 @@ def matched_to(px: DataFrame, ratio: DataFrame, key: list[str]) -> DataFrame:
     return px.join(ratio.select(*key, F.col("scale").alias("_f")), key, "left").withColumn("v", F.col("v") * F.coalesce("_f", F.lit(1.0))).drop("_f")
 
 
-def mesh_background(px: DataFrame, key: list[str], h: int, w: int, box: int = 128, window: int = 5, sigma: float = 3.0) -> DataFrame:
-    """(key, y, x, model): clipped medians of box x box zones, each replaced by the median of the zones in an odd window
-    around it, and enlarged bilinearly (not by splines). h and w are multiples of box."""
+def zone_mesh(px: DataFrame, key: list[str], h: int, w: int, box: int = 128, window: int = 5, sigma: float = 3.0, exclude: float = 98.0, rounds: int = 5) -> DataFrame:
+    """(key, y, x, v, s): clipped median and deviation of zones of box x box samples, each then the median of the zones in
+    an odd window around it. y and x number the zones.
+
+    The image need not be a multiple of the box: the last zones are cut by its border. Zones that miss (masked, clipped or
+    beyond the border) over `exclude` percent of a whole zone's samples are filled from the ten nearest others, weighted by
+    the inverse of their distance (of equally near ones the upper, then the left). An image without any zone has no rows.
+    """
     from lumenstack.operators.spatial import neighbourhood
 
-    zone = px.withColumns({"zy": F.expr(f"cast(y div {box} as int)"), "zx": F.expr(f"cast(x div {box} as int)")})
-    mesh = robust.clipped_stats(zone, [*key, "zy", "zx"], sigma).select(*key, F.col("zy").alias("y"), F.col("zx").alias("x"), F.col("median").alias("v"))
-    even = neighbourhood(mesh, key, window | 1).groupBy(*key, "y", "x").agg(F.median("nv").alias("v"))
-    return enlarge(even, key, h // box, w // box, h, w).withColumnRenamed("v", "model")
+    by, bx = min(box, h), min(box, w)
+    zone = px.select(*key, "v", F.expr(f"cast(y div {by} as int)").alias("zy"), F.expr(f"cast(x div {bx} as int)").alias("zx"))
+    stats = robust.clipped_stats(zone, [*key, "zy", "zx"], sigma, rounds).where(by * bx - F.col("n") <= exclude / 100 * by * bx)
+    kept = stats.select(*key, F.col("zy").alias("y"), F.col("zx").alias("x"), F.col("median").alias("v"), F.col("std").alias("s"))
+    packed = kept.groupBy(*key).agg(F.collect_list(F.struct("y", "x", "v", "s")).alias("all_zones"))  # an image's zones, not its samples
+    grid = packed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(-(-h // by) - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(-(-w // bx) - 1))))
+    away = lambda z: F.pow(z["y"] - F.col("y"), F.lit(2)) + F.pow(z["x"] - F.col("x"), F.lit(2))
+    near = F.slice(F.array_sort(F.transform("all_zones", lambda z: F.struct(away(z).alias("d"), z["y"].alias("y"), z["x"].alias("x"), z["v"].alias("v"), z["s"].alias("s")))), 1, 10)
+    total = lambda f: F.aggregate("near", F.lit(0.0), lambda a, z: a + f(z) / F.sqrt(z["d"]))
+    missing = grid.join(kept.select(*key, "y", "x"), [*key, "y", "x"], "left_anti").withColumn("near", near)
+    filled = missing.select(*key, "y", "x", *((total(lambda z, c=c: z[c]) / total(lambda z: F.lit(1.0))).alias(c) for c in "vs"))
+    mesh = kept.unionByName(filled).withColumn("v", F.struct("v", "s")).drop("s")
+    return neighbourhood(mesh, key, window | 1).groupBy(*key, "y", "x").agg(F.median("nv.v").alias("v"), F.median("nv.s").alias("s"))
+
+
+def spline_coefficients(values: Column, n: int) -> Column:
+    """Coefficients of the cubic B-spline through n values, mirrored about the outer edges of the end cells.
+
+    The system has 1 beside a diagonal of 4 (5 at both ends, 6 for a single value) and 6 times the values at its right; it
+    is solved by a forward and a backward fold, whose factors depend on n alone.
+    """
+    factors: list[float] = []
+    for i in range(n):
+        diagonal = 4 + (i == 0) + (i == n - 1)
+        factors.append(1 / (diagonal - (factors[-1] if factors else 0.0)))
+    c = F.array(*map(F.lit, factors))
+    before = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))
+    none = F.array().cast("array<double>")
+    forward = F.aggregate(F.sequence(F.lit(1), F.lit(n)), none, lambda acc, i: F.concat(acc, F.array((6 * F.element_at(values, i) - before(acc)) * F.element_at(c, i))))
+    pairs = F.reverse(F.arrays_zip(forward.alias("d"), c.alias("c")))
+    return F.reverse(F.aggregate(pairs, none, lambda acc, p: F.concat(acc, F.array(p["d"] - p["c"] * before(acc)))))
+
+
+def spline_weights(t: Column) -> list[Column]:
+    """Weights of the four coefficients around a place, t beyond the second of them."""
+    u = 1 - t
+    return [u * u * u / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (3 * u * u * u - 6 * u * u + 4) / 6, t * t * t / 6]
+
+
+def spline_surface(mesh: DataFrame, key: list[str], column: str, h: int, w: int, box: int) -> DataFrame:
+    """(key, y, x, column) for each pixel of an h x w image: the bicubic spline through the zones' values at their centres, kept
+    within their range.
+
+    Mesh rows and then mesh columns are solved as arrays. Each image row gets a value a mesh column, and the four values
+    around each gap between two columns' centres then make the pixels of that gap.
+    """
+    by, bx = min(box, h), min(box, w)
+    ny, nx = -(-h // by), -(-w // bx)
+    mirrored = lambda i, n: F.when(F.pmod(i, F.lit(2 * n)) < n, F.pmod(i, F.lit(2 * n))).otherwise(2 * n - 1 - F.pmod(i, F.lit(2 * n))).cast("int")
+    ends = mesh.groupBy(*key).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    part = mesh.select(*key, "y", "x", F.col(column).alias("c"))
+    for along, other, n in (("x", "y", nx), ("y", "x", ny)):
+        line = part.groupBy(*key, other).agg(F.array_sort(F.collect_list(F.struct(along, "c"))).alias("line"))
+        part = line.select(*key, other, F.posexplode(spline_coefficients(F.col("line.c"), n)).alias(along, "c"))
+    place = lambda p, size: (p + 0.5) / size - 0.5
+    gap = F.floor(place(F.col("row"), by))
+    taps = F.array(*(F.struct(mirrored(gap + k - 1, ny).alias("y"), weight.alias("k")) for k, weight in enumerate(spline_weights(place(F.col("row"), by) - gap))))
+    rows = mesh.sparkSession.range(h).select(F.col("id").cast("int").alias("row")).withColumn("tap", F.explode(taps)).select("row", "tap.y", "tap.k")
+    across = part.join(rows, "y").groupBy(*key, "row", "x").agg(F.sum(F.col("c") * F.col("k")).alias("c"))
+    lines = across.groupBy(*key, "row").agg(F.array_sort(F.collect_list(F.struct("x", "c"))).alias("line")).select(*key, "row", F.col("line.c").alias("line"))
+    gaps = lines.withColumn("gap", F.explode(F.sequence(F.lit(-1), F.lit(nx - 1))))
+    four = gaps.select(*key, "row", "gap", *(F.element_at("line", mirrored(F.col("gap") + k - 1, nx) + 1).alias(f"c{k}") for k in range(4))).join(ends, key)
+    low, high = F.greatest(F.ceil((F.col("gap") + 0.5) * bx - 0.5), F.lit(0)), F.least(F.ceil((F.col("gap") + 1.5) * bx - 0.5) - 1, F.lit(w - 1))
+    cells = four.where(low <= high).withColumn("x", F.explode(F.sequence(low, high).cast("array<int>")))
+    weights = spline_weights(place(F.col("x"), bx) - F.col("gap"))
+    value = sum((F.col(f"c{k}") * weight for k, weight in enumerate(weights)), F.lit(0.0))
+    return cells.select(*key, F.col("row").alias("y"), "x", F.least(F.greatest(value, F.col("lo")), F.col("hi")).alias(column))
+
+
+def mesh_background(px: DataFrame, key: list[str], h: int, w: int, box: int = 128, window: int = 5, sigma: float = 3.0, exclude: float = 98.0, splines: bool = True) -> DataFrame:
+    """(key, y, x, model): the surface through zone_mesh(), by splines or bilinear, for images of any size."""
+    mesh = zone_mesh(px, key, h, w, box, window, sigma, exclude)
+    if splines:
+        return spline_surface(mesh, key, "v", h, w, box).withColumnRenamed("v", "model")
+    by, bx = min(box, h), min(box, w)
+    ny, nx = -(-h // by), -(-w // bx)
+    return enlarge(mesh.drop("s"), key, ny, nx, ny * by, nx * bx).where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)).withColumnRenamed("v", "model")
+
+
+def without_background(px: DataFrame, key: list[str], h: int, w: int, box: int = 128, window: int = 5, sigma: float = 3.0, exclude: float = 98.0) -> DataFrame:
+    """px less its mesh background; samples of images without a model stay as they are. key: the image, its channel with it."""
+    (level,) = robust.free_names(px, ("model",))
+    model = mesh_background(px, key, h, w, box, window, sigma, exclude).withColumnRenamed("model", level)
+    return px.join(model, [*key, "y", "x"], "left").withColumn("v", F.col("v") - F.coalesce(level, F.lit(0.0))).drop(level)
 
 
 def feather(px: DataFrame, key: list[str], h: int, w: int, weight: str = "w", reach: int = 256, eps: float = 1e-6, low: float = 0.5, high: float = 2.0) -> DataFrame:

@@ -203,7 +203,7 @@ def _zone_clip_sql() -> str:
 @query(f"WITH {PX}, {_zone_clip_sql()}, {_MESH}, tg AS (SELECT frame_id, CAST(y AS INTEGER) AS ty, CAST(x AS INTEGER) AS tx, v AS own, least(greatest((y + 0.5) * 0.25 - 0.5, 0), 1)::DOUBLE AS sy, least(greatest((x + 0.5) * 0.25 - 0.5, 0), 1)::DOUBLE AS sx FROM px) SELECT tg.frame_id, ty AS y, tx AS x, {rs('any_value(own) - sum(v * (1 - abs(e.x - sx)) * (1 - abs(e.y - sy)))')} AS v FROM tg JOIN e ON e.frame_id = tg.frame_id AND abs(e.x - sx) < 1 AND abs(e.y - sy) < 1 GROUP BY 1, 2, 3")
 def background_subtracted(spark, d):
     px = frames(spark, d)
-    model = background.mesh_background(px, ["frame_id"], 8, 8, 4, 3)
+    model = background.mesh_background(px, ["frame_id"], 8, 8, 4, 3, splines=False)
     return px.join(model, BOX).select(*BOX, r(F.col("v") - F.col("model")).alias("v"))
 
 
