@@ -22,20 +22,23 @@ def mirror_images(p: Column, size: int, low: int, high: int) -> Column:
     return F.array_distinct(F.filter(F.array(*(q.cast("int") for q in places)), lambda q: (q >= low) & (q < high)))
 
 
-def equalising_map(counts: Column, area: int, limit: float) -> Column:
-    """An array of 256: the new value of each value. counts: a map from value to samples of a tile of `area` samples.
+def equalising_maps(counts: DataFrame, tile: list[str], area: int, limit: float) -> DataFrame:
+    """(tile, map, seen): an array of 256, the new value of each value, and the values that the tile has.
+    counts: (tile, value, n) of tiles of `area` samples.
 
     Counts are cut at limit times the mean count (1 at least); the excess goes to all values alike, what is left over to
-    every so many-th value; the running sum is scaled to 255.
+    every so many-th value; the running sum, over the 256 rows of a tile, is scaled to 255.
     """
     top = max(int(limit * area / LEVELS), 1) if limit > 0 else area
-    held = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0).cast("long")))
-    excess = F.aggregate(held, F.lit(0).cast("long"), lambda a, n: a + F.greatest(n - top, F.lit(0)))
-    each, rest = F.floor(excess / LEVELS), excess % LEVELS
-    step = F.greatest(F.floor(LEVELS / F.greatest(rest, F.lit(1))), F.lit(1))
-    spread = F.transform(held, lambda n, i: F.least(n, F.lit(top)) + each + F.when((i % step == 0) & (F.floor(i / step) < rest), 1).otherwise(0))
-    sums = F.aggregate(spread, F.array().cast("array<long>"), lambda a, n: F.concat(a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-    return F.transform(sums, lambda n: lab.whole(n * (255 / area)))
+    held = counts.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("held"), F.sum(F.greatest(F.col("n") - top, F.lit(0))).alias("excess"))
+    rest = F.col("excess") % LEVELS
+    held = held.select(*tile, "held", F.map_keys("held").alias("seen"), F.floor(F.col("excess") / LEVELS).alias("each"), rest.alias("rest"), F.greatest(F.floor(LEVELS / F.greatest(rest, F.lit(1))), F.lit(1)).alias("step"))
+    rows = held.withColumn("value", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    more = F.when((F.col("value") % F.col("step") == 0) & (F.floor(F.col("value") / F.col("step")) < F.col("rest")), 1).otherwise(0)
+    new = F.least(F.coalesce(F.try_element_at("held", F.col("value")), F.lit(0)), F.lit(top)) + F.col("each") + more
+    order = Window.partitionBy(*tile).orderBy("value")
+    sums = rows.select(*tile, "seen", "value", new.alias("n")).withColumn("m", lab.whole(F.sum("n").over(order) * (255 / area)))
+    return sums.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct("value", "m"))).alias("map"), F.first("seen").alias("seen")).select(*tile, F.col("map.m").alias("map"), "seen")
 
 
 def clahe(px: DataFrame, key: list[str], h: int, w: int, limit: float = 2.0, tiles: int = 8, v: str = "v") -> DataFrame:
@@ -52,8 +55,7 @@ def clahe(px: DataFrame, key: list[str], h: int, w: int, limit: float = 2.0, til
     image = px.select(*key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), value.alias("value"))
     spread = image.where("value is not null").select(*key, "value", F.explode(mirror_images(F.col("y"), h, 0, ph)).alias("y"), "x").select(*key, "value", "y", F.explode(mirror_images(F.col("x"), w, 0, pw)).alias("x"))
     counts = spread.groupBy(*key, F.expr(f"y div {th}").cast("int").alias("ty"), F.expr(f"x div {tw}").cast("int").alias("tx"), "value").agg(F.count("*").alias("n"))
-    maps = counts.groupBy(*key, "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("counts"))  # at most 256 entries
-    maps = maps.select(*key, "ty", "tx", equalising_map(F.col("counts"), th * tw, limit).alias("map"))
+    maps = equalising_maps(counts, [*key, "ty", "tx"], th * tw, limit)
 
     def cells(t: str) -> Column:
         """The cells that a tile is a corner of, with the corner: 0 is the upper or left one. End tiles are both."""
@@ -63,8 +65,9 @@ def clahe(px: DataFrame, key: list[str], h: int, w: int, limit: float = 2.0, til
 
     corners = maps.withColumn("a", cells("ty")).withColumn("b", cells("tx"))
     corner = lambda i, j: F.max(F.when((F.col("a.side") == i) & (F.col("b.side") == j), F.col("map"))).alias(f"m{i}{j}")
-    four = corners.groupBy(*key, F.col("a.c").alias("cy"), F.col("b.c").alias("cx")).agg(*(corner(i, j) for i in (0, 1) for j in (0, 1)))
-    rows = four.select(*key, "cy", "cx", F.posexplode(F.arrays_zip("m00", "m01", "m10", "m11")).alias("value", "m")).select(*key, "cy", "cx", "value", "m.*")
+    four = corners.groupBy(*key, F.col("a.c").alias("cy"), F.col("b.c").alias("cx")).agg(*(corner(i, j) for i in (0, 1) for j in (0, 1)), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
+    valued = four.withColumn("value", F.explode("seen"))
+    rows = valued.select(*key, "cy", "cx", "value", *(F.element_at(f"m{i}{j}", F.col("value") + 1).alias(f"m{i}{j}") for i in (0, 1) for j in (0, 1)))
     ty, tx = F.col("y") / th - 0.5, F.col("x") / tw - 0.5
     placed = image.withColumns({"cy": F.floor(ty).cast("int"), "cx": F.floor(tx).cast("int"), "fy": ty - F.floor(ty), "fx": tx - F.floor(tx)})
     mixed = placed.join(rows, [*key, "cy", "cx", "value"], "left")

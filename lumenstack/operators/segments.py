@@ -144,10 +144,10 @@ def every_frame(px: DataFrame, key: list[str], found: DataFrame, **defaults: Col
     return px.select(*key).distinct().join(found, key, "left").withColumns({c: F.coalesce(c, d) for c, d in defaults.items()})
 
 
-def initial_fwhm(px: DataFrame, key: list[str], tile: int = 256, least: int = 5, eccentricity: float = 0.5, fallback: float = 4.0) -> DataFrame:
-    """(key, n, fwhm): of each frame the median width of its round segments over median + 3 deviations, and their
+def initial_fwhm(px: DataFrame, key: list[str], tile: int = 256, least: int = 5, eccentricity: float = 0.5, fallback: float = 4.0, sigma: float = 3.0) -> DataFrame:
+    """(key, n, fwhm): of each frame the median width of its round segments over median + sigma deviations, and their
     number; the fallback for frames without."""
-    found = sources(label(over_sky(px, key), key, tile), key, least).where(F.col("eccentricity") < eccentricity)
+    found = sources(label(over_sky(px, key, sigma), key, tile), key, least).where(F.col("eccentricity") < eccentricity)
     own = found.groupBy(*key).agg(F.count("fwhm").alias("n"), F.median("fwhm").alias("fwhm"))
     return every_frame(px, key, own, n=F.lit(0), fwhm=F.lit(fallback))
 

@@ -2,7 +2,7 @@
 
 Detection is DataFrame functions: samples over the frame's clipped median by `sigma` clipped deviations that are
 the greatest of their neighbourhood, with the flux-weighted centre of the box around them. Matching is small
-arithmetic on the brightest stars of one frame (40 at most), so it runs grouped by frame in pandas.
+arithmetic on the brightest stars of one frame (USED at most), so it runs grouped by frame in pandas.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from lumenstack.functions import wcs
 from lumenstack.operators import project, robust, spatial
 from lumenstack.work import materialise
 
+#: Brightest stars of a frame that alignment looks at.
+USED = 40
 TRANSFORM = "m11 double, m12 double, m13 double, m21 double, m22 double, m23 double, ok boolean, matched int"
 
 
-def detect(px: DataFrame, frame: list[str], sigma: float = 5.0, size: int = 5, brightest: int = 40) -> DataFrame:
+def detect(px: DataFrame, frame: list[str], sigma: float = 5.0, size: int = 5, brightest: int | None = None) -> DataFrame:
     """(frame, sx, sy, flux, fwhm, rank): centres, flux over the sky, full width at half maximum by the second moments of
-    the box, and rank by flux."""
+    the box, and rank by flux. brightest: only so many of each frame; all by default."""
     sky = robust.clipped_stats(px, frame).select(*frame, F.col("median").alias("_m"), F.col("std").alias("_s"))
     good = px.where(F.col("v").isNotNull()).join(sky, frame)
     above = good.withColumn("v", F.struct(F.greatest(F.col("v") - F.col("_m"), F.lit(0.0)).alias("f"), "y", "x", (F.col("v") > F.col("_m") + sigma * F.col("_s")).alias("over")))
@@ -33,7 +35,8 @@ def detect(px: DataFrame, frame: list[str], sigma: float = 5.0, size: int = 5, b
     wide = F.sqrt(F.greatest((F.col("f2") - F.col("sx") * F.col("sx") - F.col("sy") * F.col("sy")) / 2, F.lit(0.0)))
     peaks = peaks.withColumn("fwhm", 2.3548 * wide).drop("f2")
     order = Window.partitionBy(*frame).orderBy(F.desc("flux"), "sy", "sx")
-    return peaks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= brightest)
+    ranked = peaks.withColumn("rank", F.row_number().over(order))
+    return ranked if brightest is None else ranked.where(F.col("rank") <= brightest)
 
 
 def triangles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +88,7 @@ def align(stars: DataFrame, frame: str, reference: DataFrame, frames: DataFrame
     """(frame, m11..m23, ok, matched) of each frame against the stars (sx, sy, rank) of one reference frame, which
     are few and go to every task. Frames that do not match have ok false and no transform; so have those of `frames`
     (a table with the column frame) that have no stars at all."""
-    target = reference.orderBy("rank").limit(40).toPandas()[["sx", "sy"]].to_numpy()
+    target = reference.orderBy("rank").limit(USED).toPandas()[["sx", "sy"]].to_numpy()
     kind = dict(stars.dtypes)[frame]
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +96,7 @@ def align(stars: DataFrame, frame: str, reference: DataFrame, frames: DataFrame
         values = m.ravel().tolist() if m is not None else [None] * 6
         return pd.DataFrame([[own[frame].iloc[0], *values, m is not None, n]], columns=[frame, "m11", "m12", "m13", "m21", "m22", "m23", "ok", "matched"])
 
-    found = stars.groupBy(frame).applyInPandas(one, f"{frame} {kind}, {TRANSFORM}")
+    found = stars.where(F.col("rank") <= USED).groupBy(frame).applyInPandas(one, f"{frame} {kind}, {TRANSFORM}")
     if frames is None:
         return found
     return frames.select(frame).distinct().join(found, frame, "left").withColumns({"ok": F.coalesce("ok", F.lit(False)), "matched": F.coalesce("matched", F.lit(0))})

@@ -550,15 +550,16 @@ def header_lines(spark, d):
     return clean.agg(F.count("*").alias("lines"), F.countDistinct("user_id").alias("keys"))
 
 
-@query(f"WITH {PX} SELECT batch_id, frame_id, {rs('avg(v) OVER (PARTITION BY batch_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING)')} AS average, count(v) OVER (PARTITION BY batch_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) AS frames FROM px WHERE y = 3 AND x = 4")
+@query(f"WITH {PX} SELECT batch_id, frame_id, {rs('avg(v) OVER (PARTITION BY batch_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING)')} AS average, count(v) OVER (PARTITION BY batch_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) AS frames FROM (SELECT batch_id, frame_id, avg(v) AS v FROM px GROUP BY 1, 2)")
 def running_average(spark, d):
-    px = frames(spark, d).where("y = 3 and x = 4")
-    return spatial.running_average(px, ["batch_id"], ["frame_id"], "v").select("batch_id", "frame_id", r("average").alias("average"), "frames")
+    """Of the frames' mean levels, over all pixels of each."""
+    levels = frames(spark, d).groupBy("batch_id", "frame_id").agg(F.avg("v").alias("v"))
+    return spatial.running_average(levels, ["batch_id"], ["frame_id"], "v").select("batch_id", "frame_id", r("average").alias("average"), "frames")
 
 
 @query(f"WITH {PX} SELECT batch_id, y, x, frame_id, {rs('avg(v) OVER w')} AS average, count(v) OVER w AS frames FROM px WINDOW w AS (PARTITION BY batch_id, y, x ORDER BY frame_id ROWS UNBOUNDED PRECEDING)")
 def running_average_pixels(spark, d):
-    """running_average of every pixel; running_average keeps to the pixel of its SQL."""
+    """running_average of every pixel by itself."""
     return spatial.running_average(frames(spark, d), PIXEL, ["frame_id"], "v").select(*PIXEL, "frame_id", r("average").alias("average"), "frames")
 
 

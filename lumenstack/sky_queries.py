@@ -361,34 +361,38 @@ def progress_average(spark, d):
 # Stars
 
 
+_STARS = """sk AS (SELECT CAST((s_suppkey * 7919 + s_suppkey * s_suppkey * 31) % 2003 AS DOUBLE) AS x, CAST((s_suppkey * 6007 + s_suppkey * s_suppkey * 17) % 1999 AS DOUBLE) AS y, s_acctbal + 1000 AS flux, s_suppkey % 7 / 10.0::DOUBLE AS wide FROM supplier),
+sl AS (SELECT CAST(range AS INTEGER) AS frame_id, cos(radians(range * 2.0)) * x - sin(radians(range * 2.0)) * y + 5.0 * range AS sx, sin(radians(range * 2.0)) * x + cos(radians(range * 2.0)) * y - 3.0 * range AS sy, 2.0 + range + wide AS fwhm FROM sk, range(3))"""
+
+
 def _star_lists(spark, d):
-    """Suppliers as stars of a field, seen in the frame 0, and turned and shifted in the frames 1 and 2."""
+    """All suppliers as stars of a field, seen in the frame 0, and turned and shifted in the frames 1 and 2."""
+    from pyspark.sql import Window
+
     k = F.col("s_suppkey")
-    sky = table(spark, d, "supplier").select(F.pmod(F.hash(k), F.lit(2000)).cast("double").alias("x"), F.pmod(F.hash(k, F.lit(1)), F.lit(2000)).cast("double").alias("y"), (F.col("s_acctbal") + 1000).alias("flux"))
+    sky = table(spark, d, "supplier").select(((k * 7919 + k * k * 31) % 2003).cast("double").alias("x"), ((k * 6007 + k * k * 17) % 1999).cast("double").alias("y"), (F.col("s_acctbal") + 1000).alias("flux"), (k % 7 / 10.0).alias("wide"))
     seen = sky.withColumn("frame_id", F.explode(F.array(*map(F.lit, range(3)))))
     angle = F.radians(F.col("frame_id") * 2.0)
-    at = seen.select("frame_id", (F.cos(angle) * F.col("x") - F.sin(angle) * F.col("y") + 5.0 * F.col("frame_id")).alias("sx"), (F.sin(angle) * F.col("x") + F.cos(angle) * F.col("y") - 3.0 * F.col("frame_id")).alias("sy"), "flux", (2.0 + F.col("frame_id")).alias("fwhm"))
-    from pyspark.sql import Window
-
-    return at.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("flux"), "sx"))).where("rank <= 40")  # what alignment takes: the brightest
+    at = seen.select("frame_id", (F.cos(angle) * F.col("x") - F.sin(angle) * F.col("y") + 5.0 * F.col("frame_id")).alias("sx"), (F.sin(angle) * F.col("x") + F.cos(angle) * F.col("y") - 3.0 * F.col("frame_id")).alias("sy"), "flux", (2.0 + F.col("frame_id") + F.col("wide")).alias("fwhm"))
+    return at.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("flux"), "sx")))
 
 
-@query()
+@query(f"SELECT CAST(range AS INTEGER) AS frame_id, true AS ok, {rs('-2.0 * range', 4)} AS angle, {rs('-(cos(radians(range * 2.0)) * 5.0 * range - sin(radians(range * 2.0)) * 3.0 * range)', 3)} AS dx, {rs('sin(radians(range * 2.0)) * 5.0 * range + cos(radians(range * 2.0)) * 3.0 * range', 3)} AS dy FROM range(3) WHERE (SELECT count(*) FROM supplier) > 0")
 def star_alignment(spark, d):
     found = _star_lists(spark, d)
     out = stars.align(found, "frame_id", found.where("frame_id = 0"))
-    return out.select("frame_id", "ok", r(F.degrees(F.atan2("m21", "m11")), 4).alias("angle"), r("m13", 3).alias("dx"), r("m23", 3).alias("dy"))
+    return out.select("frame_id", "ok", (r(F.degrees(F.atan2("m21", "m11")), 4) + 0.0).alias("angle"), (r("m13", 3) + 0.0).alias("dx"), (r("m23", 3) + 0.0).alias("dy"))
 
 
-@query()
+@query(f"WITH {_STARS} SELECT DISTINCT frame_id, CAST(round(sy) AS INTEGER) + CAST(a.range AS INTEGER) AS y, CAST(round(sx) AS INTEGER) + CAST(b.range AS INTEGER) AS x FROM sl, range(-2, 3) a, range(-2, 3) b WHERE abs(a.range) + abs(b.range) <= 2 AND CAST(round(sy) AS INTEGER) + a.range >= 0 AND CAST(round(sx) AS INTEGER) + b.range >= 0")
 def star_mask(spark, d):
     return spatial.star_mask(_star_lists(spark, d), ["frame_id"])
 
 
-@query("SELECT CAST(frame_id AS INTEGER) AS frame_id, 1.0::DOUBLE AS weight FROM (VALUES (0), (1), (2)) AS t(frame_id) WHERE (SELECT count(*) FROM supplier) > 0")
+@query(f"WITH {_STARS} SELECT frame_id, {rs('CASE WHEN count(*) >= 5 THEN greatest(min(fwhm), 0.5) / median(fwhm) ELSE 1.0 END')} AS weight FROM sl GROUP BY 1")
 def fwhm_weights(spark, d):
     found = _star_lists(spark, d)
-    return stars.fwhm_weights(found, "frame_id", found)
+    return stars.fwhm_weights(found, "frame_id", found).select("frame_id", r("weight").alias("weight"))
 
 
 # Rules of a run
