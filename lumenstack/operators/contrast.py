@@ -6,6 +6,8 @@ count as 0 in the stretch. Other columns than those named are dropped, so none c
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +24,32 @@ def mirror_images(p: Column, size: int, low: int, high: int) -> Column:
     return F.array_distinct(F.filter(F.array(*(q.cast("int") for q in places)), lambda q: (q >= low) & (q < high)))
 
 
-def equalising_maps(counts: DataFrame, tile: list[str], area: int, limit: float) -> DataFrame:
-    """(tile, map, seen): an array of 256, the new value of each value, and the values that the tile has.
-    counts: (tile, value, n) of tiles of `area` samples.
+def equalising_maps(counts: pa.Array, area: int, limit: float) -> pa.Array:
+    """For each tile's (value, n) an array of 256 bytes, the new value of each value. Tiles have `area` samples.
 
     Counts are cut at limit times the mean count (1 at least); the excess goes to all values alike, what is left over to
-    every so many-th value; the running sum, over the 256 rows of a tile, is scaled to 255.
+    every so many-th value; the running sum is scaled to 255.
     """
     top = max(int(limit * area / LEVELS), 1) if limit > 0 else area
-    held = counts.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("held"), F.sum(F.greatest(F.col("n") - top, F.lit(0))).alias("excess"))
-    rest = F.col("excess") % LEVELS
-    held = held.select(*tile, "held", F.map_keys("held").alias("seen"), F.floor(F.col("excess") / LEVELS).alias("each"), rest.alias("rest"), F.greatest(F.floor(LEVELS / F.greatest(rest, F.lit(1))), F.lit(1)).alias("step"))
-    rows = held.withColumn("value", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-    more = F.when((F.col("value") % F.col("step") == 0) & (F.floor(F.col("value") / F.col("step")) < F.col("rest")), 1).otherwise(0)
-    new = F.least(F.coalesce(F.try_element_at("held", F.col("value")), F.lit(0)), F.lit(top)) + F.col("each") + more
-    order = Window.partitionBy(*tile).orderBy("value")
-    sums = rows.select(*tile, "seen", "value", new.alias("n")).withColumn("m", lab.whole(F.sum("n").over(order) * (255 / area)))
-    return sums.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct("value", "m"))).alias("map"), F.first("seen").alias("seen")).select(*tile, F.col("map.m").alias("map"), "seen")
+    flat = counts.flatten()
+    held = np.zeros((len(counts), LEVELS), np.int64)
+    held[np.repeat(np.arange(len(counts)), counts.value_lengths().to_numpy()), flat.field("value").to_numpy()] = flat.field("n").to_numpy()
+    excess = np.maximum(held - top, 0).sum(1)
+    each, rest = np.divmod(excess, LEVELS)
+    step = np.maximum(LEVELS // np.maximum(rest, 1), 1)
+    place = np.arange(LEVELS)
+    more = (place % step[:, None] == 0) & (place // step[:, None] < rest[:, None])
+    sums = (np.minimum(held, top) + each[:, None] + more).cumsum(1)
+    new = np.clip(np.rint(sums * (255 / area)), 0, 255).astype(np.uint8)
+    return pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * LEVELS, pa.array(new.ravel().view(np.int8)))
 
 
 def clahe(px: DataFrame, key: list[str], h: int, w: int, limit: float = 2.0, tiles: int = 8, v: str = "v") -> DataFrame:
     """(key, y, x, v): v, a whole number from 0 to 255, by the maps of the four nearest of tiles x tiles tiles, mixed bilinearly.
 
     Where the tiles do not divide both sides, the image is mirrored at its lower and right border (a side that they
-    divide by a whole row of tiles' worth). The maps of a cell of four tiles become rows of a value and its four images, so each
-    pixel meets one row of an equi-join.
+    divide by a whole row of tiles' worth). The maps of four tiles stand in one row for the cell between their centres, which
+    its pixels meet by an equi-join and read one byte each of.
     """
     even = h % tiles == 0 and w % tiles == 0
     ph, pw = (h, w) if even else (h + tiles - h % tiles, w + tiles - w % tiles)
@@ -55,7 +58,12 @@ def clahe(px: DataFrame, key: list[str], h: int, w: int, limit: float = 2.0, til
     image = px.select(*key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), value.alias("value"))
     spread = image.where("value is not null").select(*key, "value", F.explode(mirror_images(F.col("y"), h, 0, ph)).alias("y"), "x").select(*key, "value", "y", F.explode(mirror_images(F.col("x"), w, 0, pw)).alias("x"))
     counts = spread.groupBy(*key, F.expr(f"y div {th}").cast("int").alias("ty"), F.expr(f"x div {tw}").cast("int").alias("tx"), "value").agg(F.count("*").alias("n"))
-    maps = equalising_maps(counts, [*key, "ty", "tx"], th * tw, limit)
+    packed = counts.groupBy(*key, "ty", "tx").agg(F.collect_list(F.struct("value", "n")).alias("counts"))  # at most 256 entries
+
+    def equalised(counts: pa.Array) -> pa.Array:
+        return equalising_maps(counts, th * tw, limit)
+
+    maps = packed.select(*key, "ty", "tx", F.arrow_udf(equalised, "array<tinyint>")("counts").alias("map"))
 
     def cells(t: str) -> Column:
         """The cells that a tile is a corner of, with the corner: 0 is the upper or left one. End tiles are both."""
@@ -64,14 +72,13 @@ def clahe(px: DataFrame, key: list[str], h: int, w: int, limit: float = 2.0, til
         return F.explode(F.filter(F.array(*own, *ends), lambda s: s.isNotNull()))
 
     corners = maps.withColumn("a", cells("ty")).withColumn("b", cells("tx"))
-    corner = lambda i, j: F.max(F.when((F.col("a.side") == i) & (F.col("b.side") == j), F.col("map"))).alias(f"m{i}{j}")
-    four = corners.groupBy(*key, F.col("a.c").alias("cy"), F.col("b.c").alias("cx")).agg(*(corner(i, j) for i in (0, 1) for j in (0, 1)), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
-    valued = four.withColumn("value", F.explode("seen"))
-    rows = valued.select(*key, "cy", "cx", "value", *(F.element_at(f"m{i}{j}", F.col("value") + 1).alias(f"m{i}{j}") for i in (0, 1) for j in (0, 1)))
+    corner = lambda i, j: F.first(F.when((F.col("a.side") == i) & (F.col("b.side") == j), F.col("map")), ignorenulls=True).alias(f"m{i}{j}")
+    four = corners.groupBy(*key, F.col("a.c").alias("cy"), F.col("b.c").alias("cx")).agg(*(corner(i, j) for i in (0, 1) for j in (0, 1)))
     ty, tx = F.col("y") / th - 0.5, F.col("x") / tw - 0.5
     placed = image.withColumns({"cy": F.floor(ty).cast("int"), "cx": F.floor(tx).cast("int"), "fy": ty - F.floor(ty), "fx": tx - F.floor(tx)})
-    mixed = placed.join(rows, [*key, "cy", "cx", "value"], "left")
-    upper, lower = (F.col(f"m{i}0") * (1 - F.col("fx")) + F.col(f"m{i}1") * F.col("fx") for i in (0, 1))
+    mixed = placed.join(four, [*key, "cy", "cx"], "left")
+    image_of = lambda m: F.pmod(F.element_at(m, F.col("value") + 1).cast("int"), F.lit(LEVELS))
+    upper, lower = (image_of(f"m{i}0") * (1 - F.col("fx")) + image_of(f"m{i}1") * F.col("fx") for i in (0, 1))
     return mixed.select(*key, "y", "x", lab.whole(upper * (1 - F.col("fy")) + lower * F.col("fy")).alias(v))
 
 
