@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenstack.operators import background, contrast, denoise, segments
+from lumenstack.operators import background, contrast, denoise, descriptors, segments
 from lumenstack.queries import _RGB, PX, _clipped_sql, _pictures, frames, query, r, rs, table
 
 FRAME = ["frame_id", "y", "x"]
@@ -212,3 +212,32 @@ SELECT k AS frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((su
 def non_local_means(spark, d):
     """Small windows over tiles of 5, so that tiles need their neighbours."""
     return denoise.non_local_means(_eight(spark, d), ["frame_id"], 8, 8, 30.0, template=3, search=5, tile=5)
+
+
+# Alignment
+
+
+@query(f"WITH {_IMAGES}, e AS (SELECT max(y) AS top FROM im) SELECT k, k < 3 AS ok, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END AS m11, CASE k WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 END AS m12, CASE k WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 3.0 END AS m13, CASE k WHEN 0 THEN 0.0 WHEN 1 THEN -1.0 WHEN 2 THEN 0.0 END AS m21, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END AS m22, CASE k WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN CAST(top AS DOUBLE) WHEN 2 THEN -5.0::DOUBLE END AS m23 FROM e, (SELECT CAST(unnest(range(4)) AS INTEGER) AS k)".replace(".0 END", ".0::DOUBLE END"))
+def fast_alignment(spark, d):
+    """The image 0 as it is, turned by a right angle, and shifted, and the image 1, which is another: onto the image 0."""
+    image, top = _images(spark, d), _height(spark, d) - 1
+    own, y, x = image.where("image = 0"), F.col("y"), F.col("x")
+    views = [own.select(F.lit(0).alias("k"), "y", "x", "v"), own.select(F.lit(1).alias("k"), x.alias("y"), (top - y).alias("x"), "v"), own.select(F.lit(2).alias("k"), (y + 5).alias("y"), (x - 3).alias("x"), "v").where("x >= 0"), image.where("image = 1").select(F.lit(3).alias("k"), "y", "x", "v")]
+    px = views[0].unionByName(views[1]).unionByName(views[2]).unionByName(views[3])
+    out = descriptors.fast_transforms(px, "k", 0, radius=8, sigma=1.0, tile=16, threshold=0.5)
+    return out.select("k", "ok", *((r(f"m{i}{j}", 3) + 0.0).alias(f"m{i}{j}") for i in (1, 2) for j in (1, 2, 3)))
+
+
+_TURNED = """t AS (SELECT frame_id, cos(radians(frame_id % 7 * 10.0)) AS c, sin(radians(frame_id % 7 * 10.0)) AS s FROM (SELECT DISTINCT frame_id FROM px)),
+l AS (SELECT *, least(0, 7 * c, -7 * s, 7 * c - 7 * s) AS lx, greatest(0, 7 * c, -7 * s, 7 * c - 7 * s) AS hx, least(0, 7 * s, 7 * c, 7 * s + 7 * c) AS ly, greatest(0, 7 * s, 7 * c, 7 * s + 7 * c) AS hy FROM t),
+g AS (SELECT frame_id, c, s, lx, ly, a.range AS ty, b.range AS tx FROM l, range(12) a, range(12) b WHERE a.range < ceil(round(hy - ly, 6)) AND b.range < ceil(round(hx - lx, 6))),
+p AS (SELECT frame_id, ty, tx, round(c * (tx + lx) + s * (ty + ly), 9) AS sx, round(c * (ty + ly) - s * (tx + lx), 9) AS sy FROM g)"""
+
+
+@query(f"WITH {PX}, {_TURNED} SELECT p.frame_id, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, {rs('coalesce(sum(v * (1 - abs(px.x - sx)) * (1 - abs(px.y - sy))), 0)')} AS v FROM p LEFT JOIN px ON px.frame_id = p.frame_id AND px.x BETWEEN floor(sx) AND floor(sx) + 1 AND px.y BETWEEN floor(sy) AND floor(sy) + 1 GROUP BY 1, 2, 3")
+def expanded_canvas(spark, d):
+    """Each frame turned by ten degrees times frame_id % 7."""
+    px = frames(spark, d)
+    a = F.radians(F.col("frame_id") % 7 * 10.0)
+    turns = px.select("frame_id").distinct().select("frame_id", F.cos(a).alias("m11"), (-F.sin(a)).alias("m12"), F.lit(0.0).alias("m13"), F.sin(a).alias("m21"), F.cos(a).alias("m22"), F.lit(0.0).alias("m23"), F.lit(True).alias("ok"))
+    return descriptors.expanded(px, "frame_id", turns, 8, 8).select(*FRAME, (r("v") + 0.0).alias("v"))
