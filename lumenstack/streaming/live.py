@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenstack.operators import robust, stars
+from lumenstack.sources import bands
 from lumenstack.work import shared_dir
 
 
@@ -41,9 +42,10 @@ def can_resume(spark: SparkSession, folder: str) -> bool:
     return has_rows(spark, f"{folder}/sums")
 
 
-def fold(stream: DataFrame, folder: str, key: list[str], partial: Callable[[DataFrame, int], DataFrame], after: Callable[[DataFrame, int], None] | None = None):
+def fold(stream: DataFrame, folder: str, key: list[str], partial: Callable[[DataFrame, int], DataFrame], after: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None):
     """Starts a query that adds partial(batch, number), a table (key, sum, wht), into the sums in folder, and returns it.
-    after: called with the sums of every trigger, the last and smaller group included; for display, it changes nothing."""
+    after: called with the sums of every trigger, the last and smaller group included; for display, it changes nothing.
+    trigger: of the query; what is there and no more by default."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -54,7 +56,7 @@ def fold(stream: DataFrame, folder: str, key: list[str], partial: Callable[[Data
         if after:
             after(spark.read.parquet(version(folder, number)), number)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def run_once(spark: SparkSession, path: str, key: str, gate: Column, files_per_trigger: int = 1, value: str = "value") -> DataFrame:
@@ -95,3 +97,11 @@ def frame_sums(folder: str, frame: str = "frame_id", least: int = 100, keep_from
 def average(sums: DataFrame) -> DataFrame:
     """value: sum / max(wht, 1e-6)."""
     return sums.withColumn("value", F.col("sum") / F.greatest(F.col("wht").cast("double"), F.lit(1e-6)))
+
+
+def files_as_frames(spark: SparkSession, roots: list[str], log: str, files_per_trigger: int | None = None, roots_file: str | None = None) -> DataFrame:
+    """A stream of samples (frame_id, ch, y, x, v) of the FITS files below the roots, and below those that roots_file comes to
+    name while it runs; a frame is named by its path and comes once. log: a kept and shared folder."""
+    bands.register(spark)
+    options = {"path": ",".join(roots), "log": log} | ({"filesPerTrigger": files_per_trigger} if files_per_trigger else {}) | ({"roots_file": roots_file} if roots_file else {})
+    return bands.samples(spark.readStream.format("frame_files").options(**options).load())
