@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenstack.operators import project, robust
+from lumenstack.work import materialise
 
 #: Kernels of 1, 3, 5 and 7 taps where no deviation is given.
 SMALL = {1: [1.0], 3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625], 7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125]}
@@ -112,7 +113,7 @@ def zone_mesh(px: DataFrame, key: list[str], h: int, w: int, box: int = 128, win
     by, bx = min(box, h), min(box, w)
     zone = px.select(*key, "v", F.expr(f"cast(y div {by} as int)").alias("zy"), F.expr(f"cast(x div {bx} as int)").alias("zx"))
     stats = robust.clipped_stats(zone, [*key, "zy", "zx"], sigma, rounds).where(by * bx - F.col("n") <= exclude / 100 * by * bx)
-    kept = stats.select(*key, F.col("zy").alias("y"), F.col("zx").alias("x"), F.col("median").alias("v"), F.col("std").alias("s"))
+    kept = materialise(stats.select(*key, F.col("zy").alias("y"), F.col("zx").alias("x"), F.col("median").alias("v"), F.col("std").alias("s")))  # read three times
     packed = kept.groupBy(*key).agg(F.collect_list(F.struct("y", "x", "v", "s")).alias("all_zones"))  # an image's zones, not its samples
     grid = packed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(-(-h // by) - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(-(-w // bx) - 1))))
     away = lambda z: F.pow(z["y"] - F.col("y"), F.lit(2)) + F.pow(z["x"] - F.col("x"), F.lit(2))
@@ -121,7 +122,7 @@ def zone_mesh(px: DataFrame, key: list[str], h: int, w: int, box: int = 128, win
     missing = grid.join(kept.select(*key, "y", "x"), [*key, "y", "x"], "left_anti").withColumn("near", near)
     filled = missing.select(*key, "y", "x", *((total(lambda z, c=c: z[c]) / total(lambda z: F.lit(1.0))).alias(c) for c in "vs"))
     mesh = kept.unionByName(filled).withColumn("v", F.struct("v", "s")).drop("s")
-    return neighbourhood(mesh, key, window | 1).groupBy(*key, "y", "x").agg(F.median("nv.v").alias("v"), F.median("nv.s").alias("s"))
+    return materialise(neighbourhood(mesh, key, window | 1).groupBy(*key, "y", "x").agg(F.median("nv.v").alias("v"), F.median("nv.s").alias("s")))
 
 
 def spline_coefficients(values: Column, n: int) -> Column:

@@ -177,7 +177,7 @@ def fwhm_weights(px: DataFrame, key: list[str], h: int, w: int, box: int = 32, t
     """
     if h * w < area:
         return every_frame(px, key, px.select(*key, F.lit(0).cast("long").alias("n")).distinct(), n=F.lit(0)).withColumn("weight", F.lit(1.0))
-    mesh = materialise(background.zone_mesh(px, key, h, w, box, 3, 3.0, 10.0, 10))
+    mesh = background.zone_mesh(px, key, h, w, box, 3, 3.0, 10.0, 10)
     sky, rms = (background.spline_surface(mesh, key, c, h, w, box).withColumnRenamed(c, n) for c, n in (("v", "sky_level"), ("s", "sky_rms")))
     whole = px.groupBy(*key).agg(F.median("v").alias("all_median"), F.stddev_pop("v").alias("all_std"))
     flat = px.select(*key, "y", "x", "v").join(sky, [*key, "y", "x"], "left").join(rms, [*key, "y", "x"], "left").join(whole, key)
