@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenstack.work import materialise
+
 LUMINANCE = (0.299, 0.587, 0.114)
 
 
@@ -132,24 +133,65 @@ def pairwise_offsets(px: DataFrame, frame: str, pixel: list[str]) -> DataFrame:
     return a.join(b, pixel).where("a < b").groupBy("a", "b").agg(F.median(F.col("va") - F.col("vb")).alias("offset"), F.count("*").alias("overlap"))
 
 
-def solve_offsets(pairs: DataFrame, frames: DataFrame, frame: str) -> DataFrame:
-    """(frame, correction) to subtract from each frame: least squares of the pairs' offsets, of mean 0; 0 for frames
-    without a finite offset. The system, a row a pair of tiles, is solved on the driver."""
-    names = sorted(r[0] for r in frames.select(frame).distinct().collect())
-    known = [p for p in pairs.select("a", "b", "offset").collect() if p["offset"] is not None and np.isfinite(p["offset"])]
-    at = {name: i for i, name in enumerate(names)}
-    laplacian, right = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for p in known:
-        i, j = at[p["a"]], at[p["b"]]
-        laplacian[[i, j], [i, j]] += 1.0
-        laplacian[[i, j], [j, i]] -= 1.0
-        right[[i, j]] += (p["offset"], -p["offset"])
-    solved = np.linalg.lstsq(laplacian, right, rcond=None)[0] if names else right
-    met = np.diag(laplacian) > 0
-    solved[met] -= solved[met].mean() if met.any() else 0.0
-    solved[~met] = 0.0
-    kind = frames.schema[frame].dataType.simpleString()
-    return frames.sparkSession.createDataFrame(list(zip(names, solved.tolist())), f"`{frame}` {kind}, correction double")
+def tile_medians(px: DataFrame, frame: str, side: int, least: int = 1) -> DataFrame:
+    """(frame, ch, y, x, v): medians of side x side squares of `least` samples and more, on the grid that all frames share;
+    pairwise_offsets() of these makes a row a square, not a sample, of each two frames."""
+    square = px.where(F.col("v").isNotNull()).groupBy(frame, "ch", F.expr(f"cast(floor(y / {side}) as int)").alias("y"), F.expr(f"cast(floor(x / {side}) as int)").alias("x"))
+    return square.agg(F.median("v").alias("v"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+
+def solve_offsets(pairs: DataFrame, frames: DataFrame, frame: str, tolerance: float = 1e-10, rounds: int = 1000) -> DataFrame:
+    """(frame, correction) to subtract from each frame: least squares of the pairs' offsets, of mean 0 in each set of linked
+    frames; 0 for frames without a finite offset.
+
+    Conjugate gradients on tables: pairs (a, b, offset) are the edges of a graph, a round is one join of them with the
+    search direction and a sum by frame, and only dot products come to the driver. Starting from 0 the solution of least norm
+    is met. A round that can't improve ends it, as do `rounds`, with an error if the residual is then over a thousandth.
+    """
+    known = pairs.where(F.col("offset").isNotNull() & ~F.isnan("offset") & (F.abs("offset") < float("inf")))
+    forth = known.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("offset").cast("double").alias("o"))
+    edges = materialise(forth.unionByName(known.select(F.col("b").alias("i"), F.col("a").alias("j"), (-F.col("offset")).cast("double").alias("o"))))
+    # The degree scales the unknowns, so that frames of many and of few pairs weigh alike.
+    start = edges.groupBy("i").agg(F.count("*").cast("double").alias("d"), F.sum("o").alias("r")).withColumn("z", F.col("r") / F.col("d"))
+    state = materialise(start.select("i", "d", F.lit(0.0).alias("x"), "r", F.col("z").alias("p")))
+    dot = lambda df, *columns: [v or 0.0 for v in df.agg(*(F.sum(c) for c in columns)).first()]
+    rz, first = dot(state, F.col("r") * F.col("r") / F.col("d"), F.abs("r"))
+    norm = rz
+    for _ in range(rounds):
+        if rz <= tolerance * tolerance * norm or not first:
+            break
+        around = edges.join(state.select(F.col("i").alias("j"), F.col("p").alias("pj")), "j").groupBy("i").agg(F.sum("pj").alias("s"))
+        stepped = materialise(state.join(around, "i").withColumn("q", F.col("d") * F.col("p") - F.col("s")).drop("s"))
+        (pq,) = dot(stepped, F.col("p") * F.col("q"))
+        if pq <= 0:
+            break
+        alpha = rz / pq
+        r = F.col("r") - alpha * F.col("q")
+        (after,) = dot(stepped, r * r / F.col("d"))
+        beta, rz = after / rz, after
+        state = stepped.select("i", "d", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r / F.col("d") + beta * F.col("p")).alias("p"))
+    if rz > 1e-6 * norm:
+        raise RuntimeError(f"no solution in {rounds} rounds")
+    # Mean 0 over all: the scaled start leaves a constant in each linked set, which its label takes out.
+    solved = state.select("i", "x")
+    linked = _linked_sets(edges)
+    level = solved.join(linked, "i").groupBy("root").agg(F.avg("x").alias("level"))
+    centred = solved.join(linked, "i").join(level, "root").select(F.col("i").alias(frame), (F.col("x") - F.col("level")).alias("correction"))
+    return frames.select(frame).distinct().join(centred, frame, "left").select(frame, F.coalesce("correction", F.lit(0.0)).alias("correction"))
+
+
+def _linked_sets(edges: DataFrame) -> DataFrame:
+    """(i, root): the least frame that each is linked to, by edges (i, j) in both directions."""
+    known = materialise(edges.groupBy("i").agg(F.least(F.min("j"), F.col("i")).alias("root")))
+    while True:
+        seen = edges.join(known.select(F.col("i").alias("j"), F.col("root").alias("rj")), "j").groupBy("i").agg(F.min("rj").alias("m"))
+        own = known.join(seen, "i").select("i", F.least("root", "m").alias("root"), F.col("root").alias("before"))
+        # The root's own root is a second step at once.
+        jumped = own.join(known.select(F.col("i").alias("root"), F.col("root").alias("further")), "root", "left").select("i", F.least("root", F.coalesce("further", F.col("root"))).alias("root"), "before")
+        step = materialise(jumped)
+        if not step.where("root <> before").limit(1).count():
+            return step.select("i", "root")
+        known = step.select("i", "root")
 
 
 def noise_variance_weights(px: DataFrame, frame: list[str]) -> DataFrame:

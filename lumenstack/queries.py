@@ -226,11 +226,12 @@ def pairwise_bg_offsets(spark, d):
     return out.select("a", "b", r("offset").alias("offset"), "overlap")
 
 
-@query()
+@query(f"WITH {PX}, t AS (SELECT batch_id, y, x, avg(v) AS v FROM px GROUP BY ALL), p AS (SELECT a.batch_id AS a, b.batch_id AS b, median(a.v - b.v) AS o FROM t a JOIN t b ON a.y = b.y AND a.x = b.x AND a.batch_id <> b.batch_id GROUP BY 1, 2) SELECT a AS batch_id, {rs('sum(o) / (SELECT count(DISTINCT batch_id) FROM t)')} AS correction FROM p GROUP BY 1")
 def solved_bg_offsets(spark, d):
+    """All tiles share all pixels, so the least squares are the mean of a tile's offsets, itself included."""
     tiles = stack.mean(frames(spark, d), PIXEL).select(*PIXEL, F.col("value").alias("v"))
     out = robust.solve_offsets(robust.pairwise_offsets(tiles, "batch_id", ["y", "x"]), tiles, "batch_id")
-    return out.select("batch_id", r("correction").alias("correction"))
+    return out.select("batch_id", (r("correction") + 0.0).alias("correction"))
 
 
 _RGB = "rgb AS (SELECT batch_id, vec_id // 3 AS picture, CAST(vec_id % 3 AS INTEGER) AS ch, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT *, label AS batch_id FROM embeddings), range(1, 65) AS t(i))"
