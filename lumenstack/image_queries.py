@@ -8,8 +8,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from lumenstack.functions import sip
 from lumenstack.operators import background, contrast, denoise, descriptors, segments
 from lumenstack.queries import _RGB, PX, _clipped_sql, _pictures, frames, query, r, rs, table
+from lumenstack.sky_queries import sky_sql
 
 FRAME = ["frame_id", "y", "x"]
 _IMAGES = f"{PX}, im AS (SELECT frame_id % 5 AS image, 8 * (frame_id // 5 // 8) + y AS y, 8 * (frame_id // 5 % 8) + x AS x, v FROM px)"
@@ -241,3 +243,31 @@ def expanded_canvas(spark, d):
     a = F.radians(F.col("frame_id") % 7 * 10.0)
     turns = px.select("frame_id").distinct().select("frame_id", F.cos(a).alias("m11"), (-F.sin(a)).alias("m12"), F.lit(0.0).alias("m13"), F.sin(a).alias("m21"), F.cos(a).alias("m22"), F.lit(0.0).alias("m23"), F.lit(True).alias("ok"))
     return descriptors.expanded(px, "frame_id", turns, 8, 8).select(*FRAME, (r("v") + 0.0).alias("v"))
+
+
+# Distortion
+
+_SIP = {"A_ORDER": "3", "B_ORDER": "3", "A_2_0": "2.1e-6", "A_1_1": "-1.3e-6", "A_0_3": "4e-9", "B_0_2": "-3e-6", "B_1_1": "7e-7", "B_3_0": "-2e-9"}
+_SKY = {"crval1": 150.2, "crval2": 40.0, "crpix1": 1000.5, "crpix2": 1001.0, "cd11": -2e-4, "cd12": 1e-5, "cd21": 1e-5, "cd22": 2e-4}
+_SIP_U = "u + 2.1e-6::DOUBLE * u * u - 1.3e-6::DOUBLE * u * v + 4e-9::DOUBLE * v * v * v"
+_SIP_V = "v - 3e-6::DOUBLE * v * v + 7e-7::DOUBLE * u * v - 2e-9::DOUBLE * u * u * u"
+
+
+@query(f"WITH s AS (SELECT p_partkey, CAST(p_partkey * 37 % 2048 AS DOUBLE) AS x, CAST(p_partkey * 53 % 2048 AS DOUBLE) AS y FROM part), o AS (SELECT *, x + 1 - 1000.5::DOUBLE AS u, y + 1 - 1001.0::DOUBLE AS v FROM s), d AS (SELECT p_partkey, x, y, {_SIP_U} + 999.5::DOUBLE AS dx, {_SIP_V} + 1000.0::DOUBLE AS dy FROM o), q AS (SELECT p_partkey, x, y, {', '.join(f'{e} AS {n}' for e, n in zip(sky_sql('dx', 'dy', {k: f'({v!r}::DOUBLE)' for k, v in _SKY.items()}), ('ra', 'dec')))} FROM d) SELECT p_partkey, {rs('ra', 8)} AS ra, {rs('dec', 8)} AS dec, {rs('x', 5)} AS x, {rs('y', 5)} AS y FROM q")
+def sip_round_trip(spark, d):
+    """Parts as pixels, to the sky with distortion and back again: x and y are those that came back."""
+    k = F.col("p_partkey")
+    header = F.create_map(*(F.lit(x) for pair in _SIP.items() for x in pair))
+    w = {n: F.lit(v) for n, v in _SKY.items()}
+    px = table(spark, d, "part").select("p_partkey", (k * 37 % 2048).cast("double").alias("x"), (k * 53 % 2048).cast("double").alias("y"), sip.coefficients(header, "A", 3).alias("a"), sip.coefficients(header, "B", 3).alias("b"))
+    ra, dec = sip.pixel_to_sky(F.col("x"), F.col("y"), w, F.col("a"), F.col("b"), 3)
+    seen = px.select("p_partkey", "a", "b", ra.alias("ra"), dec.alias("dec"))
+    back = seen.withColumn("p", sip.sky_to_pixel(F.col("ra"), F.col("dec"), w, F.col("a"), F.col("b"), 3))
+    return back.select("p_partkey", r("ra", 8).alias("ra"), r("dec", 8).alias("dec"), (r("p.x", 5) + 0.0).alias("x"), (r("p.y", 5) + 0.0).alias("y"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 'the', 'CONTINUE'), chr(10))) AS l, generate_subscripts(string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 'the', 'CONTINUE'), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, i, regexp_replace(l, '[ \\t\\n\\x0B\\f\\r]+$', '') AS l FROM l WHERE NOT regexp_full_match(l, '[ \\t\\n\\x0B\\f\\r]*')), c AS (SELECT *, regexp_matches(l, '^[ \\t]*CONTINUE') AS on_, regexp_extract(l, '^[ \\t]*CONTINUE[ \\t\\x0B\\f]+(.*)$', 1) AS v FROM k), o AS (SELECT doc_id, i, on_ AND v = '' AS bad, on_ AND v <> '' AND left(v, 1) NOT IN ('''', '\"') AS bare, CASE WHEN NOT on_ THEN l WHEN left(v, 1) IN ('''', '\"') THEN 'CONTINUE ' || v ELSE 'CONTINUE \"' || replace(v, '\"', '\\\"') || '\"' END AS l FROM c) SELECT doc_id, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '') || chr(10)) AS text_md5, count(*) FILTER (bare) AS modified, count(*) FILTER (bad) AS dropped FROM o GROUP BY 1")
+def solver_text(spark, d):
+    """Documents as a solver's side files, `the` read as CONTINUE; those without a line are left out."""
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("the"), F.lit("CONTINUE")).alias("text")).where(F.col("text").rlike(r"\S"))
+    return docs.select("doc_id", sip.clean_text(F.col("text")).alias("c")).select("doc_id", F.md5("c.text").alias("text_md5"), "c.modified", "c.dropped")
