@@ -69,6 +69,7 @@ def enlarge(px: DataFrame, key: list[str], h: int, w: int, large_h: int, large_w
     return made.select(*key, F.col("ty").alias("y"), F.col("tx").alias("x"), F.col("value").alias("v"))
 
 
+@robust.keeps_names("_m", "_s", "_n", "_top")
 def smooth_background(px: DataFrame, key: list[str], h: int, w: int, factor: int = 4, weight: str | None = None, least: int = 64) -> DataFrame:
     """(key, y, x, model): samples over median + 3 deviations, masked ones and those without weight become the median;
     then shrunk by the factor, blurred over a quarter of the smaller side, enlarged, and kept between the median
@@ -87,6 +88,7 @@ def smooth_background(px: DataFrame, key: list[str], h: int, w: int, factor: int
     return model.join(top, key).join(stats, key).select(*key, "y", "x", F.when(F.col("_n") >= least, value).otherwise(0.0).alias("model"))
 
 
+@robust.keeps_names("model", "_level", "_after")
 def interbatch_normalised(px: DataFrame, key: list[str], model: DataFrame) -> DataFrame:
     """px less the model, at its own median level again."""
     level = px.groupBy(*key).agg(F.median("v").alias("_level"))
@@ -196,6 +198,7 @@ def without_background(px: DataFrame, key: list[str], h: int, w: int, box: int =
     return px.join(model, [*key, "y", "x"], "left").withColumn("v", F.col("v") - F.coalesce(level, F.lit(0.0))).drop(level)
 
 
+@robust.keeps_names("_b", "_f", "_g")
 def feather(px: DataFrame, key: list[str], h: int, w: int, weight: str = "w", reach: int = 256, eps: float = 1e-6, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """v times the blurred gain of blurred weight over weight (its first percentile at least), the gain within
     [low, high] and v within [0, 1]."""
@@ -208,6 +211,7 @@ def feather(px: DataFrame, key: list[str], h: int, w: int, weight: str = "w", re
     return px.join(smooth, [*key, "y", "x"]).withColumn("v", F.least(F.greatest(F.col("v") * F.col("_g"), F.lit(0.0)), F.lit(1.0))).drop("_g")
 
 
+@robust.keeps_names("_p", "_t", "_fill", "_on", "_share", "_soft", "_new", "_span")
 def low_weight_blend(px: DataFrame, key: list[str], h: int, w: int, weight: str = "w", percent: float = 0.1, reach: int = 128, floor: float = 1e-5, most: float = 0.5, dynamic: float = 0.05) -> DataFrame:
     """Where the weight is low, the image fades into its median: the threshold is the lesser of a percentile and the
     median of positive weights. An image of which over `most` would be masked, or that would lose its dynamic, is
@@ -226,6 +230,7 @@ def low_weight_blend(px: DataFrame, key: list[str], h: int, w: int, weight: str
     return done.withColumn("v", F.when(F.col("masked"), F.col("_new")).otherwise(F.col("v"))).drop("_t", "_fill", "_on", "_share", "_soft", "_new", "_span")
 
 
+@robust.keeps_names("_b", "_top")
 def coverage_masked(px: DataFrame, key: list[str], h: int, w: int, threshold: float, weight: str = "w", sigma: float = 3.0) -> DataFrame:
     """v is 0 where the blurred mean weight of the channels is under the threshold's share of its greatest."""
     side = min(h, w)

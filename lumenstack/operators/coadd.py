@@ -59,7 +59,8 @@ def matched(projected: DataFrame, frame: str) -> DataFrame:
     """projected less each frame's background correction: the pairs' median differences over common cells, solved."""
     pairs = robust.pairwise_offsets(projected, frame, ["ch", "y", "x"])
     solved = robust.solve_offsets(pairs, projected, frame)
-    return projected.join(F.broadcast(solved), frame).withColumn("v", F.col("v") - F.col("correction")).drop("correction")  # a row a frame
+    (off,) = robust.free_names(projected, ("correction",))
+    return projected.join(solved.withColumnRenamed("correction", off), frame).withColumn("v", F.col("v") - F.col(off)).drop(off)
 
 
 def reproject_and_coadd(px: DataFrame, frames: DataFrame, frame: str, grid: dict[str, float], weight: str | None = None, match_background: bool = False) -> DataFrame:

@@ -94,6 +94,7 @@ def chromatic_balance(pictures: DataFrame, key: list[str], h: int, w: int, borde
     return joined.withColumns({"r": scaled("r", red), "b": scaled("b", blue), "g": clip01(F.col("g"))}).drop("_zy", "_zx", "cr", "cb", "lr", "lb")
 
 
+@robust.keeps_names("n", "p", "q", "lo", "hi", "b0", "w0", "b", "w", "l1", "h1", "t", "above", "_s", "_range", "_mean")
 def preview(px: DataFrame, key: list[str], enhanced: bool = False) -> DataFrame:
     """px with `shown` in [0, 1]: black and white points at percentiles of the samples over 0.001 (1 and 99, enhanced 0.1
     and 99.5), or the extremes of images with few such samples or no range; a second stretch between the 0.5th and

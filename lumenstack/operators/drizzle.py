@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenstack.functions import wcs
 from lumenstack.functions.stretch import clip01
+from lumenstack.operators import robust
 from lumenstack.operators.project import summed
 
 Point = tuple[Column, Column]
@@ -55,6 +56,7 @@ def _over_cells(rows: DataFrame, bounds: dict[str, tuple[Column, Column]], sizes
     return rows
 
 
+@robust.any_key
 def drizzle_square(px: DataFrame, key: list[str], to_output: Callable[[Column, Column], Point], width: int, height: int, pixfrac: float = 1.0, weight: Column | None = None) -> DataFrame:
     """The default kernel: each sample's square, shrunk by pixfrac, is carried over corner by corner, and its flux is
     shared by the area that each cell has of the quadrilateral. Samples whose centre is outside the grid count nowhere.
@@ -78,6 +80,7 @@ def _sinc(x: Column) -> Column:
     return F.when(F.abs(x) < 1e-9, 1.0).otherwise(F.sin(x * math.pi) / (x * math.pi))
 
 
+@robust.any_key
 def drizzle_kernel(px: DataFrame, key: list[str], out_x: Column, out_y: Column, width: int, height: int, kernel: str, pixfrac: float = 1.0, scale: float = 1.0, weight: Column | None = None) -> DataFrame:
     """Kernels by the distance of a cell's centre: gaussian (full width pixfrac * scale, to 2.5 deviations or 1.2 input
     pixels), tophat (a disc of that diameter), lanczos2 and lanczos3 (a product by axis, lobes of that width)."""

@@ -54,12 +54,14 @@ def reproject_bilinear(px: DataFrame, key: list[str], targets: DataFrame, also:
     """Values at real positions: targets (key, ty, tx, sx, sy) meet the four samples around (sx, sy), for each value of
     the columns `also` of px (channels). Where a neighbour is missing there is no row, as outside a footprint.
     """
+    names = {k: f"key_{i}_of_px" for i, k in enumerate((*key, *also))}  # the steps below have names that a key may have
+    px, targets, key, also = px.withColumnsRenamed(names), targets.withColumnsRenamed(names), [names[k] for k in key], tuple(names[k] for k in also)
     x0, y0 = F.floor("sx"), F.floor("sy")
     corners = F.array(*(F.struct((x0 + dx).cast("int").alias("x"), (y0 + dy).cast("int").alias("y"), ((1 - dx + (2 * dx - 1) * (F.col("sx") - x0)) * (1 - dy + (2 * dy - 1) * (F.col("sy") - y0))).alias("f")) for dx in (0, 1) for dy in (0, 1)))
     wanted = targets.select(*key, "ty", "tx", F.explode(corners).alias("c")).select(*key, "ty", "tx", "c.*").where("f > 0")
     met = wanted.join(px.where(F.col("v").isNotNull()).select(*key, *also, "x", "y", "v"), [*key, "x", "y"])
     agg = met.groupBy(*key, *also, "ty", "tx").agg(F.sum(F.col("v") * F.col("f")).alias("value"), F.sum("f").alias("_f"))
-    return agg.where("_f > 1 - 1e-9").drop("_f")
+    return agg.where("_f > 1 - 1e-9").drop("_f").withColumnsRenamed({b: a for a, b in names.items()})
 
 
 def coadd(tiles: DataFrame, pixel: list[str], value: str, weight: str) -> DataFrame:

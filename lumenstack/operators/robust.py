@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,36 @@ def free_names(df: DataFrame, wishes: tuple[str, ...]) -> list[str]:
     return out
 
 
+def keeps_names(*inner: str):
+    """For an operator whose first argument is a table that it returns with all its columns: columns that are named like
+    one of its own steps' go by other names while it runs. Keys are not renamed."""
+
+    def of(operator):
+        @functools.wraps(operator)
+        def run(px: DataFrame, key: list[str], *args, **kwargs) -> DataFrame:
+            taken = [c for c in px.columns if c.lower() in {n.lower() for n in inner} and c not in key]
+            away = dict(zip(taken, free_names(px, tuple(f"own_{c}" for c in taken))))
+            moved = lambda a: away.get(a, a) if isinstance(a, str) else a
+            out = operator(px.withColumnsRenamed(away), key, *map(moved, args), **{k: moved(a) for k, a in kwargs.items()})
+            return out.withColumnsRenamed({b: a for a, b in away.items()})
+
+        return run
+
+    return of
+
+
+def any_key(operator):
+    """For an operator on (px, key, ...) whose own steps have names that a key may have: keys go by numbers while it runs."""
+
+    @functools.wraps(operator)
+    def run(px: DataFrame, key: list[str], *args, **kwargs) -> DataFrame:
+        names = dict(zip(key, (f"key_{i}_of_px" for i in range(len(key)))))
+        out = operator(px.withColumnsRenamed(names), list(names.values()), *args, **kwargs)
+        return out.withColumnsRenamed({b: a for a, b in names.items()})
+
+    return run
+
+
 def clipped(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int = 5) -> DataFrame:
     """px without what iterated clipping about the median (population deviation) drops.
 
