@@ -377,7 +377,7 @@ def _star_lists(spark, d):
     return at.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("flux"), "sx")))
 
 
-@query(f"SELECT CAST(range AS INTEGER) AS frame_id, true AS ok, {rs('-2.0 * range', 4)} AS angle, {rs('-(cos(radians(range * 2.0)) * 5.0 * range - sin(radians(range * 2.0)) * 3.0 * range)', 3)} AS dx, {rs('sin(radians(range * 2.0)) * 5.0 * range + cos(radians(range * 2.0)) * 3.0 * range', 3)} AS dy FROM range(3) WHERE (SELECT count(*) FROM supplier) > 0")
+@query(f"SELECT CAST(range AS INTEGER) AS frame_id, true AS ok, {rs('-2.0::DOUBLE * range', 4)} AS angle, {rs('-(cos(radians(range * 2.0)) * 5.0 * range - sin(radians(range * 2.0)) * 3.0 * range)', 3)} AS dx, {rs('sin(radians(range * 2.0)) * 5.0 * range + cos(radians(range * 2.0)) * 3.0 * range', 3)} AS dy FROM range(3) WHERE (SELECT count(*) FROM supplier) > 0")
 def star_alignment(spark, d):
     found = _star_lists(spark, d)
     out = stars.align(found, "frame_id", found.where("frame_id = 0"))
