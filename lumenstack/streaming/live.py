@@ -1,9 +1,10 @@
 """Live stacking: a stream of frames is gated, brought onto its first frame, and added into sums that any batching leaves
 the same.
 
-Sums are written by foreachBatch to a table in a shared folder, one version a trigger: version n is version n - 1 and the
-sums of batch n, so a batch that is run again writes the same version again, a query that stops goes on where it was,
-and a version that fails to be written leaves the one before it whole. Nothing of an image comes to the driver.
+Sums are written by foreachBatch to a table in a shared folder, in parts (squares of pixels) and one version a trigger: version n
+has the parts that batch n touches, each as its version before with the batch's sums added, so a batch that is run again writes
+the same version again, a query that stops goes on where it was, and a version that fails to be written leaves the ones
+before it whole. A part's versions but the last two are removed. Nothing of an image comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenstack.operators import robust, stars
 from lumenstack.sources import bands
-from lumenstack.work import shared_dir
+from lumenstack.work import materialise, shared_dir
 
 
 def has_rows(spark: SparkSession, path: str) -> bool:
@@ -30,11 +31,24 @@ def version(folder: str, number: int) -> str:
     return f"{folder}/sums/version={number}"
 
 
+def part_of(key: list[str], tile: int) -> Column:
+    """The part of the sums that a row is in: its square of tile x tile pixels, or one of 64 by its key where that has no pixel."""
+    if {"y", "x"} <= set(key):
+        square = [F.floor(F.col(c) / tile).cast("string") for c in ("y", "x")]
+        return F.concat(F.lit("p"), square[0], F.lit("_"), square[1])
+    return F.concat(F.lit("p"), F.pmod(F.hash(*key), F.lit(64)).cast("string"))
+
+
+def newest(every: DataFrame, before: int | None = None) -> DataFrame:
+    """(part, version): the last version of each part, of those before a number if one is given."""
+    held = every if before is None else every.where(F.col("version") < before)
+    return held.groupBy("part").agg(F.max("version").alias("version"))
+
+
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The sums after the last trigger."""
+    """The sums after the last trigger: each part as its last version has it."""
     every = spark.read.parquet(f"{folder}/sums")
-    last = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == last).drop("version")
+    return every.join(newest(every), ["part", "version"]).drop("version", "part")
 
 
 def can_resume(spark: SparkSession, folder: str) -> bool:
@@ -42,19 +56,36 @@ def can_resume(spark: SparkSession, folder: str) -> bool:
     return has_rows(spark, f"{folder}/sums")
 
 
-def fold(stream: DataFrame, folder: str, key: list[str], partial: Callable[[DataFrame, int], DataFrame], after: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None):
+def drop_old(spark: SparkSession, folder: str, number: int) -> None:
+    """Removes what neither the sums after trigger `number` nor those before it need: the trigger may run again."""
+    every = spark.read.parquet(f"{folder}/sums").select("version", "part").distinct()
+    kept = newest(every).union(newest(every, number))
+    old = every.join(kept, ["part", "version"], "left_anti").collect()  # names of folders: a part has two after each trigger, and one more now
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for r in old:
+        path = hadoop.Path(f"{version(folder, r['version'])}/part={r['part']}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fold(stream: DataFrame, folder: str, key: list[str], partial: Callable[[DataFrame, int], DataFrame], after: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, tile: int = 256):
     """Starts a query that adds partial(batch, number), a table (key, sum, wht), into the sums in folder, and returns it.
     after: called with the sums of every trigger, the last and smaller group included; for display, it changes nothing.
-    trigger: of the query; what is there and no more by default."""
+    trigger: of the query; what is there and no more by default. tile: side of the squares of pixels that are rewritten whole."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        sums = partial(batch, number).select(*key, "sum", "wht")
-        if number:
-            sums = sums.unionByName(spark.read.parquet(version(folder, number - 1)))
-        sums.groupBy(*key).agg(F.sum("sum").alias("sum"), F.sum("wht").alias("wht")).write.mode("overwrite").parquet(version(folder, number))
+        sums = materialise(partial(batch, number).select(*key, "sum", "wht", part_of(key, tile).alias("part")))
+        if number and can_resume(spark, folder):
+            every = spark.read.parquet(f"{folder}/sums")
+            before = newest(every, number).join(sums.select("part").distinct(), "part")
+            sums = sums.unionByName(every.join(before, ["part", "version"]).drop("version"))
+        new = sums.groupBy("part", *key).agg(F.sum("sum").alias("sum"), F.sum("wht").alias("wht"))
+        new.write.mode("overwrite").partitionBy("part").parquet(version(folder, number))
+        some = can_resume(spark, folder)
+        if some:
+            drop_old(spark, folder, number)
         if after:
-            after(spark.read.parquet(version(folder, number)), number)
+            after(latest(spark, folder) if some else new.drop("part").limit(0), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
