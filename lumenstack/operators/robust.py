@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenstack.work import materialise
+from lumenstack.work import forget, materialise
 
 LUMINANCE = (0.299, 0.587, 0.114)
 
@@ -185,7 +185,7 @@ def solve_offsets(pairs: DataFrame, frames: DataFrame, frame: str, tolerance: fl
     edges = materialise(forth.unionByName(known.select(F.col("b").alias("i"), F.col("a").alias("j"), (-F.col("offset")).cast("double").alias("o"))))
     # The degree scales the unknowns, so that frames of many and of few pairs weigh alike.
     start = edges.groupBy("i").agg(F.count("*").cast("double").alias("d"), F.sum("o").alias("r")).withColumn("z", F.col("r") / F.col("d"))
-    state = materialise(start.select("i", "d", F.lit(0.0).alias("x"), "r", F.col("z").alias("p")))
+    state = last = materialise(start.select("i", "d", F.lit(0.0).alias("x"), "r", F.col("z").alias("p")))
     dot = lambda df, *columns: [v or 0.0 for v in df.agg(*(F.sum(c) for c in columns)).first()]
     rz, first = dot(state, F.col("r") * F.col("r") / F.col("d"), F.abs("r"))
     norm = rz
@@ -197,6 +197,8 @@ def solve_offsets(pairs: DataFrame, frames: DataFrame, frame: str, tolerance: fl
         (pq,) = dot(stepped, F.col("p") * F.col("q"))
         if pq <= 0:
             break
+        forget(last)
+        last = stepped
         alpha = rz / pq
         r = F.col("r") - alpha * F.col("q")
         (after,) = dot(stepped, r * r / F.col("d"))
@@ -221,9 +223,10 @@ def _linked_sets(edges: DataFrame) -> DataFrame:
         # The root's own root is a second step at once.
         jumped = own.join(known.select(F.col("i").alias("root"), F.col("root").alias("further")), "root", "left").select("i", F.least("root", F.coalesce("further", F.col("root"))).alias("root"), "before")
         step = materialise(jumped)
+        forget(known)
         if not step.where("root <> before").limit(1).count():
             return step.select("i", "root")
-        known = step.select("i", "root")
+        known = step
 
 
 def noise_variance_weights(px: DataFrame, frame: list[str]) -> DataFrame:

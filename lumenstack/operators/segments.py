@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenstack.operators import background, robust
-from lumenstack.work import materialise
+from lumenstack.work import forget, materialise
 
 #: A label is row * ROW + column.
 ROW = 1 << 32
@@ -76,7 +76,8 @@ def merged(links: DataFrame, key: list[str]) -> DataFrame:
         large = around.where("b > a").join(least, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lesser = large.groupBy(*key, "a").agg(F.min("b").alias("m"))
         small = large.join(lesser, [*key, "a"]).select(*key, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lesser.select(*key, "a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialise(small)
+        last, edges = edges, materialise(small)
+        forget(last)
         before, known = known, state(edges)
         if known == before:
             break

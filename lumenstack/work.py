@@ -25,4 +25,12 @@ def materialise(df: DataFrame) -> DataFrame:
     depend on one executor's disk."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.written_to = path
+    return read
+
+
+def forget(df: DataFrame) -> None:
+    """Removes what materialise() wrote for df, of which nothing that is still to be computed may read."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
