@@ -10,18 +10,30 @@ def clip01(v: Column) -> Column:
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
 
+def unclipped_linear(v: Column, black: Column, white: Column) -> Column:
+    return (v - black) / (F.greatest(white, black + 1e-6) - black)
+
+
+def unclipped_logarithmic(v: Column, black: Column, top: Column, scale: float = 10.0) -> Column:
+    """log1p(s max(v - black, 1e-10)) over the same of the frame's greatest."""
+    return F.log1p(scale * F.greatest(v - black, F.lit(1e-10))) / F.log1p(scale * F.greatest(top - black, F.lit(1e-10)))
+
+
+def unclipped_asinh(v: Column, black: Column, top: Column, scale: float = 10.0) -> Column:
+    """asinh(s max(v - black, 0)) over the same of the frame's greatest; 0 where nothing is above black."""
+    return F.when(top > black, F.asinh(scale * F.greatest(v - black, F.lit(0.0))) / F.asinh(scale * (top - black))).otherwise(0.0)
+
+
 def linear(v: Column, black: Column, white: Column) -> Column:
-    return clip01((v - black) / (F.greatest(white, black + 1e-6) - black))
+    return clip01(unclipped_linear(v, black, white))
 
 
 def logarithmic(v: Column, black: Column, top: Column, scale: float = 10.0) -> Column:
-    """log1p(s max(v - black, 1e-10)) over the same of the frame's greatest."""
-    return clip01(F.log1p(scale * F.greatest(v - black, F.lit(1e-10))) / F.log1p(scale * F.greatest(top - black, F.lit(1e-10))))
+    return clip01(unclipped_logarithmic(v, black, top, scale))
 
 
 def asinh(v: Column, black: Column, top: Column, scale: float = 10.0) -> Column:
-    """asinh(s max(v - black, 0)) over the same of the frame's greatest; 0 where nothing is above black."""
-    return F.when(top > black, clip01(F.asinh(scale * F.greatest(v - black, F.lit(0.0))) / F.asinh(scale * (top - black)))).otherwise(0.0)
+    return clip01(unclipped_asinh(v, black, top, scale))
 
 
 def gamma(v: Column, power: float) -> Column:
@@ -41,3 +53,14 @@ def scnr(r: Column, g: Column, b: Column, amount: float = 1.0) -> Column:
 def quantise(v: Column, top: int = 65535) -> Column:
     """Truncation of clip(v, 0, 1) * top."""
     return (clip01(v) * top).cast("int")
+
+
+def grey_level(r: Column, g: Column, b: Column) -> Column:
+    """Luminance of 8-bit levels as an 8-bit level, by weights in 65,536ths."""
+    return F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16)
+
+
+def blended(base: Column, v: Column, factor: float) -> Column:
+    """8-bit levels base + factor (v - base) in single precision, truncated, within 0 and 255."""
+    moved = base.cast("float") + F.lit(factor).cast("float") * (v - base).cast("float")
+    return F.least(F.greatest(moved, F.lit(0.0).cast("float")), F.lit(255.0).cast("float")).cast("int")

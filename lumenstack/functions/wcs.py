@@ -41,6 +41,41 @@ def sky_to_pixel(ra: Column, dec: Column, w: dict[str, Column]) -> tuple[Column,
     return F.when(ahead, u + w["crpix1"] - 1), F.when(ahead, v + w["crpix2"] - 1)
 
 
+def header_number(header: Column, name: str) -> Column:
+    """A keyword's number in a map of header cards; null where it is missing or no number."""
+    return F.try_element_at(header, F.lit(name)).try_cast("double")
+
+
+def of_header(header: Column) -> dict[str, Column]:
+    """The coordinates that a header states: the CD matrix (a missing element is 0), or CDELT under PC or CROTA2."""
+    n = lambda name: header_number(header, name)
+    has_cd = F.coalesce(*(n(f"CD{i}_{j}") for i in (1, 2) for j in (1, 2))).isNotNull()
+    turn, one, two = F.radians(F.coalesce(n("CROTA2"), F.lit(0.0))), n("CDELT1"), n("CDELT2")
+    turned = {"11": F.cos(turn), "12": -F.sin(turn) * two / one, "21": F.sin(turn) * one / two, "22": F.cos(turn)}
+    made = {}
+    for place, default in turned.items():
+        delta = one if place[0] == "1" else two
+        pc = F.coalesce(n(f"PC{place[0]}_{place[1]}"), default)
+        made[f"cd{place}"] = F.when(has_cd, F.coalesce(n(f"CD{place[0]}_{place[1]}"), F.lit(0.0))).otherwise(delta * pc)
+    return {k: n(k.upper()) for k in ("crval1", "crval2", "crpix1", "crpix2")} | made
+
+
+def of_optics(header: Column) -> dict[str, Column]:
+    """A north-up grid about the middle of the frame, from RA, DEC, FOCALLEN (mm), XPIXSZ and YPIXSZ (um); null where one is missing."""
+    n = lambda name: header_number(header, name)
+    step = lambda size: F.degrees(n(size) * 1e-3 / F.nullif(n("FOCALLEN"), F.lit(0.0)))
+    whole = step("XPIXSZ").isNotNull() & step("YPIXSZ").isNotNull()
+    return {"crval1": n("RA"), "crval2": n("DEC"), "crpix1": (n("NAXIS1") + 1) / 2, "crpix2": (n("NAXIS2") + 1) / 2, "cd11": -step("XPIXSZ"), "cd12": F.when(whole, 0.0), "cd21": F.when(whole, 0.0), "cd22": step("YPIXSZ")}
+
+
+def is_solution(w: dict[str, Column]) -> Column:
+    """Every number is there, and the grid is celestial."""
+    whole = F.lit(True)
+    for v in w.values():
+        whole &= v.isNotNull()
+    return whole & is_celestial(w)
+
+
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Great-circle distance in degrees."""
     a = F.pow(F.sin(F.radians(dec2 - dec1) / 2), F.lit(2.0))

@@ -123,6 +123,24 @@ def displayed(r: Column, g: Column, b: Column, gains: tuple[Column, Column, Colu
     return tuple(stretch.gamma(kinds[mode](v), gamma) for v in balanced(r, g, b, gains))
 
 
+def adjusted(pictures: DataFrame, key: list[str], brightness: float = 1.0, contrast: float = 1.0, saturation: float = 1.0) -> DataFrame:
+    """pictures with the 8-bit levels of r, g, b in [0, 1] after the three adjustments in this order: brightness blends with
+    black, contrast with the picture's mean grey, saturation with each pixel's own. Factors within 1e-3 of 1 do nothing."""
+    level = lambda c: F.floor(clip01(F.coalesce(F.col(c), F.lit(0.0))) * 255).cast("int")
+    out = pictures.withColumns({c: level(c) for c in "rgb"})
+    differs = lambda factor: abs(factor - 1) > 1e-3
+    grey = lambda: stretch.grey_level(*map(F.col, "rgb"))
+    if differs(brightness):
+        out = out.withColumns({c: stretch.blended(F.lit(0), F.col(c), brightness) for c in "rgb"})
+    if differs(contrast):
+        (mean,) = robust.free_names(out, ("_mean",))
+        means = out.groupBy(*key).agg(F.floor(F.avg(grey()) + 0.5).cast("int").alias(mean))
+        out = out.join(means, key).withColumns({c: stretch.blended(F.col(mean), F.col(c), contrast) for c in "rgb"}).drop(mean)
+    if differs(saturation):
+        out = out.withColumns({c: stretch.blended(grey(), F.col(c), saturation) for c in "rgb"})
+    return out
+
+
 def mixed(r: Column, g: Column, b: Column, matrix: list[list[float]]) -> tuple[Column, ...]:
     """A 3 x 3 colour matrix."""
     return tuple(row[0] * r + row[1] * g + row[2] * b for row in matrix)
@@ -134,6 +152,15 @@ def viewer_levels(px: DataFrame, key: list[str]) -> DataFrame:
     return px.join(black, key).where("v > black").groupBy(*key, "black").agg(F.percentile("v", F.lit(0.99)).alias("white"))
 
 
+def automatic_levels(px: DataFrame, key: list[str], least: int = 10) -> DataFrame:
+    """(key, black, white) of images with enough samples: viewer_levels with a white of 1 where nothing is above black,
+    black kept within [0, 0.99] and white within [black + 0.01, 1]."""
+    lower = px.groupBy(*key).agg((F.percentile("v", F.lit(0.01)) + 0.001).alias("black"), F.count("v").alias("samples")).where(F.col("samples") >= least)
+    upper = px.join(lower.select(*key, F.col("black").alias("floor_of_image")), key).where("v > floor_of_image").groupBy(*key).agg(F.percentile("v", F.lit(0.99)).alias("white"))
+    black = F.least(F.greatest("black", F.lit(0.0)), F.lit(0.99))
+    return lower.join(upper, key, "left").select(*key, black.alias("black"), F.least(F.greatest(F.coalesce("white", F.lit(1.0)), black + 0.01), F.lit(1.0)).alias("white"))
+
+
 def by_inputs(px: DataFrame, key: list[str], inputs: Column) -> DataFrame:
     """v times the number of inputs, unless the image is all but 0 (1e-12)."""
     top = px.groupBy(*key).agg(F.max(F.abs("v")).alias("_top"))

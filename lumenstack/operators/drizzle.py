@@ -56,17 +56,26 @@ def _over_cells(rows: DataFrame, bounds: dict[str, tuple[Column, Column]], sizes
     return rows
 
 
-@robust.any_key
+def corners_of(x: Column, y: Column, pixfrac: float) -> list[Point]:
+    """Corners of a sample's square, shrunk by pixfrac, in order around it."""
+    half = pixfrac / 2
+    return [(x + dx * half, y + dy * half) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+
 def drizzle_square(px: DataFrame, key: list[str], to_output: Callable[[Column, Column], Point], width: int, height: int, pixfrac: float = 1.0, weight: Column | None = None) -> DataFrame:
     """The default kernel: each sample's square, shrunk by pixfrac, is carried over corner by corner, and its flux is
     shared by the area that each cell has of the quadrilateral. Samples whose centre is outside the grid count nowhere.
 
     to_output: output position of an input position. Returns (key, y, x, sum, wht, sci).
     """
-    half = pixfrac / 2
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    corners = [to_output(x + dx * half, y + dy * half) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
-    cx, cy = to_output(x, y)
+    return drizzle_quads(px, key, [to_output(*c) for c in corners_of(x, y, pixfrac)], to_output(x, y), width, height, weight)
+
+
+@robust.any_key
+def drizzle_quads(px: DataFrame, key: list[str], corners: list[Point], centre: Point, width: int, height: int, weight: Column | None = None) -> DataFrame:
+    """drizzle_square of samples whose corners and centre on the output are known."""
+    cx, cy = centre
     inside = wcs.in_grid(cx, cy, F.lit(width), F.lit(height))
     w = F.lit(1.0) if weight is None else weight
     rows = px.where(F.col("v").isNotNull() & inside).select(*key, "v", w.alias("w"), *(c.alias(f"q{i}{axis}") for i, point in enumerate(corners) for axis, c in zip("xy", point)))

@@ -12,6 +12,8 @@ from lumenstack.work import materialise
 
 #: Prefixes of files that a run itself makes.
 OUTPUT_PREFIXES = ("stack_", "mosaic_final_", "aligned_", "drizzle_")
+#: Parts of the names of files that a run itself makes.
+OUTPUT_PARTS = ("_reproject", "_sum.", "_wht.", "_preview.", "_temp.", "reference_image.fit", "cumulative_sum.npy", "cumulative_wht.npy")
 #: Other spellings of the final combination.
 COMBINE = {"reproject and coadd": "reproject_coadd", "reproject_and_coadd": "reproject_coadd", "reproject-coadd": "reproject_coadd"}
 #: Former names of solver preferences.
@@ -40,15 +42,24 @@ def finalization_mode(mosaic: Column, drizzle: Column, between_batches: Column,
     return F.when(mosaic, "mosaic").when(drizzle, "drizzle").when(between_batches, "classic_sumw").when(coadd, "reproject_coadd").otherwise("classic_sumw")
 
 
-def is_candidate(name: Column, prefixes: tuple[str, ...] = OUTPUT_PREFIXES) -> Column:
-    """Not one of the run's own outputs."""
+def is_candidate(name: Column, prefixes: tuple[str, ...] = OUTPUT_PREFIXES, parts: tuple[str, ...] = OUTPUT_PARTS) -> Column:
+    """Not one of the run's own outputs, which begin with a prefix or hold a part."""
     lower = F.lower(name)
     made = F.lit(False)
     for p in prefixes:
         made |= lower.startswith(p)
+    for p in parts:
+        made |= lower.contains(p)
     return ~made
 
 
+def refuse_empty(df: DataFrame, what: str) -> DataFrame:
+    """df, if it has a row: a mode that has gathered nothing fails, and no other mode takes its place."""
+    if df.isEmpty():
+        raise ValueError(f"nothing to go on with: {what}")
+    return df
+
+
 def final_combine(cli: str | None, settings: str | None) -> str:
     """The command line, then the settings, then mean; names are trimmed and lower-cased, unknown ones kept."""
     names = (x.strip().lower() for x in (cli, settings) if x is not None)
