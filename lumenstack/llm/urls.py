@@ -10,6 +10,8 @@ an empty table gives no rows, and columns of any name are kept as they are.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenstack.llm.common import free_name
 
-#: The labelled table is made of these words: pairs of them are host names, the next is the path.
+#: A part of the labelled table is made of these words: pairs of them are host names, the next is the path.
 UNWANTED = "casino poker slots bets betting jackpot bingo lottery win bonus viagra pills pharma cheap discount loans payday adult porn xxx cams escort dating spam seo links farm track clicks ads adserver popup free download crack keygen warez phish".split()
 ORDINARY = "library museum university school college news weather recipes garden history science travel music theatre sport health hospital city council river forest mountain market bakery bridge station radio journal archive atlas maths physics biology poetry novel painting kitchen village harbour".split()
 PATHS = "en de/12 fr/page-3.html about articles/7?ref=a index.html 2021/05 es/77#top contact item/340/".split()
@@ -61,7 +63,19 @@ def features(df: DataFrame, url: Column, dimensions: int, grams: str = "grams",
     return HashingTF(inputCol=grams, outputCol=out, numFeatures=dimensions, binary=True).transform(df.withColumn(grams, ngrams(host_of(url), path_of(url))))
 
 
+def written_urls(spark: SparkSession) -> DataFrame:
+    """(url, label) of the labelled URLs that labelled_urls.txt lists, whole ones with their paths; 1: unwanted."""
+    lines = resources.files(__package__).joinpath("labelled_urls.txt").read_text("utf-8").split("\n")
+    line = F.explode(F.split(F.lit("\n".join(x for x in lines if x)), "\n")).alias("line")
+    return spark.range(0, 1, 1, 1).select(line).select(F.concat(F.lit("https://"), F.substr("line", F.lit(3))).alias("url"), F.substr("line", F.lit(1), F.lit(1)).cast("double").alias("label"))
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, label) of written_urls() and paired_urls()."""
+    return written_urls(spark).unionAll(paired_urls(spark))
+
+
+def paired_urls(spark: SparkSession) -> DataFrame:
     """(url, label): a host of each word with each of the next three words of its kind (the next nine of ordinary ones,
     which are the rule), in turn joined in three ways and under four suffixes; 1: unwanted."""
     kinds = []
@@ -76,9 +90,13 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return kinds[0].unionAll(kinds[1])
 
 
-def train_url_model(labelled: DataFrame, dimensions: int = 1 << 13, strength: float = 0.02) -> LogisticRegressionModel:
-    """labelled: url, label (1: unwanted); a small table, for every pass of the fit goes over it."""
-    return LogisticRegression(featuresCol="features", labelCol="label", regParam=strength, maxIter=50).fit(features(labelled.select("url", "label"), F.col("url"), dimensions))
+def train_url_model(labelled: DataFrame, dimensions: int = 1 << 13, strength: float = 0.02, ordinary: float = 5.0) -> LogisticRegressionModel:
+    """labelled: url, label (1: unwanted); a small table, for every pass of the fit goes over it. Rows weigh as if `ordinary`
+    URLs met each unwanted one, whatever the table's own shares."""
+    shares = labelled.agg(F.sum("label").alias("unwanted"), F.count("*").alias("rows"))
+    weight = F.when(F.col("label") == 1, 1.0).otherwise(ordinary * F.col("unwanted") / (F.col("rows") - F.col("unwanted")))
+    rows = features(labelled.select("url", "label"), F.col("url"), dimensions).join(F.broadcast(shares)).withColumn("weight", weight)  # one row
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=strength, maxIter=50).fit(rows)
 
 
 def judge_urls(df: DataFrame, model: LogisticRegressionModel, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -129,6 +129,30 @@ def test_url_model_on_hosts_that_it_has_not_seen(spark):
     assert recall > 0.9 and false < 0.05
 
 
+def test_url_model_on_words_that_it_has_not_seen(spark):
+    """Cross-validated over the written URLs by host, and on hosts none of whose words are in the labelled table."""
+    written = urls.written_urls(spark).withColumn("fold", F.crc32("url") % 4)
+    count = Counter()
+    for fold in range(4):
+        model = urls.train_url_model(written.where(f"fold <> {fold}").unionAll(urls.paired_urls(spark).withColumn("fold", F.lit(9))))
+        judged = urls.judge_urls(written.where(f"fold = {fold}"), model, rules=())
+        count.update((r["label"], r["verdict"]) for r in judged.select("label", "url_verdict.verdict").collect())
+    recall = count[1.0, "block"] / (count[1.0, "block"] + count[1.0, "allow"])
+    precision = count[1.0, "block"] / (count[1.0, "block"] + count[0.0, "block"])
+    print("cross-validated recall", recall, "precision", precision)
+    assert recall > 0.4 and precision > 0.7
+
+    strange = "keno-lounge craps-table vegas-flush tipster-picks ringtone-fun sildenafil-store botox-cream hypnosis-wallet fantasy-ladies strip-party bootleg-dvds ghostwriter-thesis doorway-stuffing spyware-bundle ponzi-yield horoscope-call".split()
+    calm = "lighthouse-keepers quilt-stitchers mushroom-walks violin-teachers glacier-studies canal-boats beekeeping-hives marble-quarry cathedral-bells owl-sanctuary penguin-colony typewriter-fans saxophone-quartet meadow-flowers lexicon-latin tapestry-weavers".split()
+    known = {w for r in urls.labelled_urls(spark).collect() for w in re.split("[^a-z]+", r["url"].split("//")[1].split("/")[0].lower())}
+    assert not known & {w for h in strange + calm for w in h.split("-")}
+    rows = spark.createDataFrame([(f"https://{h}.invalid/index.html", float(h in strange)) for h in strange + calm], "url string, unwanted double")
+    said = urls.judge_urls(rows, urls.train_url_model(urls.labelled_urls(spark)), rules=()).select("unwanted", "url_verdict.verdict").collect()
+    blocked = Counter(r["unwanted"] for r in said if r["verdict"] == "block")
+    print("of 16 unwanted hosts of unknown words", blocked[1.0], "are blocked, of 16 ordinary ones", blocked[0.0])
+    assert blocked[0.0] <= 4  # words that it has not seen are near chance; the README says so
+
+
 def test_language_posterior_against_brute_force(spark):
     rng = random.Random(1)
     words = {"aa": "bala kala mala nala", "bb": "zizo vivo kiko lilo", "cc": "thung schung bung gung"}
