@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,29 +80,40 @@ def output_grid(headers: DataFrame, group: list[str]) -> DataFrame:
     return agg.select(*group, (F.col("x_max") - F.col("x_min") + 3).cast("int").alias("width"), (F.col("y_max") - F.col("y_min") + 3).cast("int").alias("height"), "scale")
 
 
-def angular_neighbours(a: DataFrame, b: DataFrame, key: str, limit: float = 0.3) -> DataFrame:
-    """Pairs of distinct keys less than `limit` degrees apart: cells of the sky meet their neighbours by equi-join, then
-    the great-circle distance decides.
+def angular_neighbours(a: DataFrame, b: DataFrame, key: str, limit: float = 0.3, parts: int = 4) -> DataFrame:
+    """Pairs of distinct keys less than `limit` degrees apart: each point of b is sent to the cells of the sky that its circle
+    touches, meets the points of a there by equi-join, and the great-circle distance decides.
 
-    Cells are declination bands of the limit's width, cut in right ascension into as many cells as fit where the band
-    and its neighbours are nearest to a pole, so that points within the limit are in the same or adjacent cells, around
-    the circle.
+    Cells are declination bands of the limit's width over `parts` (a power of two; it changes the work, never the pairs), cut in
+    right ascension into cells about as wide. The result has as many rows as there are pairs, the square of the number of points
+    in the worst case. Cells are dealt over all tasks, however small the tables are: the work is in the pairs.
     """
-    band = F.floor(F.col("dec") / limit)
+    step, half, slack = limit / parts, min(limit, 180.0) / 2, 1e-6
+    most = F.pow(F.sin(F.radians(F.lit(half))), F.lit(2.0)) * (1 + 1e-9)
+    band = F.floor(F.col("dec") / step)
+
+    def cosine(band: Column, pick: Callable[[Column, Column], Column]) -> Column:
+        """The least or greatest of a band's edges."""
+        return pick(*(F.cos(F.radians(F.least(F.greatest((band + d) * step, F.lit(-90.0)), F.lit(90.0)))) for d in (0, 1)))
 
     def cells_in(band: Column) -> Column:
-        """Cells of a band's ring, wide enough for the limit at the far edge of the next band."""
-        pole = F.greatest(F.abs(band), F.abs(band + 1)) * limit + limit
-        room = F.cos(F.radians(F.least(pole, F.lit(90.0))))
-        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(min(limit, 180.0)) / 2)) / F.greatest(room, F.lit(1e-9)))))
-        return F.greatest(F.lit(1), F.floor(360.0 / F.greatest(width, F.lit(1e-9)) - 1e-9)).cast("long")
-
-    def cell(ra: Column, band: Column) -> Column:
-        return F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * cells_in(band)).cast("long")
-
-    left = a.select(F.col(key).alias("a"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), band.alias("band"), cell(F.col("ra"), band).alias("cell"))
-    right = b.select(F.col(key).alias("b"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.explode(F.array(*(band + d for d in (-1, 0, 1)))).alias("band"))
-    around = F.array_distinct(F.array(*(F.pmod(cell(F.col("ra2"), F.col("band")) + d, cells_in(F.col("band"))) for d in (-1, 0, 1))))
-    right = right.withColumn("cell", F.explode(around))
+        return F.greatest(F.lit(1), F.floor(360.0 / step * cosine(band, F.greatest))).cast("long")
+
+    turn = F.pmod(F.col("ra"), F.lit(360.0)) / 360.0
+    left = a.select(F.col(key).alias("a"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), band.alias("band"), turn.alias("turn"))
+    left = left.select("a", "ra1", "dec1", "band", F.pmod(F.floor(F.col("turn") * cells_in(F.col("band"))), cells_in(F.col("band"))).alias("cell"))
+    right = b.select(F.col(key).alias("b"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), turn.alias("turn"), F.explode(F.array(*(band + d for d in range(-parts, parts + 1)))).alias("band"))
+    # How far in right ascension the circle reaches inside the band, at most.
+    off = F.greatest(F.col("band") * step - F.col("dec2"), F.col("dec2") - (F.col("band") + 1) * step, F.lit(slack)) - slack
+    room = F.cos(F.radians("dec2")) * cosine(F.col("band"), F.least)
+    share = (most - F.pow(F.sin(F.radians(off / 2)), F.lit(2.0))) / F.greatest(room, F.lit(1e-12))
+    reach = F.when(share < 1, 2 * F.degrees(F.asin(F.sqrt(share))) + slack).otherwise(180.0) / 360.0
+    right = right.where(share >= 0).select("b", "ra2", "dec2", "band", cells_in(F.col("band")).alias("n"), "turn", reach.alias("reach"))
+    first, last = (F.floor((F.col("turn") + e) * F.col("n")) for e in (-F.col("reach"), F.col("reach")))
+    around = F.when(last - first + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.col("n"))))
+    right = right.select("b", "ra2", "dec2", "band", F.explode(around).alias("cell"))
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    met = left.repartition(tasks, "band", "cell").hint("merge").join(right.repartition(tasks, "band", "cell"), ["band", "cell"])
     apart = wcs.separation(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))
-    return left.join(right, ["band", "cell"]).where("a < b").withColumn("separation", apart).where(F.col("separation") < limit).select("a", "b", "separation")
+    return met.where("a < b").withColumn("separation", apart).where(F.col("separation") < limit).select("a", "b", "separation")
