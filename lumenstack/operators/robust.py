@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumenstack.work import forget, materialise
 
 LUMINANCE = (0.299, 0.587, 0.114)
+#: Samples of a group from which on its exact median is found in a bracket; this changes the work, never the median.
+LARGE = 100_000
 
 
 def free_names(df: DataFrame, wishes: tuple[str, ...]) -> list[str]:
@@ -52,27 +54,64 @@ def any_key(operator):
     return run
 
 
-def clipped(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int = 5) -> DataFrame:
+def is_large(px: DataFrame, key: list[str]) -> bool:
+    """Whether a group has more samples than one task should hold; one number to the driver."""
+    sizes = px.groupBy(*key).agg(F.count("v").alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) > LARGE
+
+
+def group_stats(px: DataFrame, key: list[str], large: bool) -> DataFrame:
+    """(key, mean, median, std, n), the deviation that of a population. An exact median keeps the distinct values of a group in one
+    task; large: only those in a bracket around it, as the values outside count as the bracket's ends. The bracket comes from
+    approximate percentiles, and the numbers of values on its sides say whether the median is inside; where it is not,
+    all values are kept.
+    """
+    low, high = free_names(px, ("_low", "_high"))
+    stats = lambda rows, v: rows.groupBy(*key).agg(F.avg("v").alias("mean"), F.median(v).alias("median"), F.stddev_pop("v").alias("std"), F.count("v").alias("n"), F.count_if(F.col("v") < F.col(low)).alias(low), F.count_if(F.col("v") > F.col(high)).alias(high))
+    names = [*key, "mean", "median", "std", "n"]
+    if not large:
+        return stats(px.withColumns({low: F.lit(None).cast("double"), high: F.lit(None).cast("double")}), F.col("v")).select(*names)
+    ends = px.groupBy(*key).agg(F.percentile_approx("v", F.array(F.lit(0.49), F.lit(0.51)), 2000).alias(low))
+    ends = materialise(ends.select(*key, F.col(low)[0].alias(low), F.col(low)[1].alias(high)))
+    found = materialise(stats(px.join(ends, key), F.least(F.greatest("v", low), high)))
+    inside = (2 * F.col(low) < F.col("n")) & (2 * F.col(high) < F.col("n"))
+    missed = found.where(~inside).select(*key)
+    if missed.isEmpty():
+        return found.select(*names)
+    again = group_stats(px.join(missed, key, "left_semi"), key, False)
+    return found.where(inside).select(*names).unionByName(again)
+
+
+def clipped(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int = 5, large: bool | None = None) -> DataFrame:
     """px without what iterated clipping about the median (population deviation) drops.
 
     Each round is an aggregation by key of what the rounds before it left; their medians and deviations are joined back,
-    so no frame is buffered whole.
+    so no frame is buffered whole. large: as in group_stats(), by default if a group is; a round's statistics are then written,
+    so that the join back sends them, and not the samples, to all tasks.
     """
     steps, limits = free_names(px, ("_steps", "_limit"))
     px = px.where(F.col("v").isNotNull())
+    large = is_large(px, key) if large is None else large
     passes = F.forall(steps, lambda l: F.abs(F.col("v") - l["m"]) <= sigma * l["s"])
     found = None
     for _ in range(rounds):
         inside = px if found is None else px.join(found, key).where(passes)
+        limit = F.struct(F.col("median").alias("m"), F.col("std").alias("s"))
+        if large:
+            own = group_stats(inside.select(*key, "v"), key, True).select(*key, limit.alias(limits))
+            own = own.select(*key, F.array(limits).alias(steps)) if found is None else own.join(found, key).select(*key, F.concat(F.col(steps), F.array(limits)).alias(steps))
+            found = materialise(own)
+            continue
         before = F.array().cast("array<struct<m:double,s:double>>") if found is None else F.first(steps)
         own = inside.groupBy(*key).agg(before.alias(steps), F.struct(F.median("v").alias("m"), F.stddev_pop("v").alias("s")).alias(limits))
         found = own.select(*key, F.concat(F.col(steps), F.array(limits)).alias(steps))
-    return px.join(found, key).where(passes).drop(steps)
+    return px if found is None else px.join(found, key).where(passes).drop(steps)
 
 
 def clipped_stats(px: DataFrame, key: list[str], sigma: float = 3.0, rounds: int = 5) -> DataFrame:
     """Mean, median and population deviation after clipping."""
-    return clipped(px, key, sigma, rounds).groupBy(*key).agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"), F.count("v").alias("n"))
+    large = is_large(px, key)
+    return group_stats(clipped(px, key, sigma, rounds, large).select(*key, "v"), key, large)
 
 
 def subtract_sky(px: DataFrame, key: list[str], least: int = 1024) -> DataFrame:

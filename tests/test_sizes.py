@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumenstack.operators import project
+from lumenstack.operators import project, robust
 
 
 def apart(p, q) -> float:
@@ -31,3 +32,25 @@ def test_neighbours_are_dealt_over_tasks(spark):
     table = spark.range(400, numPartitions=1).selectExpr("id AS k", "id * 7 % 360 * 1.0D AS ra", "id % 55 - 5.0D AS dec")
     found = project.angular_neighbours(table, table, "k", 25.0)
     assert len({r.p for r in found.selectExpr("spark_partition_id() AS p").distinct().collect()}) > 4
+
+
+def test_samples_of_a_large_image_are_not_broadcast(spark, tmp_path):
+    """Before, the packed table looked small, so its samples went to every task, and each image was one task."""
+    spark.range(1200).selectExpr("id % 3 AS image", "transform(sequence(0, 299), i -> (hash(id, i) % 1000) / 7D) AS data").write.parquet(str(tmp_path / "packed"))
+    px = spark.read.parquet(str(tmp_path / "packed")).select("image", F.explode("data").alias("v"))
+    assert px.count() / 3 > robust.LARGE
+    plan = robust.clipped(px, ["image"], 1.0, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
+def test_medians_in_brackets_are_exact(spark):
+    rng = np.random.default_rng(1)
+    groups = {"normal": rng.normal(size=3001), "even": rng.normal(size=2000), "ties": rng.integers(0, 3, 4000) * 1.0, "one": np.array([2.5]), "two": np.array([1.0, 4.0]), "far": np.append(rng.normal(size=1500), [1e30, -1e30] * 200), "halves": np.repeat([0.0, 1.0], 1000)}
+    px = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None)], "k string, v double")
+    got = {r.k: r for r in robust.group_stats(px, ["k"], True).collect()}
+    assert got["none"].median is None and got["none"].n == 0
+    for k, vs in groups.items():
+        assert got[k].median == np.median(vs) and got[k].n == len(vs), k
+        assert got[k].std == pytest.approx(vs.std(), rel=1e-12, abs=1e-12)
+    for a, b in zip(*(sorted(map(tuple, robust.clipped(px, ["k"], 1.5, 3, large).where("k <> 'far'").collect())) for large in (False, True))):
+        assert a == b
