@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenstack.operators import tiles
+
 
 def neighbourhood(px: DataFrame, key: list[str], size: int, mirror: bool = False) -> DataFrame:
     """(key, y, x, v, nv, oy, ox): each sample with the samples of the size x size box around it, itself among them, and
@@ -157,20 +159,68 @@ MALVAR = {
 }
 
 
-def debayer_malvar(px: DataFrame, key: list[str], pattern: str = "GRBG") -> DataFrame:
-    """(key, y, x, r, g, b) of a mosaic by gradient-corrected filters, borders mirrored."""
+def malvar_block(block: np.ndarray) -> dict[str, np.ndarray]:
+    """What each filter gives for blocks with a border of two."""
+    h, w = block.shape[1] - 4, block.shape[2] - 4
+    return {name: sum(c / 8 * block[:, i : i + h, j : j + w] for i, row in enumerate(m) for j, c in enumerate(row) if c) for name, m in MALVAR.items()}
+
+
+def debayer_malvar(px: DataFrame, key: list[str], pattern: str = "GRBG", tile: int = 64) -> DataFrame:
+    """(key, y, x, r, g, b) of a mosaic by gradient-corrected filters, borders mirrored; missing samples add nothing, repeated ones
+    are one of them.
+
+    Each sample is sent to the tiles that it is in or borders on, and each tile gets its image's last row and column, so that a tile
+    is worked on by itself. tile: side of the squares worked on at once; the result does not depend on it.
+    """
     place = (2 * (F.col("y") % 2) + F.col("x") % 2 + 1).cast("int")
     own = F.element_at(F.array(*map(F.lit, pattern)), place)
     along = F.element_at(F.array(*(F.lit(pattern[i ^ 1]) for i in range(4))), place)  # the other colour of the pixel's row
-    box = neighbourhood(px, key, 5, mirror=True)
-
-    def filtered(matrix: tuple) -> Column:
-        table = F.array(*(F.array(*(F.lit(float(c) / 8) for c in row)) for row in matrix))
-        return F.sum(F.col("nv") * F.element_at(F.element_at(table, (F.col("oy") + 3).cast("int")), (F.col("ox") + 3).cast("int")))
-
-    sums = box.groupBy(*key, "y", "x").agg(F.first("v").alias("own"), *(filtered(m).alias(name) for name, m in MALVAR.items()))
+    names = [f"k{i}" for i in range(len(key))]
+    rows = px.select(*(F.col(k).alias(n) for k, n in zip(key, names)), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v")).dropna(subset=[*names, "y", "x"])
+    far = F.lit((1 << 31) // tile).cast("long")
+    sent = rows.withColumn("ty", F.explode(tiles.reached(F.col("y"), tile, 2, far))).withColumn("tx", F.explode(tiles.reached(F.col("x"), tile, 2, far)))
+    ends = rows.groupBy(*names).agg(F.max("y").alias("y"), F.max("x").alias("x"), F.lit(None).cast("double").alias("v"))
+    ends = ends.withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"y div {tile}")))).withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"x div {tile}"))))
+    cut, call = tiles.dealt(sent.withColumn("last", F.lit(False)).unionByName(ends.withColumn("last", F.lit(True))), [*names, "ty", "tx"])
+    kinds = dict(rows.dtypes)
+
+    def mirrored(block: np.ndarray, start: np.ndarray, top: np.ndarray, axis: int) -> np.ndarray:
+        """Places beyond an image's ends get the sample on the other side, if there is one."""
+        at = start[:, None] + np.arange(-2, block.shape[axis] - 2)
+        source = np.where(at < 0, -at, np.where(at > top[:, None], 2 * top[:, None] - at, at))
+        local = source - start[:, None] + 2
+        good = (source >= 0) & (source <= top[:, None]) & (at <= top[:, None] + 2) & (local >= 0) & (local < block.shape[axis])
+        shape = (*good.shape, 1) if axis == 1 else (len(good), 1, good.shape[1])
+        return np.where(good.reshape(shape), np.take_along_axis(block, np.where(good, local, 0).reshape(shape), axis), 0)
+
+    def run(table: pa.Table) -> pa.Table:
+        ly, lx = (table[c].to_numpy() - table[t].to_numpy() * tile + 2 for c, t in (("y", "ty"), ("x", "tx")))
+        h, w = (min(tile + 4, int(np.where(table["last"].to_numpy(), 0, l).max(initial=0)) + 3) for l in (ly, lx))
+        done = []
+        for some, number, heads in tiles.split(table, [*names, "ty", "tx"], h * w):
+            last, v = some["last"].to_numpy(), some["v"].to_numpy()
+            y, x, y0, x0 = (some[c].to_numpy().astype(np.int64) for c in ("y", "x", "ty", "tx"))
+            y0, x0 = y0 * tile, x0 * tile
+            top = np.full((2, len(heads)), -1)
+            top[:, number[last]] = y[last], x[last]
+            block, held, there = np.zeros((len(heads), h, w)), np.zeros((len(heads), h, w), bool), np.zeros((len(heads), h, w), bool)
+            put = (number[~last], (y - y0 + 2)[~last], (x - x0 + 2)[~last])
+            block[put], there[put], held[put] = np.nan_to_num(v[~last]), True, ~np.isnan(v[~last])
+            inner = (slice(None), slice(2, h - 2), slice(2, w - 2))
+            t, oy, ox = np.nonzero(there[inner])
+            mine, known = block[inner][t, oy, ox], held[inner][t, oy, ox]
+            for axis, start in ((1, y0[heads]), (2, x0[heads])):
+                block, held = mirrored(block, start, top[axis - 1], axis), mirrored(held, start, top[axis - 1], axis)
+            seen = sum(held[:, i : i + h - 4, j : j + w - 4].astype(np.int8) for i in range(5) for j in range(5))[t, oy, ox] > 0
+            made = {name: pa.array(m[t, oy, ox], mask=~seen) for name, m in malvar_block(block).items()}
+            keys = {n: some[n].combine_chunks().take(pa.array(heads[t])) for n in names}
+            done.append(pa.table(keys | {"y": (y0[heads][t] + oy).astype(np.int32), "x": (x0[heads][t] + ox).astype(np.int32), "own": pa.array(mine, mask=~known)} | made))
+        return pa.concat_tables(done)
+
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "y int", "x int", "own double", *(f"{n} double" for n in MALVAR)])
+    sums = cut.groupBy(call).applyInArrow(run, schema)
     pick = lambda colour: F.when(own == colour, F.col("own")).when(own == "G", F.when(along == colour, F.col("row")).otherwise(F.col("column"))).otherwise(F.col("other"))
-    return sums.select(*key, "y", "x", pick("R").alias("r"), F.when(own == "G", F.col("own")).otherwise(F.col("green")).alias("g"), pick("B").alias("b"))
+    return sums.select(*(F.col(n).alias(k) for n, k in zip(names, key)), "y", "x", pick("R").alias("r"), F.when(own == "G", F.col("own")).otherwise(F.col("green")).alias("g"), pick("B").alias("b"))
 
 
 def star_mask(stars: DataFrame, frame: list[str], grow: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenstack.operators import project, robust
+from lumenstack.operators import project, robust, spatial
 
 
 def apart(p, q) -> float:
@@ -54,3 +54,27 @@ def test_medians_in_brackets_are_exact(spark):
         assert got[k].std == pytest.approx(vs.std(), rel=1e-12, abs=1e-12)
     for a, b in zip(*(sorted(map(tuple, robust.clipped(px, ["k"], 1.5, 3, large).where("k <> 'far'").collect())) for large in (False, True))):
         assert a == b
+
+
+def test_demosaicing_sends_a_sample_to_its_tiles_only(spark):
+    """Before, each sample went to the 25 boxes that it is in, and they met by a join."""
+    rng = np.random.default_rng(2)
+    images = {k: np.round(rng.uniform(0, 9, shape), 1) for k, shape in (("a", (11, 14)), ("b", (8, 8)), ("dot", (1, 1)), ("line", (2, 9)))}
+    rows = [(k, y, x, None if (y + 3 * x) % 17 == 5 else float(m[y, x])) for k, m in images.items() for y in range(m.shape[0]) for x in range(m.shape[1]) if (2 * y + x) % 13 != 6]
+    px = spark.createDataFrame(rows, "k string, y int, x int, v double")
+    held, want = {r[:3]: r[3] for r in rows}, {}
+    ends = {k: (max(r[1] for r in rows if r[0] == k), max(r[2] for r in rows if r[0] == k)) for k in images}
+    turn = lambda p, top: -p if p < 0 else 2 * top - p if p > top else p
+    for k, y, x, v in rows:
+        around = {(i, j): held.get((k, turn(y + i - 2, ends[k][0]), turn(x + j - 2, ends[k][1]))) for i in range(5) for j in range(5)}
+        some = any(n is not None for n in around.values())
+        f = {name: sum(m[i][j] / 8 * (n or 0) for (i, j), n in around.items()) if some else None for name, m in spatial.MALVAR.items()}
+        red, blue, row = y % 2 == x % 2 == 0, y % 2 == x % 2 == 1, y % 2 == 0
+        want[k, y, x] = (v if red else f["other"] if blue else f["row" if row else "column"], f["green"] if red or blue else v, v if blue else f["other"] if red else f["column" if row else "row"])
+    for tile in (4, 5, 64):
+        found = spatial.debayer_malvar(px, ["k"], "RGGB", tile)
+        got = {(r.k, r.y, r.x): (r.r, r.g, r.b) for r in found.collect()}
+        assert got.keys() == want.keys()
+        assert all((a is None and b is None) or a == pytest.approx(b, abs=1e-9) for at in want for a, b in zip(got[at], want[at]))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert spatial.debayer_malvar(px.where("false"), ["k"]).count() == 0
