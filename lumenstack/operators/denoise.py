@@ -11,18 +11,22 @@ named are dropped.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenstack.functions import lab
+from lumenstack.operators import tiles
 from lumenstack.operators.contrast import mirror_images
 
 #: Weights are whole numbers, and one under a thousandth of the greatest is none.
 LEAST_WEIGHT, LARGEST = 0.001, 2**31 - 1
 
 
+@functools.lru_cache(16)
 def weights_by_distance(strength: float, channels: int, template: int, search: int) -> tuple[np.ndarray, int]:
     """(weights, shift): the weight of a summed patch distance d is weights[d >> shift]."""
     area = template * template
@@ -34,23 +38,25 @@ def weights_by_distance(strength: float, channels: int, template: int, search: i
 
 
 def denoise_tile(block: np.ndarray, strength: float, template: int, search: int) -> np.ndarray:
-    """block: channels, rows and columns, with a border of half a search window and half a patch around what is returned."""
-    weights, shift = weights_by_distance(strength, len(block), template, search)
+    """block: tiles (if there are several), channels, rows and columns, with a border of half a search window and half a patch around
+    what is returned."""
+    weights, shift = weights_by_distance(strength, block.shape[-3], template, search)
     reach, half = search // 2, template // 2
     border = reach + half
-    rows, columns = block.shape[1] - 2 * border, block.shape[2] - 2 * border
-    seen = lambda dy, dx: block[:, reach + dy : reach + dy + rows + 2 * half, reach + dx : reach + dx + columns + 2 * half]
-    own = seen(0, 0)
-    total, result = np.zeros((rows, columns), np.int64), np.zeros((len(block), rows, columns), np.int64)
+    rows, columns = block.shape[-2] - 2 * border, block.shape[-1] - 2 * border
+    seen = lambda dy, dx: block[..., reach + dy : reach + dy + rows + 2 * half, reach + dx : reach + dx + columns + 2 * half]
+    own, several = seen(0, 0), block.shape[:-3]
+    total, result = np.zeros((*several, rows, columns), np.int64), np.zeros((*several, block.shape[-3], rows, columns), np.int64)
+    gap = np.zeros((*several, rows + 2 * half + 1, columns + 2 * half + 1), np.int64)
     for dy in range(-reach, reach + 1):
         for dx in range(-reach, reach + 1):
             other = seen(dy, dx)
-            gap = np.zeros((rows + 2 * half + 1, columns + 2 * half + 1), np.int64)
-            gap[1:, 1:] = ((own - other) ** 2).sum(0).cumsum(0).cumsum(1)
-            patch = gap[template:, template:] - gap[:-template, template:] - gap[template:, :-template] + gap[:-template, :-template]
+            gap[..., 1:, 1:] = ((own - other) ** 2).sum(-3).cumsum(-2).cumsum(-1)
+            patch = gap[..., template:, template:] - gap[..., :-template, template:] - gap[..., template:, :-template] + gap[..., :-template, :-template]
             weight = weights[patch >> shift]
             total += weight
-            result += weight * other[:, half : half + rows, half : half + columns]
+            result += weight[..., None, :, :] * other[..., half : half + rows, half : half + columns]
+    total = total[..., None, :, :]
     return (result + total // 2) // total
 
 
@@ -69,22 +75,34 @@ def non_local_means(px: DataFrame, key: list[str], h: int, w: int, strength: flo
         rows = rows.where(first <= last).withColumn(f"t{axis}", F.explode(F.sequence(first, last)))
     kinds = dict(rows.dtypes)
 
+    cut, call = tiles.dealt(rows, [*names, "ty", "tx"])
+
     def run(table: pa.Table) -> pa.Table:
-        y0, x0 = table["ty"][0].as_py() * tile, table["tx"][0].as_py() * tile
-        height, width = min(tile, h - y0), min(tile, w - x0)
-        y, x = table["y"].to_numpy() - y0 + border, table["x"].to_numpy() - x0 + border
-        inside = (y < height + 2 * border) & (x < width + 2 * border)
-        block, there = np.zeros((len(data), height + 2 * border, width + 2 * border), np.int64), np.zeros((height + 2 * border, width + 2 * border), bool)
-        for k, c in enumerate(data):
-            block[k, y[inside], x[inside]] = table[c].to_numpy()[inside]
-        there[y[inside], x[inside]] = True
-        made = denoise_tile(block, strength, template, search)
-        oy, ox = np.nonzero(there[border : border + height, border : border + width])
-        same = [pa.repeat(table[n][0], len(oy)) for n in names]
-        return pa.table([*same, pa.array((oy + y0).astype(np.int32)), pa.array((ox + x0).astype(np.int32)), *(pa.array(m[oy, ox].astype(np.int32)) for m in made)], names=[*names, "y", "x", *data])
+        done = []
+        for some, number, heads in tiles.split(table, [*names, "ty", "tx"], len(data) * (tile + 2 * border) ** 2):
+            y0, x0 = (some[c].to_numpy().astype(np.int64) * tile for c in ("ty", "tx"))
+            sides = np.stack([np.minimum(tile, h - y0[heads]), np.minimum(tile, w - x0[heads])])
+            for height, width in np.unique(sides, axis=1).T.tolist():
+                like = np.flatnonzero((sides[0] == height) & (sides[1] == width))
+                place = np.full(len(heads), -1)
+                place[like] = np.arange(len(like))
+                y, x = some["y"].to_numpy() - y0 + border, some["x"].to_numpy() - x0 + border
+                inside = (place[number] >= 0) & (y < height + 2 * border) & (x < width + 2 * border)
+                at, y, x = place[number][inside], y[inside], x[inside]
+                block = np.zeros((len(like), len(data), height + 2 * border, width + 2 * border), np.int64)
+                there = np.zeros((len(like), height + 2 * border, width + 2 * border), bool)
+                for k, c in enumerate(data):
+                    block[at, k, y, x] = some[c].to_numpy()[inside]
+                there[at, y, x] = True
+                made = denoise_tile(block, strength, template, search)
+                t, oy, ox = np.nonzero(there[:, border : border + height, border : border + width])
+                first = heads[like][t]
+                keys = {n: some[n].combine_chunks().take(pa.array(first)) for n in names}
+                done.append(pa.table(keys | {"y": (y0[first] + oy).astype(np.int32), "x": (x0[first] + ox).astype(np.int32)} | {c: made[t, k, oy, ox].astype(np.int32) for k, c in enumerate(data)}))
+        return pa.concat_tables(done)
 
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "y int", "x int", *(f"{c} int" for c in data)])
-    done = rows.groupBy(*names, "ty", "tx").applyInArrow(run, schema)
+    done = cut.groupBy(call).applyInArrow(run, schema)
     return done.select(*(F.col(n).alias(k) for k, n in zip(key, names)), "y", "x", *(F.col(c).alias(n) for c, n in zip(data, columns)))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenstack.operators import project, robust, spatial
+from lumenstack.operators import denoise, project, robust, spatial
 
 
 def apart(p, q) -> float:
@@ -78,3 +78,14 @@ def test_demosaicing_sends_a_sample_to_its_tiles_only(spark):
         assert all((a is None and b is None) or a == pytest.approx(b, abs=1e-9) for at in want for a, b in zip(got[at], want[at]))
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert spatial.debayer_malvar(px.where("false"), ["k"]).count() == 0
+
+
+def test_tiles_are_denoised_together(spark):
+    """Before, each tile was a call that made the table of weights anew."""
+    blocks = np.random.default_rng(3).integers(0, 256, (7, 2, 13, 11))
+    together = denoise.denoise_tile(blocks, 30.0, 3, 5)
+    assert together.shape == (7, 2, 7, 5)
+    assert all(np.array_equal(t, denoise.denoise_tile(b, 30.0, 3, 5)) for t, b in zip(together, blocks))
+    images = spark.range(40).selectExpr("nullif(concat('i', id), 'i7') AS k", "explode(sequence(0, 80)) AS p", "id").selectExpr("k", "int(p div 9) AS y", "int(p % 9) AS x", "hash(id, p) % 256 AS v")
+    small, large = ({tuple(r) for r in denoise.non_local_means(images, ["k"], 9, 9, 40.0, template=3, search=5, tile=tile).collect()} for tile in (4, 64))
+    assert small == large and len(small) == 40 * 81
