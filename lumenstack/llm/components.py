@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenstack.llm.common import materialise
+from lumenstack.llm.common import forget, materialise
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -19,8 +19,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = materialise(links.where(F.col(a) != F.col(b)).select(high, low).distinct())
     before = None
     while (now := _stamp(edges)) != before and now[0]:
-        before = now
-        edges = materialise(_small_star(_large_star(edges)))
+        before, last = now, edges
+        edges = materialise(_small_star(_large_star(last)))
+        forget(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenstack.llm.common import free_name, in_slices, materialise
+from lumenstack.llm.common import forget, free_name, in_slices, materialise, sieved
 from lumenstack.llm.components import connected_components
 from lumenstack.llm.simhash import shingle_hashes, signed
 
@@ -147,7 +147,9 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
     side = lambda name: held.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("a_", "b_")).alias("shared"), (F.size("a_") + F.size("b_")).alias("sizes"))
-    return materialise(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
+    reached = materialise(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
+    forget(held)
+    return reached
 
 
 def central_members(crowded: DataFrame) -> DataFrame:
@@ -231,9 +233,12 @@ def block_links(split: DataFrame, placed: DataFrame, rooted: DataFrame, sets: Ca
     before = spark.conf.get(size)
     spark.conf.set(size, 8)  # a row has two blocks
     try:
-        return materialise(met.mapInArrow(compare, "a long, b long").distinct())
+        links = materialise(met.mapInArrow(compare, "a long, b long").distinct())
     finally:
         spark.conf.set(size, before)
+    forget(inside)
+    forget(whole)
+    return links
 
 
 def near_duplicate_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, margin: float = 0.1, crowd: int = 16, block: int = 64) -> DataFrame:
@@ -244,7 +249,8 @@ def near_duplicate_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame
     least, hashes = similarity - margin, 20_000
     keyed = nodes.select("node", "shingles", F.col("fp")[0].alias("word"), F.explode("bands").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    members = materialise(keyed.join(shared, "key"))
+    members = materialise(sieved(keyed, "key", shared, "met").where("met").drop("met").join(shared, "key"))
+    forget(shared)
     crowded = members.where(F.col("n") >= crowd).select("key", "node", "word")
     second_hub = materialise(central_members(crowded))
     met = members.select("node", "hub").unionAll(crowded.join(second_hub, "key").select("node", "hub")).where("node <> hub").distinct()
@@ -254,14 +260,19 @@ def near_duplicate_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame
     best = compared.groupBy("node").agg(F.max(F.struct(estimate(F.col("node_"), F.col("hub_")).alias("e"), "hub")).alias("best"))
     pairs = materialise(best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct())
     first = verified(pairs, sets, similarity)
+    forget(pairs)
 
     rooted = materialise(nodes.join(connected_components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     placed = materialise(members.select("key", "node", "shingles").join(rooted.select("node", "root"), "node"))
+    forget(members)
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
     by_key = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("roots > 1")
     number = lambda n, s: F.ceil(F.greatest(n / block, s / hashes))
     split = materialise(by_key.select("key", F.col("top.root").alias("top"), number(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("blocks_a"), number(F.col("n"), F.col("s")).alias("blocks_b")))
-    return first.unionAll(block_links(split, placed, rooted, sets, similarity, least))
+    second = block_links(split, placed, rooted, sets, similarity, least)
+    forget(placed)
+    forget(rooted)
+    return first.unionAll(second)
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -275,13 +286,20 @@ def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str
     def sets(wanted: DataFrame) -> DataFrame:
         """(node, hashes): the set of one text of each wanted node."""
         one = materialise(rows.select("node", "row").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
-        texts = df.select(row_key.alias("row"), F.col(text_col).alias("text")).join(one, "row")
+        texts = sieved(df.select(row_key.alias("row"), F.col(text_col).alias("text")), "row", one, "wanted").where("wanted").join(one, "row")
         return texts.select("node", hash_set(F.col("text"), shingle).alias("hashes")).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
     roots = connected_components(near_duplicate_links(nodes, sets, similarity), "a", "b")
     placed = rows.select("id", "row", "text", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "text")).alias("best"))
-    row, text = free_name(df, "_row"), free_name(df, "_text")
+    row, text, sifted = free_name(df, "_row"), free_name(df, "_text"), free_name(df, "_sifted")
     kept = materialise(best.select(F.col("best.row").alias(row), F.col("best.text").alias(text)))
-    joined = df.withColumns({row: row_key, text: text_key}).join(kept, [row, text], "left_semi")
-    return joined.dropDuplicates([row, text]).drop(row, text)
+    # Rows that go, and repeated ones: the few that must meet others. All other rows stay where they are.
+    times = rows.groupBy(F.col("row").alias(row), F.col("text").alias(text)).agg(F.count("*").alias("n"))
+    lone = times.where("n = 1").join(kept, [row, text], "left_semi")
+    sought = materialise(rows.select(F.col("row").alias(row), F.col("text").alias(text)).join(lone, [row, text], "left_anti"))
+    forget(nodes)
+    forget(rows)
+    keyed = sieved(df.withColumns({row: row_key, text: text_key}), row, sought, sifted)
+    met = keyed.where(sifted).join(kept, [row, text], "left_semi").dropDuplicates([row, text])
+    return keyed.where(~F.col(sifted)).drop(row, text, sifted).unionAll(met.drop(row, text, sifted))

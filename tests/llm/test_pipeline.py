@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 
 import public_tokenizers
 import pyarrow as pa
@@ -11,7 +12,9 @@ from conftest import prose
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lumenstack import work
 from lumenstack.llm import neardup
+from lumenstack.llm.common import materialise, sieved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,3 +177,41 @@ def test_recall_and_precision_against_all_pairs(spark):
     want = {find(i) for i in range(len(texts))}
     assert want <= got and len(got - want) < 0.01 * len(links)
     print("links", len(links), "kept beyond", len(got - want))
+
+
+def test_sieve_keeps_what_is_wanted(spark):
+    """Also with more keys than its maps have bits for, null keys, negative ones and none."""
+    df = spark.range(-3000, 3000).selectExpr("case when id <> 7 then id * 7919 end as key", "id as _at", "'x' as _map")
+    wanted = materialise(df.where("_at % 3 = 0").select("key"))
+    out = sieved(df, "key", wanted, "met")
+    assert out.columns == [*df.columns, "met"] and out.where("met is null").count() == 0
+    assert out.where("met and _at % 3 = 0").count() == 2000 and out.where("met").count() < 2000 + 4000 / 8
+    assert sieved(df, "key", materialise(df.limit(0)), "met").where("met").count() == 0
+
+
+def test_near_duplicates_leave_lone_texts_where_they_are(spark, tmp_path, monkeypatch):
+    """Texts that resemble no other are not shuffled, and what is written on the way is removed."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.getrandbits(48):x}" for _ in range(900)) for _ in range(400)]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate([*texts, edited(rng, texts[0], 1), texts[1]])]
+    df = materialise(spark.createDataFrame(rows, SCHEMA).repartition(4))
+
+    def sent():
+        held = spark._jsc.sc().statusStore().executorList(True)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    monkeypatch.setattr(work, "shared_dir", lambda spark: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = sent()
+        out = neardup.keep_one_of_each_group(df)
+        assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == list(range(400))
+        assert materialise(out).count() == 400
+        moved = sent() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    size = sum(len(t) for t in texts)
+    assert moved < 0.6 * size, (moved, size)
+    left = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if "doc_id" not in pq.read_schema(f).names)
+    assert left < 0.05 * size, (left, size)
