@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and the digest of what they decode to."""
     small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = docs.select("doc_id", "lang", "source", bpe.encode_bpe("text", path).alias("ids"))
+    ids = docs.select("doc_id", "lang", "source", bpe.encode_bpe("text", path, cache_words=50_000, slice_bytes=400_000).alias("ids"))
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode_bpe("ids", path), 256).alias("decoded_sha256"))
 
 

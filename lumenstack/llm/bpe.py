@@ -264,13 +264,15 @@ def load(path: str) -> Bpe:
     return Bpe(path, 0)
 
 
-def encode_bpe(text: Column | str, path: str, cache_words: int = 50_000) -> Column:
-    """The ids of each text, an array<int>. path: a tokenizer file that every executor can open."""
+def encode_bpe(text: Column | str, path: str, cache_words: int = 300_000, slice_bytes: int = 1_000_000) -> Column:
+    """The ids of each text, an array<int>. path: a tokenizer file that every executor can open; cache_words: words, and
+    as many chunks, that a worker keeps; slice_bytes: bytes of texts whose new words merge together (both trade memory
+    for time)."""
 
     def run(texts: pa.Array) -> pa.Array:
         bpe = load(path)
         bpe.limit = cache_words
-        parts = [p for some in in_slices(texts, 400_000) for p in bpe.encode_batch(some)]
+        parts = [p for some in in_slices(texts, slice_bytes) for p in bpe.encode_batch(some)]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
         values = np.frombuffer(b"".join(parts), "<i4")
         if ends[-1] < 1 << 31:

@@ -1,5 +1,7 @@
 """Both encoders against the tokenizers library on random texts full of white space, marks and specials."""
 
+import inspect
+import itertools
 import random
 
 import numpy as np
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lumenstack.llm.bpe import Bpe, merge_long
+from lumenstack.llm.bpe import Bpe, encode_bpe, merge_long
 from lumenstack.llm.records import ChunkEncoder
 
 ALPHABET = [" ", " ", "\n", "\t", "\r\n", "\u00a0", "a", "b", "the", "Don't", "é", "ß", "Σ", "中", "😀", "9", "12", "!", "...", "<|endoftext|>", "<|", "xyz" * 40]
@@ -47,3 +49,13 @@ def test_long_words_merge_alike():
         own.words.clear()
         own.encode_words([word])
         assert np.frombuffer(own.words[word], "<u4").tolist() == merge_long(parts, own.ranks.single)
+
+
+def test_a_large_vocabulary_is_encoded_once():
+    """Words of many texts stay at hand by default, so that texts with 120,000 words in turn don't merge them again."""
+    own = Bpe(public_tokenizers.path("word_bpe_49k.json"), inspect.signature(encode_bpe).parameters["cache_words"].default)
+    words = ["".join(x) for x in itertools.islice(itertools.product("aeioubdt", repeat=6), 120_000)]
+    batches = [[" ".join(words[i : i + 10_000])] for i in range(0, len(words), 10_000)]
+    first = [own.encode_batch(b) for b in batches]
+    own.encode_words = lambda new: pytest.fail("merged again") if new else None
+    assert [own.encode_batch(b) for b in batches] == first
